@@ -1,0 +1,5 @@
+"""No streaming operators: the workload is batch only.
+
+The row-wise operators in ``loanlens.operators.features`` are plain projections
+and filters, so they also apply to a streaming DataFrame as they are.
+"""
