@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loanlens.operators.prep import assemble, vector_columns, zscore
 from loanlens.operators.windows import running_totals
+from loanlens.session import small_frame
 
 
 def fit_pca(df: DataFrame, cols: Sequence[str], k: int = 7) -> PCAModel:
@@ -40,7 +41,7 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 7, model: PCAModel | None =
 def explained_variance(model: PCAModel, df: DataFrame) -> DataFrame:
     """Share of variance per component and its running sum."""
     rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
-    shares = df.sparkSession.createDataFrame(rows, "component int, explained_variance double")
+    shares = small_frame(df.sparkSession, rows, "component int, explained_variance double")
     return running_totals(shares, "component", ["explained_variance"]).withColumnRenamed(
         "running_explained_variance", "cumulative"
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import nan_to_null
 from loanlens.operators.features import log_feature
+from loanlens.session import small_frame
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -96,9 +97,17 @@ def density(
 
 
 def _pairwise_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    one_row = df.select([nan_to_null(F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(cols)]).agg(
-        *[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]
+    def pair(a: str, b: str) -> Column:
+        # ``corr`` itself fails on a constant column in ANSI mode; this gives null.
+        spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
+        return F.try_divide(F.regr_sxy(a, b), spread)
+
+    values = [nan_to_null(F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(cols)]
+    one_row = df.select(values).agg(
+        *[
+            pair(f"x{i}", f"x{j}").alias(f"c{i}_{j}")
+            for i, j in combinations_with_replacement(range(len(cols)), 2)
+        ]
     )
 
     def cell(i: int, j: int) -> Column:
@@ -130,4 +139,4 @@ def correlation(
     rows = [
         (a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
     ]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    return small_frame(df.sparkSession, rows, "feature_a string, feature_b string, corr double")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
+from typing import NamedTuple
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -13,10 +16,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.session import small_frame
+
 # Settings that change neither the ranking of the rows nor the AUC of a logistic model.
 NEUTRAL_SETTINGS = ("aggregationDepth", "threshold")
 
@@ -44,12 +49,14 @@ def boosted_estimator(
     gamma: float = 0.0,
     num_round: int = 20,
     seed: int = 0,
+    total_weight: float = 1.0,
 ) -> GBTClassifier:
     """Boosted trees under the usual names of a boosting library.
 
-    Near equivalents: features are sampled per node instead of per tree, the least
-    child weight is a row count, gamma is a gain of Spark's impurity. L1 and L2
-    penalties, growth policy and parallel trees have no counterpart.
+    Near equivalents: features are sampled per node instead of per tree and the least
+    child weight is a row count. Gamma is a gain summed over the rows where Spark's
+    least gain is a mean, so it is divided by the total weight of the rows. L1 and
+    L2 penalties, growth policy and parallel trees have no counterpart.
     """
     estimator = GBTClassifier(
         labelCol=label,
@@ -58,7 +65,7 @@ def boosted_estimator(
         subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample_bytree) if colsample_bytree else "all",
         minInstancesPerNode=min_child_weight,
-        minInfoGain=float(gamma),
+        minInfoGain=gamma / total_weight,
         maxIter=num_round,
         seed=seed,
     )
@@ -76,7 +83,8 @@ def boosted_trees(
     train: DataFrame, label: str = "TARGET", scale_pos_weight: float = 1.0, **params
 ) -> Model:
     weighted = positive_weight(train, label, scale_pos_weight, "_weight")
-    return boosted_estimator(label, "_weight", **params).fit(weighted)
+    total = weighted.agg(F.sum("_weight")).head()[0]
+    return boosted_estimator(label, "_weight", total_weight=total, **params).fit(weighted)
 
 
 def score(model: Model, df: DataFrame, keep: Sequence[str] = ("TARGET",)) -> DataFrame:
@@ -102,6 +110,15 @@ def _param_maps(estimator: Estimator, grid: Mapping[str, Sequence]) -> list:
     return builder.build()
 
 
+class Search(NamedTuple):
+    """A finished grid search: the best setting fitted on all rows, and all results."""
+
+    best_model: Model
+    settings: list[str]
+    means: list[float]
+    deviations: list[float]
+
+
 def cross_validate(
     estimator: Estimator,
     grid: Mapping[str, Sequence],
@@ -111,39 +128,59 @@ def cross_validate(
     fold_col: str | None = None,
     parallelism: int = 4,
     seed: int = 1,
-) -> CrossValidatorModel:
+) -> Search:
     """Grid search by area under ROC; settings of equal result are tried once.
 
-    ``fold_col`` numbers the folds from 0 (see ``stratified_folds``); without it
-    Spark draws them. Spark caches each fold's rows for all settings.
+    Without ``fold_col`` Spark's ``CrossValidator`` draws the folds at random. With
+    a column of fold numbers from 0 (see ``stratified_folds``) the folds are plain
+    filters of the cached rows; ``CrossValidator`` would test that column with a
+    Python function row by row.
     """
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=_param_maps(estimator, distinct_grid(grid)),
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    return (search.setFoldCol(fold_col) if fold_col else search).fit(train)
+    maps = _param_maps(estimator, distinct_grid(grid))
+    names = [_setting(params) for params in maps]
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    if fold_col is None:
+        model = CrossValidator(
+            estimator=estimator,
+            estimatorParamMaps=maps,
+            evaluator=evaluator,
+            numFolds=folds,
+            parallelism=parallelism,
+            seed=seed,
+        ).fit(train)
+        return Search(model.bestModel, names, model.avgMetrics, model.stdMetrics)
+
+    train = train.persist()
+    try:
+        def measure(task: tuple[int, dict]) -> float:
+            fold, params = task
+            model = estimator.fit(train.where(F.col(fold_col) != fold), params)
+            return evaluator.evaluate(model.transform(train.where(F.col(fold_col) == fold)))
+
+        with ThreadPool(parallelism) as pool:
+            measured = pool.map(measure, [(fold, params) for params in maps for fold in range(folds)])
+        by_setting = [measured[i * folds : (i + 1) * folds] for i in range(len(maps))]
+        means = [fmean(found) for found in by_setting]
+        best = estimator.fit(train, maps[means.index(max(means))])
+    finally:
+        train.unpersist()
+    return Search(best, names, means, [pstdev(found) for found in by_setting])
 
 
 def _setting(params: Mapping) -> str:
     return ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
 
 
-_RESULT = "setting string, mean_auc double, sd_auc double, is_best boolean"
+def _results(spark: SparkSession, rows: list[tuple[str, float, float]]) -> DataFrame:
+    best = max(mean for _, mean, _ in rows)
+    marked = [(name, float(mean), float(sd), bool(mean == best)) for name, mean, sd in rows]
+    schema = "setting string, mean_auc double, sd_auc double, is_best boolean"
+    return small_frame(spark, marked, schema).orderBy(F.desc("mean_auc"), "setting")
 
 
-def cv_results(model: CrossValidatorModel, df: DataFrame) -> DataFrame:
+def cv_results(search: Search, spark: SparkSession) -> DataFrame:
     """Mean and deviation of the measure per setting, the best one marked."""
-    rows = [
-        (_setting(params), float(mean), float(sd), bool(mean == max(model.avgMetrics)))
-        for params, mean, sd in zip(
-            model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics
-        )
-    ]
-    return df.sparkSession.createDataFrame(rows, _RESULT).orderBy(F.desc("mean_auc"), "setting")
+    return _results(spark, list(zip(search.settings, search.means, search.deviations)))
 
 
 # How the settings of a boosted-tree search are called in Spark.
@@ -179,26 +216,23 @@ def grid_search_boosted(
         tree["featureSubsetStrategy"] = [str(v) for v in tree["featureSubsetStrategy"]]
     if "maxDepth" in tree:
         tree["maxDepth"] = sorted({min(v, 30) for v in tree["maxDepth"]})
-    if "minInfoGain" in tree:
-        tree["minInfoGain"] = [float(v) for v in tree["minInfoGain"]]
     moments: dict[str, list[tuple[float, float]]] = {}
     for weight, fold_col in product(grid.get("scale_pos_weight", [1]), fold_cols):
         weighted = positive_weight(df, label, weight, "_weight")
+        if "gamma" in grid:
+            total = weighted.agg(F.sum("_weight")).head()[0]
+            tree["minInfoGain"] = [gamma / total for gamma in grid["gamma"]]
         estimator = boosted_estimator(label, "_weight", seed=seed)
-        model = cross_validate(estimator, tree, weighted, folds, label, fold_col, parallelism)
-        for params, mean, sd in zip(
-            model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics
-        ):
-            name = f"scale_pos_weight={weight}, {_setting(params)}".rstrip(", ")
+        search = cross_validate(estimator, tree, weighted, folds, label, fold_col, parallelism)
+        for setting, mean, sd in zip(search.settings, search.means, search.deviations):
+            name = f"scale_pos_weight={weight}, {setting}".rstrip(", ")
             moments.setdefault(name, []).append((mean, sd))
     rows = []
     for name, found in moments.items():
-        mean = sum(m for m, _ in found) / len(found)
-        square = sum(sd * sd + m * m for m, sd in found) / len(found)
-        rows.append((name, float(mean), max(square - mean * mean, 0.0) ** 0.5))
-    best = max(mean for _, mean, _ in rows)
-    marked = [(name, mean, float(sd), bool(mean == best)) for name, mean, sd in rows]
-    return df.sparkSession.createDataFrame(marked, _RESULT).orderBy(F.desc("mean_auc"), "setting")
+        mean = fmean(m for m, _ in found)
+        square = fmean(sd * sd + m * m for m, sd in found)
+        rows.append((name, mean, max(square - mean * mean, 0.0) ** 0.5))
+    return _results(df.sparkSession, rows)
 
 
 def vector_names(df: DataFrame, vector: str = "features") -> list[str]:
@@ -212,7 +246,5 @@ def feature_importance(model: Model, scored: DataFrame, vector: str = "features"
     """Importance per element of the feature vector, highest first."""
     values = model.featureImportances.toArray()
     rows = [(name, float(value)) for name, value in zip(vector_names(scored, vector), values)]
-    return (
-        scored.sparkSession.createDataFrame(rows, "feature string, importance double")
-        .orderBy(F.desc("importance"), "feature")
-    )
+    table = small_frame(scored.sparkSession, rows, "feature string, importance double")
+    return table.orderBy(F.desc("importance"), "feature")

@@ -6,16 +6,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
-from pyspark.ml.stat import ChiSquareTest
+from pyspark.ml.stat import ChiSquareTest, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.operators.prep import assemble
-from loanlens.session import settle
+from loanlens.session import settle, small_frame
 
 MISSING_BIN = "NA"
 
+# Up to this many bins of a feature are written into the plan as a constant.
+CONSTANT_BINS = 100
+
 # A lookup of at most this many rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -107,7 +110,8 @@ def monotone_bins(
             upper = float("inf") if number == len(pooled) - 1 else upper
             rows.append((name, number, lower, upper, n, events, events / n))
             lower = upper
-    return df.sparkSession.createDataFrame(
+    return small_frame(
+        df.sparkSession,
         rows,
         "feature string, bin int, lower double, upper double, rows bigint, events bigint, "
         "event_rate double",
@@ -116,23 +120,22 @@ def monotone_bins(
 
 def _numbered(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
     """Replace each column by the number of its interval; gaps stay null."""
-    for name, inner in cuts.items():
-        value = F.col(name).cast("double")
-        gap = value.isNull() | F.isnan(value)
-        if not inner:
-            df = df.withColumn(name, F.when(~gap, F.lit(0)))
-            continue
-        split = Bucketizer(
-            splits=[float("-inf"), *inner, float("inf")],
-            inputCol="_value",
-            outputCol="_place",
-            handleInvalid="keep",
-        )
-        placed = split.transform(df.withColumn("_value", value))
-        df = placed.withColumn(name, F.when(~gap, F.col("_place").cast("int"))).drop(
-            "_value", "_place"
-        )
-    return df
+    value = {name: F.col(name).cast("double") for name in cuts}
+    gap = {name: value[name].isNull() | F.isnan(value[name]) for name in cuts}
+    several = [name for name, inner in cuts.items() if inner]
+    one = {name: F.when(~gap[name], F.lit(0)) for name, inner in cuts.items() if not inner}
+    if not several:
+        return df.withColumns(one)
+    inputs, places = [f"_value_{n}" for n in several], [f"_place_{n}" for n in several]
+    split = Bucketizer(
+        splitsArray=[[float("-inf"), *cuts[name], float("inf")] for name in several],
+        inputCols=inputs,
+        outputCols=places,
+        handleInvalid="keep",
+    )
+    placed = split.transform(df.withColumns({i: value[n] for i, n in zip(inputs, several)}))
+    numbers = {n: F.when(~gap[n], F.col(p).cast("int")) for n, p in zip(several, places)}
+    return placed.withColumns({**one, **numbers}).drop(*inputs, *places)
 
 
 def assign_bins(df: DataFrame, bins: DataFrame) -> DataFrame:
@@ -154,29 +157,40 @@ def apply_woe(
 ) -> DataFrame:
     """Add ``<column>_woe``, the weight of the row's bin; a bin never seen weighs 0.
 
-    The fitted bins and weights are reused as they are, on any frame. A lookup is
-    broadcast only when it is counted to be small; a larger one is left to the
-    shuffle, where adaptive execution splits hot values.
+    The fitted bins and weights are reused as they are, on any frame. The bins of
+    each feature are counted first: a few become a constant of the projection,
+    more are broadcast, and a larger lookup is left to the shuffle, where adaptive
+    execution splits hot values.
     """
-    raw = [f"_raw_{name}" for name in cols]
-    copied = df.withColumns(dict(zip(raw, [F.col(name) for name in cols])))
-    if bins is not None:
-        renamed = bins.withColumn("feature", F.concat(F.lit("_raw_"), "feature"))
-        copied = assign_bins(copied, renamed)
     woe = settle(woe.where(F.col("feature").isin(list(cols))).select("feature", "bin", "woe"))
     sizes = {row["feature"]: row["count"] for row in woe.groupBy("feature").count().collect()}
+    few = [name for name in cols if sizes.get(name, 0) <= CONSTANT_BINS]
+    constants: dict[str, list[Column]] = {name: [] for name in few}
+    for row in woe.where(F.col("feature").isin(few)).collect():
+        constants[row["feature"]] += [F.lit(row["bin"]), F.lit(row["woe"])]
+
+    raw = {name: f"_raw_{name}" for name in cols}
+    copied = df.withColumns({raw[name]: F.col(name) for name in cols})
+    if bins is not None:
+        copied = assign_bins(copied, bins.withColumn("feature", F.concat(F.lit("_raw_"), "feature")))
+    text = {n: F.coalesce(F.col(raw[n]).cast("string"), F.lit(MISSING_BIN)) for n in cols}
+    weighted = copied.withColumns(
+        {
+            name + suffix: F.try_element_at(F.create_map(*pairs), text[name]) if pairs else F.lit(0.0)
+            for name, pairs in constants.items()
+        }
+    )
     for name in cols:
+        if name in few:
+            continue
         lookup = woe.where(F.col("feature") == name).select(
             F.col("bin").alias("_bin"), F.col("woe").alias(name + suffix)
         )
-        if sizes.get(name, 0) <= BROADCAST_ROWS:
+        if sizes[name] <= BROADCAST_ROWS:
             lookup = F.broadcast(lookup)
-        value = F.coalesce(F.col(f"_raw_{name}").cast("string"), F.lit(MISSING_BIN))
-        copied = copied.withColumn(f"_raw_{name}", value).join(
-            lookup, F.col(f"_raw_{name}") == F.col("_bin"), "left"
-        ).drop("_bin")
+        weighted = weighted.join(lookup, text[name] == F.col("_bin"), "left").drop("_bin")
     zero = {name + suffix: F.coalesce(F.col(name + suffix), F.lit(0.0)) for name in cols}
-    return copied.withColumns(zero).drop(*raw)
+    return weighted.withColumns(zero).drop(*raw.values())
 
 
 def rank_by_iv(woe: DataFrame, top: int = 20) -> DataFrame:
@@ -222,12 +236,14 @@ def vote_features(
     chi = ChiSquareTest.test(vectors, "features", "label").head()
     forest = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed).fit(vectors)
     lasso = LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=50).fit(vectors)
+    spread = vectors.select(Summarizer.std(F.col("features"))).head()[0].toArray()
     iv = {r["feature"]: r["information_value"] for r in rank_by_iv(table, len(cols)).collect()}
     strength = {
         "information_value": [iv.get(name, 0.0) for name in cols],
         "chi_square": [-float(p) for p in chi["pValues"]],
         "forest": [float(x) for x in forest.featureImportances.toArray()],
-        "l1_logistic": [abs(float(x)) for x in lasso.coefficients.toArray()],
+        # Per standard deviation: a weight on a nearly constant feature means little.
+        "l1_logistic": [abs(float(x)) for x in lasso.coefficients.toArray() * spread],
     }
     statistic = [float(x) for x in chi["statistics"]]
     ballots = []
@@ -235,7 +251,7 @@ def vote_features(
         # Chi-square p-values often tie at zero; the statistic then decides.
         order = sorted(range(len(cols)), key=lambda i: (values[i], statistic[i]), reverse=True)
         ballots += [(cols[i], selector) for i in order[: each or keep]]
-    votes = df.sparkSession.createDataFrame(ballots, "feature string, selector string")
+    votes = small_frame(df.sparkSession, ballots, "feature string, selector string")
     return (
         votes.groupBy("feature")
         .agg(

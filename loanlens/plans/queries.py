@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from loanlens.operators import (
     woe,
 )
 from loanlens.plans.applications import applications, table
-from loanlens.session import new_path, settle
+from loanlens.session import new_path, settle, small_frame
 from loanlens.sources import tables as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,7 +524,7 @@ def apply_woe(spark, sf_dir):
     inf = float("inf")
     limits = [-inf, 150000.0, 300000.0, 440000.0, inf]
     intervals = [("AMT_CREDIT", i, limits[i], limits[i + 1]) for i in range(4)]
-    bins = spark.createDataFrame(intervals, "feature string, bin int, lower double, upper double")
+    bins = small_frame(spark, intervals, "feature string, bin int, lower double, upper double")
     cols = ["AMT_CREDIT", *CATEGORIES]
     fitted = woe.woe_table(woe.assign_bins(df, bins), cols, "TARGET")
     names = [f"{name}_woe" for name in cols]
@@ -675,14 +674,14 @@ def small_search(spark, sf_dir):
 
 @query
 def cross_validate(spark, sf_dir):
-    model, test = small_search(spark, sf_dir)
-    return scored_rows(model.bestModel, test)
+    search, test = small_search(spark, sf_dir)
+    return scored_rows(search.best_model, test)
 
 
 @query
 def cv_results(spark, sf_dir):
-    model, test = small_search(spark, sf_dir)
-    return rounded(models.cv_results(model, test), 6, "mean_auc", "sd_auc")
+    search, _ = small_search(spark, sf_dir)
+    return rounded(models.cv_results(search, spark), 6, "mean_auc", "sd_auc")
 
 
 @query

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -16,6 +19,7 @@ def local_session(cores: str | int = 8, name: str = "loanlens") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -49,12 +53,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the frame once to the checkpoint folder and go on from there.
+    """Write the frame once to the shared folder and go on from the written table.
 
     For frames that several jobs read: later jobs neither repeat the work nor
-    lose it with an executor.
+    lose it with an executor, and they read only the columns they use.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint()
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A report of a few driver-side rows (per feature, setting or component).
+
+    Passed as Arrow it becomes a local relation, which needs no job to be read.
+    """
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrow = pa.table(
+        [pa.array(list(values), type=to_arrow_type(f.dataType)) for values, f in zip(columns, fields)],
+        names=fields.names,
+    )
+    return spark.createDataFrame(arrow, fields)
