@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import nan_to_null
 from loanlens.operators.features import log_feature
-from loanlens.session import small_frame
+from loanlens.operators.windows import running_totals
+from loanlens.session import settle, small_frame
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -97,27 +99,57 @@ def density(
 
 
 def _pairwise_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    def pair(a: str, b: str) -> Column:
-        # ``corr`` itself fails on a constant column in ANSI mode; this gives null.
-        spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-        return F.try_divide(F.regr_sxy(a, b), spread)
-
-    values = [nan_to_null(F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(cols)]
-    one_row = df.select(values).agg(
+    """One row per pair of columns, reduced map-side to as many rows as there are pairs:
+    the size of the generated code does not depend on the number of columns."""
+    values = [nan_to_null(F.col(name).cast("double")) for name in cols]
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    long = df.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(k).alias("pair"), values[i].alias("a"), values[j].alias("b"))
+                    for k, (i, j) in enumerate(pairs)
+                ]
+            )
+        )
+    )
+    # ``corr`` itself fails on a constant column in ANSI mode; this gives null.
+    spread = F.sqrt(F.regr_sxx("a", "b") * F.regr_syy("a", "b"))
+    found = long.groupBy("pair").agg(F.try_divide(F.regr_sxy("a", "b"), spread).alias("corr"))
+    both = []
+    for i, j in pairs:
+        both.append([(cols[i], cols[j])] if i == j else [(cols[i], cols[j]), (cols[j], cols[i])])
+    names = F.array(
         *[
-            pair(f"x{i}", f"x{j}").alias(f"c{i}_{j}")
-            for i, j in combinations_with_replacement(range(len(cols)), 2)
+            F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in ways])
+            for ways in both
         ]
     )
+    return found.select(F.inline(names[F.col("pair")]), "corr")
+
+
+def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Replace each value by its average rank.
+
+    Ranks are found on the distinct values, where ties have collapsed map-side, and
+    joined back by value. A value that very many rows share is one row of the
+    lookup, and adaptive execution splits its rows in the join.
+    """
+    df = settle(df)
 
-    def cell(i: int, j: int) -> Column:
-        value = F.col(f"c{min(i, j)}_{max(i, j)}")
-        return F.struct(
-            F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"), value.alias("corr")
+    def ranks(name: str) -> DataFrame:
+        per_value = settle(df.groupBy(name).agg(F.count(F.lit(1)).alias("_n")))
+        return running_totals(per_value, name, ["_n"]).select(
+            name, (F.col("running__n") - (F.col("_n") - 1) / 2).alias("_rank")
         )
 
-    every = range(len(cols))
-    return one_row.select(F.inline(F.array(*[cell(i, j) for i in every for j in every])))
+    # The lookups do not depend on each other, so their jobs may overlap.
+    with ThreadPool(4) as pool:
+        lookups = pool.map(ranks, cols)
+    ranked = df
+    for name, lookup in zip(cols, lookups):
+        ranked = ranked.join(lookup, name).drop(name).withColumnRenamed("_rank", name)
+    return ranked
 
 
 def correlation(
@@ -126,16 +158,18 @@ def correlation(
     """Correlation matrix in long form (feature_a, feature_b, corr).
 
     Pearson with ``missing="pairwise"`` leaves out a row only for the pairs it
-    has a gap in, in one aggregate; it suits tens of columns. Spearman, and
-    ``missing="complete"`` for hundreds of columns, use Spark ML's matrix job on
-    the rows without gaps. What reaches the driver is the matrix, whose size is
-    fixed by the number of columns.
+    has a gap in, in one aggregate; it suits tens of columns. With
+    ``missing="complete"``, for hundreds of columns, Spark ML's matrix job takes the
+    rows without gaps, and only the matrix reaches the driver. Spearman is Pearson on
+    the ranks of the rows without gaps.
     """
     if method == "pearson" and missing == "pairwise":
         return _pairwise_pearson(df, cols)
     complete = df.select([F.col(name).cast("double") for name in cols]).na.drop()
+    if method == "spearman":
+        return _pairwise_pearson(_ranked(complete, cols), cols)
     vectors = VectorAssembler(inputCols=list(cols), outputCol="features").transform(complete)
-    matrix = Correlation.corr(vectors.select("features"), "features", method).head()[0].toArray()
+    matrix = Correlation.corr(vectors.select("features"), "features", "pearson").head()[0].toArray()
     rows = [
         (a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
     ]

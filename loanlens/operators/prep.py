@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions import hash_percent, seeded_hash
+from loanlens.session import settle
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -128,31 +129,38 @@ def stratified_folds(
     Rows of a class are numbered along a seeded hash of their unique key, and the
     number modulo k is the fold. The hash range is cut into buckets, which are
     even however unequal the classes are; the numbers of rows in the buckets before
-    are broadcast (classes times buckets rows, the label being binary).
+    are counted for all repeats in one pass and broadcast (classes times buckets
+    rows per repeat, the label being binary).
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for repeat in range(1, repeats + 1):
-        placed = df.withColumn("_hash", seeded_hash(f"{seed}:{repeat}", key))
-        lead = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint")
-        placed = placed.withColumn("_bucket", F.floor(lead * n / F.lit(65536)).cast("int"))
-        counts = placed.groupBy(F.col(label).alias("_label"), "_bucket").agg(
-            F.count(F.lit(1)).alias("_n")
-        )
-        before = (
-            Window.partitionBy("_label")
-            .orderBy("_bucket")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = counts.select(
-            "_label",
-            F.col("_bucket").alias("_place"),
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+
+    def place(repeat: int) -> Column:
+        lead = F.conv(F.substring(seeded_hash(f"{seed}:{repeat}", key), 1, 4), 16, 10)
+        return F.floor(lead.cast("bigint") * n / F.lit(65536)).cast("int")
+
+    every = range(1, repeats + 1)
+    places = F.array(*[F.struct(F.lit(r).alias("_repeat"), place(r).alias("_place")) for r in every])
+    counts = (
+        df.select(F.col(label).alias("_label"), F.inline(places))
+        .groupBy("_label", "_repeat", "_place")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    before = (
+        Window.partitionBy("_label", "_repeat")
+        .orderBy("_place")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    for repeat in every:
+        mine = offsets.where(F.col("_repeat") == repeat).select("_label", "_place", "_before")
+        placed = df.withColumns(
+            {"_hash": seeded_hash(f"{seed}:{repeat}", key), "_bucket": place(repeat)}
         )
         same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_place"))
         inside = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
         number = F.row_number().over(inside) - 1 + F.col("_before")
         df = (
-            placed.join(F.broadcast(offsets), same)
+            placed.join(F.broadcast(mine), same)
             .withColumn(f"fold_{repeat}", (number % k).cast("int"))
             .drop("_hash", "_bucket", "_label", "_place", "_before")
         )

@@ -45,37 +45,52 @@ def carry_fill(
 ) -> DataFrame:
     """Fill gaps with the last value before them; leading gaps with the first value.
 
-    ``order_key`` is a unique number, date or timestamp. Each bucket passes on its
-    last filled values (one row per bucket, broadcast).
+    ``order_key`` is a unique number, date or timestamp. Per bucket and column only
+    the order key of the last filled row is aggregated (fixed width, so by hash and
+    without a sort); the few rows to carry from are then looked up by key.
     """
     placed = _with_bucket(df, order_key, _cut_points(df, order_key, buckets))
-    filled_key = {name: F.when(F.col(name).isNotNull(), F.col(order_key)) for name in cols}
+    filled = {name: F.when(F.col(name).isNotNull(), F.col(order_key)) for name in cols}
     ends = placed.groupBy("_bucket").agg(
-        *[F.max_by(name, filled_key[name]).alias(f"_last_{name}") for name in cols],
-        *[F.min_by(name, filled_key[name]).alias(f"_first_{name}") for name in cols],
+        *[F.max(filled[name]).alias(f"_last_{name}") for name in cols],
+        *[F.min(filled[name]).alias(f"_first_{name}") for name in cols],
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = ends.select(
-        "_bucket",
-        *[
-            F.coalesce(
-                F.last(f"_last_{name}", ignorenulls=True).over(before),
-                F.first(f"_first_{name}", ignorenulls=True).over(whole),
-            ).alias(f"_carry_{name}")
-            for name in cols
-        ],
+    sources = settle(
+        ends.select(
+            "_bucket",
+            *[
+                F.coalesce(
+                    F.last(f"_last_{name}", ignorenulls=True).over(before),
+                    F.min(f"_first_{name}").over(whole),
+                ).alias(f"_from_{name}")
+                for name in cols
+            ],
+        )
+    )
+    # At most one row per bucket and column.
+    wanted = sources.select(
+        F.explode(F.array_distinct(F.array(*[f"_from_{name}" for name in cols]))).alias("_key")
+    ).distinct()
+    rows = settle(
+        df.select(F.col(order_key).alias("_key"), *cols).join(F.broadcast(wanted), "_key", "left_semi")
     )
+    carried = sources
+    for name in cols:
+        lookup = rows.select(F.col("_key").alias(f"_from_{name}"), F.col(name).alias(f"_carry_{name}"))
+        carried = carried.join(F.broadcast(lookup), f"_from_{name}", "left").drop(f"_from_{name}")
+
     inside = (
         Window.partitionBy("_bucket").orderBy(order_key).rowsBetween(Window.unboundedPreceding, 0)
     )
-    filled = placed.join(F.broadcast(carried), "_bucket").withColumns(
+    full = placed.join(F.broadcast(carried), "_bucket").withColumns(
         {
             name: F.coalesce(F.last(name, ignorenulls=True).over(inside), F.col(f"_carry_{name}"))
             for name in cols
         }
     )
-    return filled.select(*df.columns)
+    return full.select(*df.columns)
 
 
 def running_totals(

@@ -222,7 +222,7 @@ def vote_features(
     monotone bins). A selector votes for its ``each`` best features (``keep`` unless
     given). Only one number per feature and selector reaches the driver.
     """
-    labelled = df.where(F.col(label).isNotNull()).select(label, *cols)
+    labelled = settle(df.where(F.col(label).isNotNull()).select(label, *cols))
     numeric = _numeric(df, cols)
     bins = monotone_bins(labelled, numeric, label) if numeric else None
     binned = assign_bins(labelled, bins) if bins is not None else labelled

@@ -25,7 +25,8 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("goods"),
+            # Summed as whole cents: exact in any order, and cheaper than decimals.
+            (F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("goods"),
             F.count(F.lit(1)).alias("lines"),
         )
     )

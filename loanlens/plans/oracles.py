@@ -246,7 +246,7 @@ ORACLES: dict[str, str] = {
     "read_csv": "SELECT * FROM orders",
     "register": app("SELECT CODE_GENDER, count(*) AS applicants FROM app GROUP BY CODE_GENDER"),
     "read_table": "SELECT o_orderkey, o_totalprice FROM orders",
-    "write_prepared": app("SELECT * REPLACE (round(AMT_ANNUITY, 6) AS AMT_ANNUITY) FROM app"),
+    "write_prepared": app("SELECT * FROM app"),
     "sample_rows": app(
         "SELECT SK_ID_CURR, TARGET, AMT_CREDIT FROM app "
         "ORDER BY md5('7:' || CAST(SK_ID_CURR AS VARCHAR)), SK_ID_CURR LIMIT 10"

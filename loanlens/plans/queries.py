@@ -73,7 +73,7 @@ def read_table(spark, sf_dir):
 def write_prepared(spark, sf_dir):
     path = new_path(spark, "prepared")
     sources.write_prepared(applications(spark, sf_dir), path)
-    return rounded(spark.read.parquet(path), 6, "AMT_ANNUITY")
+    return spark.read.parquet(path)
 
 
 @query
@@ -314,7 +314,7 @@ def log_distribution(spark, sf_dir):
 
 @query
 def density(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = settle(applications(spark, sf_dir).select("AMT_CREDIT", "AMT_GOODS_PRICE"))
     curves = joins.union_rows(
         distributions.density(df, "AMT_CREDIT"),
         distributions.density(df, "AMT_GOODS_PRICE"),
@@ -370,7 +370,9 @@ def union_rows(spark, sf_dir):
 
 @query
 def carry_fill(spark, sf_dir):
-    df = applications(spark, sf_dir).select("SK_ID_CURR", "OCCUPATION_TYPE", "AMT_GOODS_PRICE")
+    df = settle(
+        applications(spark, sf_dir).select("SK_ID_CURR", "OCCUPATION_TYPE", "AMT_GOODS_PRICE")
+    )
     return windows.carry_fill(df, ["OCCUPATION_TYPE", "AMT_GOODS_PRICE"], "SK_ID_CURR")
 
 
@@ -514,8 +516,9 @@ def woe_table(spark, sf_dir):
 
 @query
 def monotone_bins(spark, sf_dir):
-    df = featured(spark, sf_dir)
-    return woe.monotone_bins(df, ["AMT_CREDIT", "AMT_GOODS_PRICE", "YEARS_OLD"], "TARGET")
+    cols = ["AMT_CREDIT", "AMT_GOODS_PRICE", "YEARS_OLD"]
+    df = settle(featured(spark, sf_dir).select("TARGET", *cols))
+    return woe.monotone_bins(df, cols, "TARGET")
 
 
 @query
@@ -558,7 +561,7 @@ COMPONENT_COLUMNS = [
 
 @query
 def pca(spark, sf_dir):
-    df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *COMPONENT_COLUMNS)
+    df = settle(featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *COMPONENT_COLUMNS))
     found = components.pca(df, COMPONENT_COLUMNS, settings.COMPONENTS)
     names = [f"principal_component_{i + 1}" for i in range(settings.COMPONENTS)]
     return rounded(found.select("SK_ID_CURR", "TARGET", *names), 6, *names)
@@ -566,7 +569,7 @@ def pca(spark, sf_dir):
 
 @query
 def pca_of_two(spark, sf_dir):
-    df = applications(spark, sf_dir).select("SK_ID_CURR", "AMT_CREDIT", "AMT_ANNUITY")
+    df = settle(applications(spark, sf_dir).select("SK_ID_CURR", "AMT_CREDIT", "AMT_ANNUITY"))
     found = components.pca(df, ["AMT_CREDIT", "AMT_ANNUITY"], 2)
     names = ["principal_component_1", "principal_component_2"]
     # Both loadings are equally large here, so the sign of the second is left open.
@@ -579,14 +582,14 @@ def pca_of_two(spark, sf_dir):
 
 @query
 def explained_variance(spark, sf_dir):
-    df = applications(spark, sf_dir).select("AMT_CREDIT", "AMT_ANNUITY")
+    df = settle(applications(spark, sf_dir).select("AMT_CREDIT", "AMT_ANNUITY"))
     model = components.fit_pca(df, ["AMT_CREDIT", "AMT_ANNUITY"], 2)
     return rounded(components.explained_variance(model, df), 8, "explained_variance", "cumulative")
 
 
 @query
 def explained_variance_of_seven(spark, sf_dir):
-    df = featured(spark, sf_dir).select(COMPONENT_COLUMNS)
+    df = settle(featured(spark, sf_dir).select(COMPONENT_COLUMNS))
     model = components.fit_pca(df, COMPONENT_COLUMNS, settings.COMPONENTS)
     return rounded(components.explained_variance(model, df), 8, "explained_variance", "cumulative")
 
@@ -686,7 +689,7 @@ def cv_results(spark, sf_dir):
 
 @query
 def stratified_folds(spark, sf_dir):
-    df = applications(spark, sf_dir).select("SK_ID_CURR", "TARGET")
+    df = settle(applications(spark, sf_dir).select("SK_ID_CURR", "TARGET"))
     return prep.stratified_folds(df, "TARGET", "SK_ID_CURR", k=10, repeats=3)
 
 
