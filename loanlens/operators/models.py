@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.session import small_frame
+from loanlens.session import settle, small_frame
 
 # Settings that change neither the ranking of the rows nor the AUC of a logistic model.
 NEUTRAL_SETTINGS = ("aggregationDepth", "threshold")
@@ -133,8 +133,9 @@ def cross_validate(
 
     Without ``fold_col`` Spark's ``CrossValidator`` draws the folds at random. With
     a column of fold numbers from 0 (see ``stratified_folds``) the folds are plain
-    filters of the cached rows; ``CrossValidator`` would test that column with a
-    Python function row by row.
+    filters of the rows, which are written once with only the columns the estimator
+    reads; ``CrossValidator`` would test the fold column with a Python function row
+    by row.
     """
     maps = _param_maps(estimator, distinct_grid(grid))
     names = [_setting(params) for params in maps]
@@ -150,21 +151,37 @@ def cross_validate(
         ).fit(train)
         return Search(model.bestModel, names, model.avgMetrics, model.stdMetrics)
 
-    train = train.persist()
-    try:
-        def measure(task: tuple[int, dict]) -> float:
-            fold, params = task
-            model = estimator.fit(train.where(F.col(fold_col) != fold), params)
-            return evaluator.evaluate(model.transform(train.where(F.col(fold_col) == fold)))
+    used = [fold_col, label]
+    for name in ("featuresCol", "weightCol"):
+        if estimator.hasParam(name) and estimator.isDefined(name):
+            used.append(estimator.getOrDefault(name))
+    # An estimator of several stages reads columns that are not known here.
+    rows = settle(train.select(used) if estimator.hasParam("featuresCol") else train)
+    measured = _over_folds(estimator, maps, rows, evaluator, folds, fold_col, parallelism)
+    means = [fmean(found) for found in measured]
+    best = estimator.fit(rows, maps[means.index(max(means))])
+    return Search(best, names, means, [pstdev(found) for found in measured])
 
-        with ThreadPool(parallelism) as pool:
-            measured = pool.map(measure, [(fold, params) for params in maps for fold in range(folds)])
-        by_setting = [measured[i * folds : (i + 1) * folds] for i in range(len(maps))]
-        means = [fmean(found) for found in by_setting]
-        best = estimator.fit(train, maps[means.index(max(means))])
-    finally:
-        train.unpersist()
-    return Search(best, names, means, [pstdev(found) for found in by_setting])
+
+def _over_folds(
+    estimator: Estimator,
+    maps: list,
+    rows: DataFrame,
+    evaluator: BinaryClassificationEvaluator,
+    folds: int,
+    fold_col: str,
+    parallelism: int,
+) -> list[list[float]]:
+    """The measure of each setting on each fold, fitted on the other folds."""
+
+    def measure(task: tuple[dict, int]) -> float:
+        params, fold = task
+        model = estimator.fit(rows.where(F.col(fold_col) != fold), params)
+        return evaluator.evaluate(model.transform(rows.where(F.col(fold_col) == fold)))
+
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(measure, list(product(maps, range(folds))), chunksize=1)
+    return [found[i * folds : (i + 1) * folds] for i in range(len(maps))]
 
 
 def _setting(params: Mapping) -> str:
@@ -208,31 +225,33 @@ def grid_search_boosted(
     """Boosted-tree settings by area under ROC over repeated stratified folds.
 
     ``fold_cols`` are the repeats made by ``stratified_folds``. Mean and deviation
-    are over all repeats and folds. The class weight is a column, so each of its
-    values is a search of its own.
+    are over all repeats and folds. The class weight is a column, derived from the
+    one written table for each of its values.
     """
     tree = {_BOOSTED_NAMES[n]: v for n, v in grid.items() if n in _BOOSTED_NAMES}
     if "featureSubsetStrategy" in tree:
         tree["featureSubsetStrategy"] = [str(v) for v in tree["featureSubsetStrategy"]]
     if "maxDepth" in tree:
         tree["maxDepth"] = sorted({min(v, 30) for v in tree["maxDepth"]})
-    moments: dict[str, list[tuple[float, float]]] = {}
-    for weight, fold_col in product(grid.get("scale_pos_weight", [1]), fold_cols):
-        weighted = positive_weight(df, label, weight, "_weight")
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    rows = settle(df.select(label, "features", *fold_cols))
+    results = []
+    for weight in grid.get("scale_pos_weight", [1]):
+        weighted = positive_weight(rows, label, weight, "_weight")
         if "gamma" in grid:
             total = weighted.agg(F.sum("_weight")).head()[0]
             tree["minInfoGain"] = [gamma / total for gamma in grid["gamma"]]
         estimator = boosted_estimator(label, "_weight", seed=seed)
-        search = cross_validate(estimator, tree, weighted, folds, label, fold_col, parallelism)
-        for setting, mean, sd in zip(search.settings, search.means, search.deviations):
-            name = f"scale_pos_weight={weight}, {setting}".rstrip(", ")
-            moments.setdefault(name, []).append((mean, sd))
-    rows = []
-    for name, found in moments.items():
-        mean = fmean(m for m, _ in found)
-        square = fmean(sd * sd + m * m for m, sd in found)
-        rows.append((name, mean, max(square - mean * mean, 0.0) ** 0.5))
-    return _results(df.sparkSession, rows)
+        maps = _param_maps(estimator, tree)
+        repeats = [
+            _over_folds(estimator, maps, weighted, evaluator, folds, fold_col, parallelism)
+            for fold_col in fold_cols
+        ]
+        for params, *measured in zip(maps, *repeats):
+            found = [value for repeat in measured for value in repeat]
+            name = f"scale_pos_weight={weight}, {_setting(params)}".rstrip(", ")
+            results.append((name, fmean(found), pstdev(found)))
+    return _results(df.sparkSession, results)
 
 
 def vector_names(df: DataFrame, vector: str = "features") -> list[str]:
