@@ -101,13 +101,15 @@ def density(
 def _pairwise_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per pair of columns, reduced map-side to as many rows as there are pairs:
     the size of the generated code does not depend on the number of columns."""
-    values = [nan_to_null(F.col(name).cast("double")) for name in cols]
+    narrow = df.select(
+        [nan_to_null(F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(cols)]
+    )
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    long = df.select(
+    long = narrow.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(k).alias("pair"), values[i].alias("a"), values[j].alias("b"))
+                    F.struct(F.lit(k).alias("pair"), F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b"))
                     for k, (i, j) in enumerate(pairs)
                 ]
             )

@@ -9,29 +9,27 @@ from loanlens.operators.summaries import _predicate
 
 
 def semi_join_where(
-    df: DataFrame, key: str, predicate: Column | str, hot_share: float = 0.001, salts: int = 64
+    df: DataFrame, key: str, predicate: Column | str, hot_share: float = 0.001
 ) -> DataFrame:
     """Rows whose key is among the keys of the rows that meet the predicate.
 
-    The keys are reduced to one row each before the join. A key that holds more
-    than ``hot_share`` of all rows is salted: its rows are spread over ``salts``
-    parts and its one key row is repeated for each of them. At most
-    ``1 / hot_share`` keys can be that frequent, which bounds the broadcast list
-    of hot keys.
+    The keys are reduced to one row each before the join. Rows of a key that holds
+    more than ``hot_share`` of all rows are never shuffled, not even when they are
+    copies of each other: they are matched against a broadcast list of those keys,
+    which has at most ``1 / hot_share`` entries. All other keys are small, so their
+    shuffle is even.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    keys = (
-        df.groupBy(key)
-        .agg(F.count_if(_predicate(predicate)).alias("_hits"), F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_hits") > 0) & F.col(key).isNotNull())
-        .withColumn("_hot", F.col("_n") > hot_share * total)
+    keyed = df.where(F.col(key).isNotNull())
+    total = keyed.agg(F.count(F.lit(1))).scalar()
+    keys = keyed.groupBy(key).agg(
+        (F.count_if(_predicate(predicate)) > 0).alias("_hit"),
+        (F.count(F.lit(1)) > hot_share * total).alias("_hot"),
     )
-    hot = keys.where("_hot").select(key, F.lit(True).alias("_is_hot"))
-    parts = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    wanted = keys.select(key, F.explode(F.sequence(F.lit(0), parts)).alias("_salt"))
-    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0))
-    salted = df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int"))
-    return salted.join(wanted, [key, "_salt"], "left_semi").select(*df.columns)
+    hot = keys.where("_hot")
+    frequent = keyed.join(F.broadcast(hot.where("_hit").select(key)), key, "left_semi")
+    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = keys.where("_hit AND NOT _hot").select(key)
+    return frequent.unionByName(rest.join(cold, key, "left_semi")).select(*df.columns)
 
 
 def attach_by_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
@@ -233,9 +234,14 @@ def vote_features(
     )
     vectors = settle(vectors)
 
-    chi = ChiSquareTest.test(vectors, "features", "label").head()
-    forest = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed).fit(vectors)
-    lasso = LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=50).fit(vectors)
+    # The selectors do not depend on each other, so their jobs may overlap.
+    with ThreadPool(3) as pool:
+        chi_job = pool.apply_async(lambda: ChiSquareTest.test(vectors, "features", "label").head())
+        forest_job = pool.apply_async(RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed).fit, [vectors])
+        lasso_job = pool.apply_async(
+            LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=50).fit, [vectors]
+        )
+        chi, forest, lasso = chi_job.get(), forest_job.get(), lasso_job.get()
     spread = vectors.select(Summarizer.std(F.col("features"))).head()[0].toArray()
     iv = {r["feature"]: r["information_value"] for r in rank_by_iv(table, len(cols)).collect()}
     strength = {

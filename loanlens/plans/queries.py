@@ -499,9 +499,8 @@ def impute_chained(spark, sf_dir):
         applications(spark, sf_dir), "DAYS_EMPLOYED", settings.EMPLOYMENT_SENTINEL
     )
     cols = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_GOODS_PRICE", "CNT_CHILDREN", "DAYS_BIRTH", "DAYS_EMPLOYED"]
-    return rounded(
-        impute.impute_chained(df.select("SK_ID_CURR", *cols), cols, rounds=3), 2, "AMT_GOODS_PRICE"
-    )
+    df = settle(df.select("SK_ID_CURR", *cols))
+    return rounded(impute.impute_chained(df, cols, rounds=3), 2, "AMT_GOODS_PRICE")
 
 
 CATEGORIES = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REGION_RATING_CLIENT"]

@@ -134,15 +134,15 @@ def test_correlation_pairwise_and_complete(spark):
     assert abs(ranks["a", "b"] - -0.2) < 1e-12
 
 
-def test_semi_join_with_a_hot_key(spark):
-    # Key 1 holds more than a third of the rows; null keys never match.
-    data = [(1, i) for i in range(400)] + [(k, k) for k in range(2, 500)] + [(None, 1000)]
+@pytest.mark.parametrize("hot_share", [0.001, 0.1, 1.0])
+def test_semi_join_with_hot_keys(spark, hot_share):
+    # Key 1 holds a third of the rows and matches, key 2 as many copies of one row and
+    # does not; null keys never match.
+    data = [(1, i) for i in range(400)] + [(2, 5)] * 400 + [(k, k) for k in range(3, 400)] + [(None, 1000)]
     df = spark.createDataFrame(data, "k int, v int")
     wanted = {k for k, v in data if k is not None and v > 390}
-    expected = sorted((k, v) for k, v in data if k in wanted)
-    assert rows(joins.semi_join_where(df, "k", "v > 390")) == sorted(expected, key=str)
-    plan = joins.semi_join_where(df, "k", "v > 390")._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan
+    expected = sorted(((k, v) for k, v in data if k in wanted), key=str)
+    assert rows(joins.semi_join_where(df, "k", "v > 390", hot_share)) == expected
 
 
 def test_attach_and_union(spark):
