@@ -65,10 +65,13 @@ def index_labels(df: DataFrame, cols: Sequence[str], suffix: str = "Index") -> D
 def one_hot(
     df: DataFrame, cols: Sequence[str], drop_last: bool = True, suffix: str = "classVec"
 ) -> DataFrame:
-    """Sparse indicator vector of each category column, with or without its last category."""
+    """Sparse indicator vector of each category column, with or without its last category.
+
+    A missing category is an error: fill it first, or use ``prep_pipeline``.
+    """
     indexed = [name + "Index" for name in cols]
     stages = [
-        StringIndexer(inputCols=list(cols), outputCols=indexed, handleInvalid="skip"),
+        StringIndexer(inputCols=list(cols), outputCols=indexed),
         OneHotEncoder(
             inputCols=indexed, outputCols=[name + suffix for name in cols], dropLast=drop_last
         ),
@@ -79,6 +82,7 @@ def one_hot(
 def prep_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], label: str) -> Pipeline:
     """Unfitted stages: category indexes, indicators, label index, feature vector.
 
+    Every known category has an indicator; a missing or unseen one has none set.
     Fit it on the training rows and apply the fitted stages to both parts.
     """
     indexed = [name + "Index" for name in cat_cols]

@@ -74,7 +74,10 @@ def carry_fill(
         F.explode(F.array_distinct(F.array(*[f"_from_{name}" for name in cols]))).alias("_key")
     ).distinct()
     rows = settle(
-        df.select(F.col(order_key).alias("_key"), *cols).join(F.broadcast(wanted), "_key", "left_semi")
+        df.select(F.col(order_key).alias("_key"), *cols)
+        .join(F.broadcast(wanted), "_key", "left_semi")
+        .groupBy("_key")
+        .agg(*[F.max(name).alias(name) for name in cols])
     )
     carried = sources
     for name in cols:

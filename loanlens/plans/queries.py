@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -686,6 +686,16 @@ def cv_results(spark, sf_dir):
     return rounded(models.cv_results(search, spark), 6, "mean_auc", "sd_auc")
 
 
+@query
+def cross_validate_forest(spark, sf_dir):
+    train, test = model_parts(spark, sf_dir)
+    train = prep.stratified_folds(train, "TARGET", "SK_ID_CURR", k=2, repeats=1)
+    estimator = RandomForestClassifier(labelCol="TARGET", numTrees=5, seed=1)
+    grid = {"maxDepth": [2, 6], "impurity": ["gini", "entropy"]}
+    search = models.cross_validate(estimator, grid, train, folds=2, fold_col="fold_1")
+    return scored_rows(search.best_model, test)
+
+
 @query
 def stratified_folds(spark, sf_dir):
     df = settle(applications(spark, sf_dir).select("SK_ID_CURR", "TARGET"))

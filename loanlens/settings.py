@@ -105,6 +105,7 @@ FOREST_GRID = {
     "impurity": ["gini", "entropy"],
     "subsamplingRate": [0.2, 0.4, 0.7],
 }
+# The growth policy and both penalties of this grid have no counterpart in Spark.
 BOOSTED_GRID = {
     "scale_pos_weight": [1, 75, 92],
     "max_depth": [5, 15, 50, 80],

@@ -252,3 +252,33 @@ def test_grid_without_neutral_settings():
 
     assert size(settings.LOGISTIC_GRID) == 486 and size(models.distinct_grid(settings.LOGISTIC_GRID)) == 54
     assert size(settings.FOREST_GRID) == 216
+
+
+def test_shared_folder_is_required_off_one_machine():
+    from types import SimpleNamespace
+
+    from loanlens.session import work_dir
+
+    def session(master, named=None, set_dir=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: set_dir)
+        conf = SimpleNamespace(get=lambda key, default: named)
+        return SimpleNamespace(sparkContext=context, conf=conf)
+
+    assert work_dir(session("yarn", named="hdfs:///shared")) == "hdfs:///shared"
+    assert work_dir(session("yarn", set_dir="hdfs:///set")) == "hdfs:///set"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(session("yarn"))
+
+
+def test_missing_category_is_not_dropped(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, None, 0)], "id int, c string, y int")
+    ready = prep.prep_pipeline(["c"], ["id"], "y").fit(df).transform(df)
+    assert [list(r.features.toArray()) for r in ready.orderBy("id").collect()] == [[1.0, 1.0], [0.0, 2.0]]
+    two = df.union(spark.createDataFrame([(3, "b", 1)], df.schema))
+    with pytest.raises(Exception, match="(?i)null"):
+        prep.one_hot(two, ["c"]).collect()
+
+
+def test_carry_fill_keeps_rows_when_order_keys_repeat(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (2, None)], "k int, w string")
+    assert windows.carry_fill(df, ["w"], "k", buckets=3).count() == 4

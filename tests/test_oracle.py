@@ -23,6 +23,7 @@ ROWS_ONLY = {
     "boosted_trees",
     "score",
     "cross_validate",
+    "cross_validate_forest",
     "cv_results",
     "grid_search_boosted",
     "feature_importance",
