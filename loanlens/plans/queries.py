@@ -560,7 +560,8 @@ COMPONENT_COLUMNS = [
 
 @query
 def pca(spark, sf_dir):
-    df = settle(featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *COMPONENT_COLUMNS))
+    df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *COMPONENT_COLUMNS)
+    df = settle(df)
     found = components.pca(df, COMPONENT_COLUMNS, settings.COMPONENTS)
     names = [f"principal_component_{i + 1}" for i in range(settings.COMPONENTS)]
     return rounded(found.select("SK_ID_CURR", "TARGET", *names), 6, *names)
@@ -608,12 +609,14 @@ MODEL_CATEGORIES = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
 
 
 def model_parts(spark, sf_dir):
-    """Train and test vectors, read from one prepared table that is written once."""
+    """Train and test vectors. The prepared table is written once, and so are the train
+    vectors, which every fit reads several times."""
     df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *MODEL_NUMBERS, *MODEL_CATEGORIES)
     train, test = prep.split(settle(df), "SK_ID_CURR")
-    train = prep.class_weights(train, "TARGET")
     stages = prep.prep_pipeline(MODEL_CATEGORIES, MODEL_NUMBERS, "TARGET").fit(train)
-    return stages.transform(train), stages.transform(test)
+    keep = ["SK_ID_CURR", "TARGET", "features"]
+    ready = prep.class_weights(stages.transform(train).select(keep), "TARGET")
+    return settle(ready), stages.transform(test).select(keep)
 
 
 def scored_rows(model, test):
@@ -629,9 +632,8 @@ def logistic(spark, sf_dir):
 
 @query
 def logistic_on_woe(spark, sf_dir):
-    df = settle(
-        featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *MODEL_NUMBERS, *MODEL_CATEGORIES)
-    )
+    df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *MODEL_NUMBERS, *MODEL_CATEGORIES)
+    df = settle(df)
     train, test = prep.split(df, "SK_ID_CURR", seed=12345)
     bins = woe.monotone_bins(train, MODEL_NUMBERS, "TARGET")
     cols = MODEL_NUMBERS + MODEL_CATEGORIES
@@ -706,7 +708,7 @@ def stratified_folds(spark, sf_dir):
 def grid_search_boosted(spark, sf_dir):
     train, _ = model_parts(spark, sf_dir)
     train = prep.stratified_folds(
-        train.select("SK_ID_CURR", "TARGET", "features"), "TARGET", "SK_ID_CURR", k=2, repeats=2
+        train.drop("classWeights"), "TARGET", "SK_ID_CURR", k=2, repeats=2
     )
     grid = {"max_depth": [2, 4], "n_estimators": [5]}
     found = models.grid_search_boosted(train, grid, ["fold_1", "fold_2"], folds=2)
