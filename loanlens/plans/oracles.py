@@ -407,7 +407,7 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
     "scale": app(
         "SELECT SK_ID_CURR, "
         + ", ".join(
-            r(f"{c} / (SELECT stddev_samp({c}) FROM app)", 8, f"scaled_{c}")
+            r(f"{c} / (SELECT stddev_samp({c}) FROM app)", 6, f"scaled_{c}")
             for c in ("AMT_CREDIT", "AMT_INCOME_TOTAL", "DAYS_BIRTH")
         )
         + " FROM app"
@@ -415,7 +415,7 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
     "zscore": app(
         "SELECT SK_ID_CURR, "
         + ", ".join(
-            r(f"({c} - (SELECT avg({c}) FROM app)) / (SELECT stddev_pop({c}) FROM app)", 8, f"norm_{c}")
+            r(f"({c} - (SELECT avg({c}) FROM app)) / (SELECT stddev_pop({c}) FROM app)", 6, f"norm_{c}")
             for c in ("AMT_CREDIT", "AMT_INCOME_TOTAL", "DAYS_BIRTH", "AMT_GOODS_PRICE")
         )
         + " FROM app"

@@ -440,7 +440,7 @@ def scale(spark, sf_dir):
     names = [f"scaled_{name}" for name in NUMBERS]
     scaled = prep.scale(applications(spark, sf_dir), NUMBERS)
     spread = prep.vector_columns(scaled, "scaled_features", names)
-    return rounded(spread.select("SK_ID_CURR", *names), 8, *names)
+    return rounded(spread.select("SK_ID_CURR", *names), 6, *names)
 
 
 @query
@@ -448,7 +448,7 @@ def zscore(spark, sf_dir):
     cols = [*NUMBERS, "AMT_GOODS_PRICE"]
     df = prep.zscore(applications(spark, sf_dir), cols)
     names = [f"norm_{name}" for name in cols]
-    return rounded(df.select("SK_ID_CURR", *names), 8, *names)
+    return rounded(df.select("SK_ID_CURR", *names), 6, *names)
 
 
 @query
