@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, packing, templates
+from loanlens.llm import hilbert, jaccard, packing, templates
 from loanlens.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op2_hilbert_shards(spark, sf_dir):
     )
 
 
+@query
+def op6_jaccard_classes(spark, sf_dir):
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return templates.contaminated(documents, benchmark)
 
