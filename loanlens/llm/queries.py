@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, packing, templates
+from loanlens.llm import hilbert, jaccard, langid, packing, templates
 from loanlens.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op2_hilbert_shards(spark, sf_dir):
     )
 
 
+@query
+def op4_marginal_language(spark, sf_dir):
+    return langid.identified(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_held_out").alias("held_out"), "_language.lang_pred", "_language.score"
+    )
+
+
 @query
 def op6_jaccard_classes(spark, sf_dir):
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
