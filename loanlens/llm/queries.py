@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, templates
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, templates
 from loanlens.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ def op6_jaccard_classes(spark, sf_dir):
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_weak_supervision(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("_spans", lambda s: s.base)
+    counts = [pii.count_of(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans")
+    )
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return templates.contaminated(documents, benchmark)
 
