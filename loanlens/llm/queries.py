@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, pii, templates
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, templates, warc
 from loanlens.llm.common import table, word_count
+from loanlens.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,6 +59,24 @@ def op4_marginal_language(spark, sf_dir):
     )
 
 
+@query
+def op5_warc_transactions(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.captures(warc.read_archives(spark, path))
+    response = F.col("response")
+    # The digest of what was read, where the payload itself is in the archive.
+    digest = F.coalesce(warc.base32_sha1(response.payload), response.payload_digest)
+    return captures.select(
+        "page_id",
+        response.payload_bytes.alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        response.type.alias("record_type"),
+        F.col("refers_to_page").alias("refers_to"),
+        (F.col("request.record_id").isNotNull() & F.col("metadata.record_id").isNotNull()).alias("is_complete"),
+    )
+
+
 @query
 def op6_jaccard_classes(spark, sf_dir):
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
