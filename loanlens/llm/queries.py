@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, pii, templates, warc
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, warc
 from loanlens.llm.common import table, word_count
-from loanlens.session import new_path
+from loanlens.session import new_path, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,4 +101,40 @@ def op8_template_leaks(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Second tokenizer version: letter runs, up to three digits, or other signs.
+PIECES = r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}\x20\x09-\x0D]+"
+
+
+@query
+def op9_token_rollup(spark, sf_dir):
+    """Documents arrive in two batches, one of which is delivered twice; every tenth is
+    withdrawn; every third is recounted with a newer tokenizer version."""
+    documents = table(spark, sf_dir, "documents")
+    text, key = F.col("text"), F.coalesce(F.col("doc_id"), F.lit(0))
+    both = settle(
+        documents.select(
+            "doc_id",
+            "source",
+            "lang",
+            word_count(text).alias("words"),
+            F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).alias("pieces"),
+        )
+    )
+    old = rollup.counted(both, "words-1", F.col("words"))
+    new = rollup.counted(both, "pieces-2", F.col("pieces"))
+    store = rollup.Rollup(spark, new_path(spark, "rollup"))
+    store.commit("0001", rollup.inserts(old.where(key % 2 == 0)))
+    store.commit("0002", rollup.inserts(old.where(key % 2 != 0)))
+    store.commit("0001", rollup.inserts(old.where(key % 2 == 0)))
+    store.commit("0003", rollup.deletes(old.where(key % 10 == 0)))
+    changed = (key % 10 != 0) & (key % 3 == 0)
+    store.commit("0004", rollup.revisions(old.where(changed), new.where(changed)))
+    return store.totals()
+
+
+@query
+def op10_preference_pairs(spark, sf_dir):
+    return preference.preference_pairs(preference.regenerated(table(spark, sf_dir, "conversations")))
+
+
 ORACLES: dict[str, str] = {}
