@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, warc
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, vptree, warc
 from loanlens.llm.common import table, word_count
 from loanlens.session import new_path, settle
 
@@ -52,6 +52,12 @@ def op2_hilbert_shards(spark, sf_dir):
     )
 
 
+@query
+def op3_vantage_points(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @query
 def op4_marginal_language(spark, sf_dir):
     return langid.identified(table(spark, sf_dir, "documents")).select(
