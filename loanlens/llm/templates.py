@@ -6,9 +6,9 @@ of a document and of a benchmark item are hash-joined, and the values behind the
 placeholders must map one to one between the two.
 
 Canonicalising every window of the corpus is not needed: each benchmark window names
-an anchor, its longest literal word, and only windows of the corpus around an equal
-word can be equal. Documents are exploded to words once, matched with the anchors,
-and only what is left becomes a window.
+its two longest literal words, and only windows of the corpus with equal words in
+these places can be equal. Documents are exploded to words once, matched with the
+longer word, checked for the other, and only what is left becomes a window.
 """
 
 from __future__ import annotations
@@ -76,12 +76,13 @@ def is_slot(form: Column) -> Column:
     return form.isin(NUMBER, NAME, UNIT)
 
 
-def anchor_of(window: Column) -> Column:
+def longest_literal(window: Column, other_than: Column | None = None) -> Column:
     """Place in the window of its longest literal word, the first of equals."""
-    longest = F.array_max(F.transform(window, lambda x: F.when(is_slot(x.form), 0).otherwise(F.length(x.form))))
-    return F.array_position(
-        F.transform(window, lambda x: F.when(is_slot(x.form), 0).otherwise(F.length(x.form))), longest
-    ).cast("int") - 1
+    skip = F.lit(-1) if other_than is None else other_than
+    lengths = F.transform(
+        window, lambda x, i: F.when(is_slot(x.form) | (i == skip), 0).otherwise(F.length(x.form))
+    )
+    return F.array_position(lengths, F.array_max(lengths)).cast("int") - 1
 
 
 def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, literals: int) -> DataFrame:
@@ -118,10 +119,13 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, lit
             "n_words",
             F.array_join(F.transform("window", lambda x: x.form), " ").alias("template"),
             F.filter("window", lambda x: is_slot(x.form)).alias("values"),
-            anchor_of(F.col("window")).alias("at"),
+            longest_literal(F.col("window")).alias("at"),
             "window",
         )
+        .withColumn("at2", longest_literal(F.col("window"), F.col("at")))
         .withColumn("anchor", F.get("window", F.col("at")).form)
+        .withColumn("second", F.get("window", F.col("at2")).form)
+        .withColumn("second", F.when(~is_slot(F.col("second")), F.col("second")))
         .where((F.col("anchor") != "") & F.col("item_id").isNotNull())
         .drop("window")
         .distinct()
@@ -160,7 +164,7 @@ def contaminated(
     documents are judged each; other columns are not read.
     """
     windows = settle(benchmark_windows(benchmark, item_key, text, width, literals))
-    anchors = windows.select("anchor", "at", "n_words").distinct()
+    anchors = windows.select("anchor", "at", "second", "at2", "n_words").distinct()
     # Key names of our own, so that other columns cannot clash.
     docs = documents.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).where(
         F.col("doc_id").isNotNull()
@@ -174,7 +178,9 @@ def contaminated(
     def windows_at(anchors: DataFrame) -> DataFrame:
         begin = F.col("pos") - F.col("at")
         found = single.join(anchors, "anchor").where(
-            (begin >= 0) & (begin + F.col("n_words") <= F.size("words"))
+            (begin >= 0)
+            & (begin + F.col("n_words") <= F.size("words"))
+            & (F.col("second").isNull() | (literal(F.get("words", begin + F.col("at2"))) == F.col("second")))
         )
         # With the word before, which tells whether the first one starts a sentence.
         return found.select(
