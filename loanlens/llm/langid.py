@@ -31,22 +31,22 @@ LANGUAGES = 400
 UNKNOWN = "und"
 _START = "▁"
 _LONGEST = 60  # letters; longer runs are cut into several words
-_CACHED = 200_000  # words that a task remembers, fewer with many languages
+_CACHED = 300_000  # words that a task remembers, fewer with many languages
 _CELLS = 4_000_000
 _SMOOTH = 0.01
 _SCALE = 1_000_000
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % _LONGEST)
 
 
-def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
-    """Pieces of a SentencePiece model, without control and byte pieces, by number."""
+def vocabulary(path: str = VOCABULARY) -> list[str]:
+    """Pieces of a SentencePiece model, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = dict.fromkeys(
         model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))
     )
-    return {piece: i for i, piece in enumerate(pieces)}
+    return list(pieces)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,29 +57,71 @@ def words_of(text: str | None) -> list[str]:
 
 def at_once(languages: int) -> int:
     """Words that share a lattice, so that its memory does not grow with the languages."""
-    return max(20, 8_000 // max(languages, 1))
+    return max(20, 16_000 // max(languages, 1))
+
+
+class Pieces:
+    """The vocabulary as hashes of 64 bits, in which substrings of many words are looked
+    up at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 20
+
+    def __init__(self, vocabulary: list[str]):
+        self.count = len(vocabulary)
+        self.longest = max(map(len, vocabulary), default=0)
+        whole, begun, base = [], set(), int(self.BASE)
+        for piece in vocabulary:
+            h = 0
+            for c in piece:
+                h = (h * base + ord(c) + 1) % 2**64
+                begun.add(h)
+            whole.append(h)
+        self.number = np.argsort(np.array(whole, np.uint64), kind="stable")
+        self.hashes = np.array(whole, np.uint64)[self.number]
+        #: Which leading bits occur in hashes of pieces, and in those of their beginnings.
+        self.whole, self.begun = (np.zeros(1 << self.BITS, bool) for _ in range(2))
+        self.whole[self.lead(self.hashes)] = True
+        self.begun[self.lead(np.array(list(begun), np.uint64))] = True
+
+    def lead(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and the pieces."""
+        maybe = np.flatnonzero(self.whole[self.lead(hashes)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), max(self.count - 1, 0))
+        sure = self.hashes[at] == hashes[maybe] if self.count else np.zeros(0, bool)
+        return maybe[sure], self.number[at[sure]]
 
 
 class Lattice:
     """All pieces of many words: word, begin, end and piece of each, by end."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        longest = max(map(len, pieces), default=1)
-        unknown, get = len(pieces), pieces.get
-        arcs: list[tuple[int, int, int, int]] = []
-        for number, word in enumerate(words):
-            word = _START + word
-            size = len(word)
-            for begin in range(size):
-                if get(word[begin]) is None:
-                    arcs.append((begin + 1, number, begin, unknown))
-                for end in range(begin + 1, min(size, begin + longest) + 1):
-                    piece = get(word[begin:end])
-                    if piece is not None:
-                        arcs.append((end, number, begin, piece))
-        arcs.sort()
-        self.end, self.word, self.begin, self.piece = np.array(arcs, dtype=np.int64).reshape(-1, 4).T
+    def __init__(self, words: list[str], pieces: Pieces):
         self.sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        codes = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        ends = np.cumsum(self.sizes)
+        word = np.repeat(np.arange(len(words)), self.sizes)
+        begin = np.arange(len(codes)) - np.repeat(ends - self.sizes, self.sizes)
+        left = np.repeat(ends, self.sizes) - np.arange(len(codes))  # letters up to the end
+        at, hashes, arcs = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        for length in range(1, max(pieces.longest, 1) + 1):
+            hashes = hashes * pieces.BASE + codes[at + length - 1] + np.uint64(1)
+            where, piece = pieces.find(hashes)
+            arcs.append((at[where], np.full(len(where), length), piece))
+            if length == 1:
+                other = np.ones(len(at), bool)
+                other[where] = False
+                arcs.append((at[other], np.ones(other.sum(), np.int64), np.full(other.sum(), pieces.count)))
+            go_on = (left[at] > length) & pieces.begun[pieces.lead(hashes)]
+            at, hashes = at[go_on], hashes[go_on]
+            if not len(at):
+                break
+        at, length, piece = (np.concatenate(x) for x in zip(*arcs))
+        end = begin[at] + length
+        order = np.argsort(end * len(words) + word[at], kind="stable")
+        self.end, self.word, self.begin, self.piece = (x[order] for x in (end, word[at], begin[at], piece))
         self.steps = np.searchsorted(self.end, np.arange(1, self.sizes.max(initial=0) + 2))
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
@@ -107,7 +149,7 @@ class Lattice:
         beta[rows, self.sizes] = 1
         for end in range(alpha.shape[1] - 1, 0, -1):
             arcs = slice(self.steps[end - 1], self.steps[end])
-            np.add.at(beta, (self.word[arcs], self.begin[arcs]), beta[self.word[arcs], end][:, :] * probability[self.piece[arcs]])
+            np.add.at(beta, (self.word[arcs], self.begin[arcs]), beta[self.word[arcs], end] * probability[self.piece[arcs]])
         share = weights / np.maximum(alpha[rows, self.sizes], 1e-300)
         mass = alpha[self.word, self.begin] * probability[self.piece] * beta[self.word, self.end] * share[self.word]
         counts = np.zeros_like(probability)
@@ -121,7 +163,7 @@ class Model:
 
     languages: list[str]
     prior: np.ndarray
-    pieces: dict[str, int]
+    pieces: Pieces
     probability: np.ndarray
 
 
@@ -146,8 +188,8 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "do
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)
     rows = {r["lang"]: r["count"] for r in counts}
-    pieces = vocabulary(path)
-    probability = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
+    pieces = Pieces(vocabulary(path))
+    probability = np.full((pieces.count + 1, len(languages)), 1.0 / (pieces.count + 1))
     prior = np.log(np.array([rows[x] for x in languages], dtype=float) / max(sum(rows.values()), 1))
     if not languages:
         return Model(languages, prior, pieces, probability)
@@ -211,7 +253,10 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
 
         def evidence(words: list[str]) -> np.ndarray:
             """Sum of the log probabilities of words, in parts that the table can hold."""
-            total = np.zeros(width)
+            try:
+                return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+            except KeyError:
+                total = np.zeros(width)
             for begin in range(0, len(words), cached // 2):
                 part = words[begin : begin + cached // 2]
                 new = [w for w in dict.fromkeys(part) if w not in known]
@@ -227,7 +272,7 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
             # New words of many texts are looked up together.
             for begin in range(0, len(series), 200):
                 split = [words_of(t) for t in series.iloc[begin : begin + 200]]
-                new = {w: None for words in split for w in words if w not in known}
+                new = set().union(*split).difference(known)
                 if len(new) + len(known) <= cached:
                     learn(list(new))
                 for words in split:
