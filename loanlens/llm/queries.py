@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, vptree, warc
 from loanlens.llm.common import table, word_count
+from loanlens.llm.oracles import ORACLES  # noqa: F401
 from loanlens.session import new_path, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +141,8 @@ def op9_token_rollup(spark, sf_dir):
 
 @query
 def op10_preference_pairs(spark, sf_dir):
-    return preference.preference_pairs(preference.regenerated(table(spark, sf_dir, "conversations")))
-
-
-ORACLES: dict[str, str] = {}
+    pairs = preference.preference_pairs(preference.regenerated(table(spark, sf_dir, "conversations")))
+    # The spans of the masks as text.
+    span = lambda s: F.concat_ws("-", s.start.cast("string"), s["end"].cast("string"))
+    masks = ("chosen_mask", "rejected_mask")
+    return pairs.withColumns({m: F.array_join(F.transform(m, span), ",") for m in masks})
