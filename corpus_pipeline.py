@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm import jaccard, langid, packing, pii, templates
-from loanlens.llm.common import table, word_count
+from loanlens.llm.common import looked_up, table, word_count
 from loanlens.session import settle
 
 #: Probability of the best language below which a text has none.
 LEAST_SCORE = 0.5
-#: Keys of 8 bytes that are broadcast at most.
-LOOKUP = 4_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +40,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return one_each(without(docs, later))
 
 
-def looked_up(ids: DataFrame) -> DataFrame:
-    """The ids, broadcast if there are few; more are shuffled with the documents."""
-    ids = settle(ids)
-    return F.broadcast(ids) if ids.count() <= LOOKUP else ids
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(looked_up(ids), "doc_id", "left_anti").select(*docs.columns)
 

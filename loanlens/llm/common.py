@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.session import settle
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a few numbers that are broadcast at most, some 50 MB.
+LOOKUP = 500_000
+
+
+def looked_up(light: DataFrame, most: int = LOOKUP) -> DataFrame:
+    """A light side of a join, written and counted: broadcast if it has few rows; more are
+    shuffled with the other side."""
+    light = settle(light)
+    return F.broadcast(light) if light.count() <= most else light
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

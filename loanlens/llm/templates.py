@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.session import settle
@@ -86,8 +86,8 @@ def longest_literal(window: Column, other_than: Column | None = None) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, literals: int) -> DataFrame:
-    """Template windows of items: item, n_windows, place, n_words, template, values,
-    anchor word and its place. An item of fewer words than ``width`` is one window.
+    """Template windows of items: item, its number of windows, place, n_words, template,
+    values, and its two longest words with their places. An item of fewer words than ``width`` is one window.
 
     The first word of an item counts once as the begin of a sentence and once as not,
     since a document may quote it in the middle of one. Windows with fewer literal words
@@ -100,21 +100,19 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, lit
     cut = coded.select(
         "item_id",
         "start",
-        (F.size("coded") - span + 1).alias("n_windows"),
         span.alias("n_words"),
         "coded",
         F.explode(F.sequence(F.lit(0), F.size("coded") - span)).alias("place"),
     ).where(F.col("start") | (F.col("place") == 0))
     window = F.slice("coded", F.col("place") + 1, F.col("n_words"))
     return (
-        cut.select("item_id", "n_windows", "place", "n_words", window.alias("window"))
+        cut.select("item_id", "place", "n_words", window.alias("window"))
         .where(
             F.size(F.filter("window", lambda x: ~is_slot(x.form) & (x.form != "")))
             >= F.least(F.lit(literals), F.col("n_words"))
         )
         .select(
             "item_id",
-            "n_windows",
             "place",
             "n_words",
             F.array_join(F.transform("window", lambda x: x.form), " ").alias("template"),
@@ -129,6 +127,7 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, lit
         .where((F.col("anchor") != "") & F.col("item_id").isNotNull())
         .drop("window")
         .distinct()
+        .withColumn("n_windows", F.size(F.collect_set("place").over(Window.partitionBy("item_id"))))
     )
 
 
