@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import looked_up
+from loanlens.session import settle
+
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 BETWEEN = "\r\n\r\n"
@@ -41,8 +44,9 @@ def payloads(pages: DataFrame, key: str, url: str, html: str, least: int) -> Dat
     """Pages with digest, size and the page whose response holds the payload.
 
     Of pages with equal payloads of at least ``least`` bytes the largest key has the
-    response. A digest in a third of the rows meets one row of the other side, and its
-    join is left to adaptive execution, which splits it.
+    response. Only keys and digests are shuffled to find it; a digest in a third of the
+    rows meets one row of the other side, and its join is left to adaptive execution,
+    which splits it. What comes back to the pages is a row for each revisit.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     own = pages.select(
@@ -52,17 +56,17 @@ def payloads(pages: DataFrame, key: str, url: str, html: str, least: int) -> Dat
         F.octet_length(body).cast("bigint").alias("bytes"),
         base32_sha1(F.encode(body, "UTF-8")).alias("digest"),
     )
-    # Only payloads that occur again have another row to look up.
+    light = settle(own.where(F.col("bytes") >= least).select("page_id", "digest"))
     holders = (
-        own.where(F.col("bytes") >= least)
-        .groupBy(F.col("digest").alias("_digest"))
+        light.groupBy("digest")
         .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("times"))
         .where("times > 1")
-        .select("_digest", "holder")
+        .select("digest", "holder")
     )
-    return own.join(
-        holders, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= least), "left"
-    ).withColumn("holder", F.coalesce("holder", "page_id"))
+    revisits = light.join(holders, "digest").where("page_id != holder").distinct()
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "holder")
+    same = (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    return own.join(looked_up(revisits), same, "left").withColumn("holder", F.coalesce("holder", "page_id"))
 
 
 def _block(headers: list[tuple[str, Column | str]], body: Column) -> Column:
@@ -137,14 +141,13 @@ def write_archives(
         [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", k)), *common, page, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
         about,
     )
-    size = pages.agg(F.sum(F.octet_length(html) + 1_000)).first()[0] or 0
-    files = max(1, -(-int(size) // FILE_BYTES))
+    size = pages.agg(F.sum(F.octet_length(html) + 1_000), F.count(F.lit(1))).first()
+    each = max(1, (size[0] or 0) // max(size[1], 1))
     (
-        rows.select("page_id", F.explode(F.array(request, answer, metadata)).alias("value"))
-        .repartition(files, F.xxhash64("page_id", F.md5("value")))
-        .select("value")
+        rows.select(F.explode(F.array(request, answer, metadata)).alias("value"))
         .write.option("lineSep", BETWEEN)
         .option("compression", "gzip")
+        .option("maxRecordsPerFile", max(3, 3 * FILE_BYTES // each))
         .text(path)
     )
 
