@@ -1,6 +1,7 @@
 from loanlens.functions.columns import (  # noqa: F401
-    hash_percent,
+    hash_number,
     is_missing,
+    known,
     log_or_null,
     nan_to_null,
     ratio,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(column: Column | str) -> Column:
@@ -46,9 +47,16 @@ def threshold_flag(score: Column | str, cut: float) -> Column:
 
 def seeded_hash(seed, key: Column | str) -> Column:
     """Hex digest of seed and key: the same for a row whatever the partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), _col(key).cast("string")))
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", seed, _col(key).cast("string")))
 
 
-def hash_percent(seed, key: Column | str) -> Column:
-    """A number from 0 to 99 spread evenly over the keys."""
-    return F.conv(F.substring(seeded_hash(seed, key), 1, 8), 16, 10).cast("bigint") % 100
+def hash_number(seed, key: Column | str) -> Column:
+    """A number below 2**32 spread evenly over the keys."""
+    return F.conv(F.substring(seeded_hash(seed, key), 1, 8), 16, 10).cast("bigint")
+
+
+def known(df: DataFrame, column: str) -> Column:
+    """The column, with NaN as null where it is a floating-point one."""
+    floating = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+    return nan_to_null(column) if floating else F.col(column)

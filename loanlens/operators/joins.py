@@ -8,28 +8,15 @@ from pyspark.sql import functions as F
 from loanlens.operators.summaries import _predicate
 
 
-def semi_join_where(
-    df: DataFrame, key: str, predicate: Column | str, hot_share: float = 0.001
-) -> DataFrame:
+def semi_join_where(df: DataFrame, key: str, predicate: Column | str) -> DataFrame:
     """Rows whose key is among the keys of the rows that meet the predicate.
 
-    The keys are reduced to one row each before the join. Rows of a key that holds
-    more than ``hot_share`` of all rows are never shuffled, not even when they are
-    copies of each other: they are matched against a broadcast list of those keys,
-    which has at most ``1 / hot_share`` entries. All other keys are small, so their
-    shuffle is even.
+    The predicate filters at the scan and its keys are reduced to one row each before
+    they are shuffled. Rows of a key that holds many rows are split by adaptive
+    execution, as the other side has one row for it.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    total = keyed.agg(F.count(F.lit(1))).scalar()
-    keys = keyed.groupBy(key).agg(
-        (F.count_if(_predicate(predicate)) > 0).alias("_hit"),
-        (F.count(F.lit(1)) > hot_share * total).alias("_hot"),
-    )
-    hot = keys.where("_hot")
-    frequent = keyed.join(F.broadcast(hot.where("_hit").select(key)), key, "left_semi")
-    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
-    cold = keys.where("_hit AND NOT _hot").select(key)
-    return frequent.unionByName(rest.join(cold, key, "left_semi")).select(*df.columns)
+    keys = df.where(_predicate(predicate)).where(F.col(key).isNotNull()).select(key).distinct()
+    return df.join(keys, key, "left_semi").select(*df.columns)
 
 
 def attach_by_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -16,12 +16,16 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.functions import hash_number
 from loanlens.session import settle, small_frame
 
+# The deepest tree that Spark grows.
+DEEPEST = 30
+
 # Settings that change neither the ranking of the rows nor the AUC of a logistic model.
 NEUTRAL_SETTINGS = ("aggregationDepth", "threshold")
 
@@ -38,6 +42,12 @@ def random_forest(train: DataFrame, label: str = "TARGET", seed: int = 1, **para
     return RandomForestClassifier(labelCol=label, seed=seed, **params).fit(train)
 
 
+def _depth(depth: int) -> int:
+    if depth > DEEPEST:
+        raise ValueError(f"Spark grows trees of depth {DEEPEST} at most, not {depth}")
+    return depth
+
+
 def boosted_estimator(
     label: str = "TARGET",
     weight: str | None = None,
@@ -61,7 +71,7 @@ def boosted_estimator(
     estimator = GBTClassifier(
         labelCol=label,
         stepSize=learning_rate,
-        maxDepth=min(max_depth, 30),  # the deepest tree Spark grows
+        maxDepth=_depth(max_depth),
         subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample_bytree) if colsample_bytree else "all",
         minInstancesPerNode=min_child_weight,
@@ -126,31 +136,24 @@ def cross_validate(
     folds: int = 5,
     label: str = "TARGET",
     fold_col: str | None = None,
+    key: str = "SK_ID_CURR",
     parallelism: int = 4,
     seed: int = 1,
 ) -> Search:
     """Grid search by area under ROC; settings of equal result are tried once.
 
-    Without ``fold_col`` Spark's ``CrossValidator`` draws the folds at random. With
-    a column of fold numbers from 0 (see ``stratified_folds``) the folds are plain
-    filters of the rows, which are written once with only the columns the estimator
-    reads; ``CrossValidator`` would test the fold column with a Python function row
-    by row.
+    Folds are numbers from 0 in ``fold_col`` (see ``stratified_folds``), or else drawn
+    by a hash of ``key``. They are plain filters of the rows, which are written once
+    with only the columns the estimator reads; ``CrossValidator`` would test the fold
+    column with a Python function row by row. The best model also gets the first value
+    of each setting that cannot change the measure, as a threshold for its decisions.
     """
+    if fold_col is None:
+        fold_col = "_fold"
+        train = train.withColumn(fold_col, hash_number(f"fold:{seed}", key) % folds)
     maps = _param_maps(estimator, distinct_grid(grid))
     names = [_setting(params) for params in maps]
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    if fold_col is None:
-        model = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=maps,
-            evaluator=evaluator,
-            numFolds=folds,
-            parallelism=parallelism,
-            seed=seed,
-        ).fit(train)
-        return Search(model.bestModel, names, model.avgMetrics, model.stdMetrics)
-
     used = [fold_col, label]
     for name in ("featuresCol", "weightCol"):
         if estimator.hasParam(name) and estimator.isDefined(name):
@@ -159,7 +162,8 @@ def cross_validate(
     rows = settle(train.select(used) if estimator.hasParam("featuresCol") else train)
     measured = _over_folds(estimator, maps, rows, evaluator, folds, fold_col, parallelism)
     means = [fmean(found) for found in measured]
-    best = estimator.fit(rows, maps[means.index(max(means))])
+    neutral = {estimator.getParam(n): grid[n][0] for n in NEUTRAL_SETTINGS if grid.get(n)}
+    best = estimator.fit(rows, {**maps[means.index(max(means))], **neutral})
     return Search(best, names, means, [pstdev(found) for found in measured])
 
 
@@ -226,13 +230,16 @@ def grid_search_boosted(
 
     ``fold_cols`` are the repeats made by ``stratified_folds``. Mean and deviation
     are over all repeats and folds. The class weight is a column, derived from the
-    one written table for each of its values.
+    one written table for each of its values. A setting that is not known or has no
+    counterpart in Spark, and a tree deeper than Spark's limit, is an error.
     """
+    if other := set(grid) - {*_BOOSTED_NAMES, "scale_pos_weight"}:
+        raise ValueError(f"no counterpart in Spark: {', '.join(sorted(other))}")
     tree = {_BOOSTED_NAMES[n]: v for n, v in grid.items() if n in _BOOSTED_NAMES}
     if "featureSubsetStrategy" in tree:
         tree["featureSubsetStrategy"] = [str(v) for v in tree["featureSubsetStrategy"]]
     if "maxDepth" in tree:
-        tree["maxDepth"] = sorted({min(v, 30) for v in tree["maxDepth"]})
+        tree["maxDepth"] = [_depth(v) for v in tree["maxDepth"]]
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     rows = settle(df.select(label, "features", *fold_cols))
     results = []

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.functions import hash_percent, seeded_hash
-from loanlens.session import settle
+from loanlens.functions import hash_number, known, seeded_hash
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -37,20 +36,29 @@ def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFram
     return df.withColumns({name: values[i] for i, name in enumerate(names)})
 
 
-def zscore(df: DataFrame, cols: Sequence[str], prefix: str = "norm_") -> DataFrame:
-    """Centred columns of unit population deviation; a constant column becomes zero."""
+def fit_zscore(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and population deviation of each column, to scale other frames by. Gaps and NaN
+    do not count."""
     moments = df.agg(
-        F.struct(
-            *[F.avg(name).alias(f"m{i}") for i, name in enumerate(cols)],
-            *[F.stddev_pop(name).alias(f"s{i}") for i, name in enumerate(cols)],
-        ).alias("moments")
-    ).scalar()
+        *[F.avg(known(df, name)).alias(f"m{i}") for i, name in enumerate(cols)],
+        *[F.stddev_pop(known(df, name)).alias(f"s{i}") for i, name in enumerate(cols)],
+    ).head()
+    return {name: (moments[f"m{i}"], moments[f"s{i}"]) for i, name in enumerate(cols)}
 
-    def normal(i: int, name: str):
-        spread = moments[f"s{i}"]
-        return (F.col(name) - moments[f"m{i}"]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
 
-    return df.withColumns({prefix + name: normal(i, name) for i, name in enumerate(cols)})
+def zscore(
+    df: DataFrame,
+    cols: Sequence[str],
+    prefix: str = "norm_",
+    moments: dict[str, tuple[float | None, float | None]] | None = None,
+) -> DataFrame:
+    """Columns less their mean, by their population deviation; a constant column becomes zero.
+
+    Without ``moments`` of an earlier fit those of this frame are used. NaN becomes a gap.
+    """
+    moments = moments or fit_zscore(df, cols)
+    normal = {n: (known(df, n) - F.lit(moments[n][0])) / F.lit(moments[n][1] or 1.0) for n in cols}
+    return df.withColumns({prefix + name: value for name, value in normal.items()})
 
 
 def index_labels(df: DataFrame, cols: Sequence[str], suffix: str = "Index") -> DataFrame:
@@ -79,8 +87,9 @@ def one_hot(
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
-def prep_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], label: str) -> Pipeline:
-    """Unfitted stages: category indexes, indicators, label index, feature vector.
+def prep_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], label: str | None = None) -> Pipeline:
+    """Unfitted stages: category indexes, indicators, label index if one is named, feature
+    vector.
 
     Every known category has an indicator; a missing or unseen one has none set.
     Fit it on the training rows and apply the fitted stages to both parts.
@@ -93,10 +102,9 @@ def prep_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], label: str)
             StringIndexer(inputCols=list(cat_cols), outputCols=indexed, handleInvalid="keep"),
             OneHotEncoder(inputCols=indexed, outputCols=encoded),
         ]
-    stages += [
-        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=encoded + list(num_cols), outputCol="features"),
-    ]
+    if label is not None:
+        stages.append(StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"))
+    stages.append(VectorAssembler(inputCols=encoded + list(num_cols), outputCol="features"))
     return Pipeline(stages=stages)
 
 
@@ -105,7 +113,7 @@ def split(
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test part by a hash of the key: no shuffle, no sort, and a row
     falls on the same side whatever the partitioning or however often it is read."""
-    inside = hash_percent(seed, key) < F.lit(round(share * 100))
+    inside = hash_number(seed, key) < F.lit(round(share * 2**32))
     return df.where(inside), df.where(~inside)
 
 
@@ -132,40 +140,39 @@ def stratified_folds(
 
     Rows of a class are numbered along a seeded hash of their unique key, and the
     number modulo k is the fold. The hash range is cut into buckets, which are
-    even however unequal the classes are; the numbers of rows in the buckets before
-    are counted for all repeats in one pass and broadcast (classes times buckets
-    rows per repeat, the label being binary).
+    even however unequal the classes are, and the numbers of rows in the buckets
+    before are counted for all repeats in one pass.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def place(repeat: int) -> Column:
-        lead = F.conv(F.substring(seeded_hash(f"{seed}:{repeat}", key), 1, 4), 16, 10)
-        return F.floor(lead.cast("bigint") * n / F.lit(65536)).cast("int")
-
     every = range(1, repeats + 1)
-    places = F.array(*[F.struct(F.lit(r).alias("_repeat"), place(r).alias("_place")) for r in every])
-    counts = (
-        df.select(F.col(label).alias("_label"), F.inline(places))
-        .groupBy("_label", "_repeat", "_place")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    digest = seeded_hash(F.concat(F.lit(f"{seed}:"), F.col("_repeat").cast("string")), "_key")
+    place = F.floor(F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint") * n / F.lit(65536)).cast("int")
+    # Only key and label are ranked, for all repeats at once; the rows come to it last.
+    places = (
+        df.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+        .withColumn("_repeat", F.explode(F.array(*[F.lit(r) for r in every])))
+        .withColumn("_hash", digest)
+        .withColumn("_place", place)
     )
+    counts = places.groupBy("_label", "_repeat", "_place").agg(F.count(F.lit(1)).alias("_n"))
     before = (
         Window.partitionBy("_label", "_repeat")
         .orderBy("_place")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    for repeat in every:
-        mine = offsets.where(F.col("_repeat") == repeat).select("_label", "_place", "_before")
-        placed = df.withColumns(
-            {"_hash": seeded_hash(f"{seed}:{repeat}", key), "_bucket": place(repeat)}
-        )
-        same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_place"))
-        inside = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
-        number = F.row_number().over(inside) - 1 + F.col("_before")
-        df = (
-            placed.join(F.broadcast(mine), same)
-            .withColumn(f"fold_{repeat}", (number % k).cast("int"))
-            .drop("_hash", "_bucket", "_label", "_place", "_before")
-        )
-    return df
+    offsets = counts.select("_label", "_repeat", "_place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = offsets.select(*[F.col(c).alias(f"{c}_") for c in ("_label", "_repeat", "_place")], "_before")
+    same = (
+        F.col("_label").eqNullSafe(F.col("_label_"))
+        & (F.col("_repeat") == F.col("_repeat_"))
+        & (F.col("_place") == F.col("_place_"))
+    )
+    inside = Window.partitionBy("_label", "_repeat", "_place").orderBy("_hash", "_key")
+    number = F.row_number().over(inside) - 1 + F.col("_before")
+    folds = (
+        places.join(offsets, same)
+        .withColumn("_fold", (number % k).cast("int"))
+        .groupBy("_key")
+        .agg(*[F.max(F.when(F.col("_repeat") == r, F.col("_fold"))).alias(f"fold_{r}") for r in every])
+    )
+    return df.join(folds, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

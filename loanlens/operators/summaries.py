@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.functions import is_missing
+from loanlens.functions import is_missing, known
 
 
 def _rows(structs: list[Column]) -> Column:
@@ -25,20 +25,21 @@ def _predicate(predicate: Column | str) -> Column:
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.avg(name).alias(f"avg_{name}") for name in cols])
+    """Mean of each column per group. Gaps and NaN do not count."""
+    return df.groupBy(*keys).agg(*[F.avg(known(df, name)).alias(f"avg_{name}") for name in cols])
 
 
 def describe_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum, one row per column."""
+    """Count, mean, sample deviation, minimum and maximum of what is known, one row per column."""
     one_row = df.agg(
         *[
             F.struct(
                 F.lit(name).alias("column"),
-                F.count(name).alias("count"),
-                F.avg(name).alias("mean"),
-                F.stddev_samp(name).alias("stddev"),
-                F.min(name).cast("double").alias("min"),
-                F.max(name).cast("double").alias("max"),
+                F.count(known(df, name)).alias("count"),
+                F.avg(known(df, name)).alias("mean"),
+                F.stddev_samp(known(df, name)).alias("stddev"),
+                F.min(known(df, name)).cast("double").alias("min"),
+                F.max(known(df, name)).cast("double").alias("max"),
             ).alias(f"s{position}")
             for position, name in enumerate(cols)
         ]
@@ -57,7 +58,7 @@ def pivot_mean(
 ) -> DataFrame:
     """Mean of value per key, one column per category, or per listed category."""
     wide = df.groupBy(key).pivot(col, list(values) if values is not None else None)
-    return wide.agg(F.avg(value))
+    return wide.agg(F.avg(known(df, value)))
 
 
 def count_where(df: DataFrame, predicate: Column | str) -> DataFrame:

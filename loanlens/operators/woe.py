@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
-from pyspark.ml.stat import ChiSquareTest, Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.operators.prep import assemble
 from loanlens.session import settle, small_frame
 
-MISSING_BIN = "NA"
 
-# Up to this many bins of a feature are written into the plan as a constant.
-CONSTANT_BINS = 100
-
-# A lookup of at most this many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+def bin_text(df: DataFrame, name: str) -> Column:
+    """A value as the text of its bin: the same for whole numbers of any type; null for a
+    gap or NaN, which no text can be confused with."""
+    if isinstance(df.schema[name].dataType, (T.FractionalType,)):
+        value = F.col(name).cast("double")
+        value = F.when(~F.isnan(value), value)
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return F.col(name).cast("string")
 
 
 def woe_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Events, non-events, weight of evidence and information value per feature and bin.
 
     Each value is a bin; give numeric columns their bins first (``assign_bins``).
-    A gap is a bin of its own. The weight is ln(share of ones / share of zeros);
+    A gap is a bin of its own, a null. The weight is ln(share of ones / share of zeros);
     a bin that lacks either class has weight and information value 0. All
     features are counted in one pass.
     """
@@ -42,7 +45,7 @@ def woe_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     counts = (
         labelled.select(
             label,
-            *[F.coalesce(F.col(n).cast("string"), F.lit(MISSING_BIN)).alias(n) for n in cols],
+            *[bin_text(df, n).alias(n) for n in cols],
         )
         .unpivot([label], list(cols), "feature", "bin")
         .groupBy("feature", "bin")
@@ -158,38 +161,24 @@ def apply_woe(
 ) -> DataFrame:
     """Add ``<column>_woe``, the weight of the row's bin; a bin never seen weighs 0.
 
-    The fitted bins and weights are reused as they are, on any frame. The bins of
-    each feature are counted first: a few become a constant of the projection,
-    more are broadcast, and a larger lookup is left to the shuffle, where adaptive
-    execution splits hot values.
+    The fitted bins and weights are reused as they are, on any frame. Each feature's bins
+    are joined by value, a gap to the null bin; Spark's size limit decides whether they
+    are broadcast, and adaptive execution splits hot values. Of a bin that is listed twice
+    the first weight counts.
     """
-    woe = settle(woe.where(F.col("feature").isin(list(cols))).select("feature", "bin", "woe"))
-    sizes = {row["feature"]: row["count"] for row in woe.groupBy("feature").count().collect()}
-    few = [name for name in cols if sizes.get(name, 0) <= CONSTANT_BINS]
-    constants: dict[str, list[Column]] = {name: [] for name in few}
-    for row in woe.where(F.col("feature").isin(few)).collect():
-        constants[row["feature"]] += [F.lit(row["bin"]), F.lit(row["woe"])]
-
+    woe = settle(
+        woe.where(F.col("feature").isin(list(cols))).groupBy("feature", "bin").agg(F.min("woe").alias("woe"))
+    )
     raw = {name: f"_raw_{name}" for name in cols}
-    copied = df.withColumns({raw[name]: F.col(name) for name in cols})
+    weighted = df.withColumns({raw[name]: F.col(name) for name in cols})
     if bins is not None:
-        copied = assign_bins(copied, bins.withColumn("feature", F.concat(F.lit("_raw_"), "feature")))
-    text = {n: F.coalesce(F.col(raw[n]).cast("string"), F.lit(MISSING_BIN)) for n in cols}
-    weighted = copied.withColumns(
-        {
-            name + suffix: F.try_element_at(F.create_map(*pairs), text[name]) if pairs else F.lit(0.0)
-            for name, pairs in constants.items()
-        }
-    )
+        weighted = assign_bins(weighted, bins.withColumn("feature", F.concat(F.lit("_raw_"), "feature")))
+    weighted = weighted.withColumns({text: bin_text(weighted, text) for text in raw.values()})
     for name in cols:
-        if name in few:
-            continue
         lookup = woe.where(F.col("feature") == name).select(
             F.col("bin").alias("_bin"), F.col("woe").alias(name + suffix)
         )
-        if sizes[name] <= BROADCAST_ROWS:
-            lookup = F.broadcast(lookup)
-        weighted = weighted.join(lookup, text[name] == F.col("_bin"), "left").drop("_bin")
+        weighted = weighted.join(lookup, F.col(raw[name]).eqNullSafe(F.col("_bin")), "left").drop("_bin")
     zero = {name + suffix: F.coalesce(F.col(name + suffix), F.lit(0.0)) for name in cols}
     return weighted.withColumns(zero).drop(*raw.values())
 
@@ -208,6 +197,21 @@ def _numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [name for name in cols if isinstance(df.schema[name].dataType, T.NumericType)]
 
 
+def unlikely(statistic: float, free: int) -> float:
+    """The normal deviate of a chi-square statistic (Wilson and Hilferty). It rises as the
+    p-value falls, and does not run into zero as that does."""
+    if free < 1:
+        return float("-inf")
+    spread = 2 / (9 * free)
+    return ((statistic / free) ** (1 / 3) - (1 - spread)) / spread**0.5
+
+
+def _spread(facts: Row) -> float:
+    """Sample deviation of a feature's weights, from their sums."""
+    n = facts["n"]
+    return (max(facts["s2"] - facts["s1"] ** 2 / n, 0.0) / max(n - 1, 1)) ** 0.5
+
+
 def vote_features(
     df: DataFrame,
     cols: Sequence[str],
@@ -234,27 +238,46 @@ def vote_features(
     )
     vectors = settle(vectors)
 
+    # Statistic and spread follow from the counts, one small aggregate for any number of bins.
+    square = (
+        table.withColumn("n", F.col("events") + F.col("non_events"))
+        .withColumn("ones", F.sum("events").over(Window.partitionBy("feature")))
+        .withColumn("all", F.sum("n").over(Window.partitionBy("feature")))
+        .withColumn("expected", F.col("n") * F.col("ones") / F.col("all"))
+        .groupBy("feature")
+        .agg(
+            F.count(F.lit(1)).alias("bins"),
+            F.sum(
+                F.try_divide(F.pow(F.col("events") - F.col("expected"), F.lit(2)), F.col("expected"))
+                + F.try_divide(F.pow(F.col("events") - F.col("expected"), F.lit(2)), F.col("n") - F.col("expected"))
+            ).alias("statistic"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * F.col("woe")).alias("s1"),
+            F.sum(F.col("n") * F.col("woe") * F.col("woe")).alias("s2"),
+        )
+    )
+    facts = {r["feature"]: r for r in square.collect()}
+
     # The selectors do not depend on each other, so their jobs may overlap.
-    with ThreadPool(3) as pool:
-        chi_job = pool.apply_async(lambda: ChiSquareTest.test(vectors, "features", "label").head())
+    with ThreadPool(2) as pool:
         forest_job = pool.apply_async(RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed).fit, [vectors])
         lasso_job = pool.apply_async(
             LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=50).fit, [vectors]
         )
-        chi, forest, lasso = chi_job.get(), forest_job.get(), lasso_job.get()
-    spread = vectors.select(Summarizer.std(F.col("features"))).head()[0].toArray()
+        forest, lasso = forest_job.get(), lasso_job.get()
+    spread = np.array([_spread(facts[name]) for name in cols])
     iv = {r["feature"]: r["information_value"] for r in rank_by_iv(table, len(cols)).collect()}
+    statistic = [float(facts[name]["statistic"] or 0.0) for name in cols]
     strength = {
         "information_value": [iv.get(name, 0.0) for name in cols],
-        "chi_square": [-float(p) for p in chi["pValues"]],
+        "chi_square": [unlikely(x, facts[name]["bins"] - 1) for x, name in zip(statistic, cols)],
         "forest": [float(x) for x in forest.featureImportances.toArray()],
         # Per standard deviation: a weight on a nearly constant feature means little.
         "l1_logistic": [abs(float(x)) for x in lasso.coefficients.toArray() * spread],
     }
-    statistic = [float(x) for x in chi["statistics"]]
     ballots = []
     for selector, values in strength.items():
-        # Chi-square p-values often tie at zero; the statistic then decides.
+        # Equal values, as of features without any weight, are told apart by the statistic.
         order = sorted(range(len(cols)), key=lambda i: (values[i], statistic[i]), reverse=True)
         ballots += [(cols[i], selector) for i in order[: each or keep]]
     votes = small_frame(df.sparkSession, ballots, "feature string, selector string")

@@ -180,7 +180,7 @@ CATEGORIES = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REGION_R
 def woe_of(source: str, cols: list[str]) -> str:
     """CTEs ``woe`` with feature, bin, rows, events, non_events, woe, iv."""
     counts = " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, COALESCE(CAST({c} AS VARCHAR), 'NA') AS bin, count(*) AS "rows",
+        f"""SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS bin, count(*) AS "rows",
   count(*) FILTER (TARGET = 1) AS events, count(*) FILTER (TARGET = 0) AS non_events
 FROM {source} GROUP BY 2"""
         for c in cols
@@ -231,7 +231,7 @@ def hot(col: str, i: int, out: str) -> str:
     return f"CASE WHEN {col} = (SELECT v FROM {col}_place WHERE i = {i}) THEN 1.0 ELSE 0.0 END::DOUBLE AS {out}"
 
 
-HASH_SPLIT = "CAST(('0x' || substr(md5('42:' || CAST(SK_ID_CURR AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 70"
+HASH_SPLIT = "CAST(('0x' || substr(md5('42:' || CAST(SK_ID_CURR AS VARCHAR)), 1, 8)) AS BIGINT) < 3006477107"
 AMOUNT_BIN = (
     "CASE WHEN AMT_CREDIT < 150000 THEN 0 WHEN AMT_CREDIT < 300000 THEN 1 "
     "WHEN AMT_CREDIT < 440000 THEN 2 ELSE 3 END"
@@ -251,9 +251,6 @@ ORACLES: dict[str, str] = {
         "SELECT SK_ID_CURR, TARGET, AMT_CREDIT FROM app "
         "ORDER BY md5('7:' || CAST(SK_ID_CURR AS VARCHAR)), SK_ID_CURR LIMIT 10"
     ),
-    "schema_table": "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{n}', '{t}', {str(u).lower()})" for i, (n, t, u) in enumerate(APPLICATION_COLUMNS))
-    + ') AS t(position, "column", type, nullable)',
     "select_by_type": app(
         "SELECT " + ", ".join(n for n, t, _ in APPLICATION_COLUMNS if t != "double") + " FROM app"
     ),
@@ -458,7 +455,7 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
     + " SELECT SK_ID_CURR, "
     + ", ".join(
         r(
-            f"(SELECT woe FROM woe WHERE feature = '{c}' AND bin = COALESCE(CAST(binned.{c} AS VARCHAR), 'NA'))",
+            f"(SELECT woe FROM woe WHERE feature = '{c}' AND bin IS NOT DISTINCT FROM CAST(binned.{c} AS VARCHAR))",
             9,
             f"{c}_woe",
         )

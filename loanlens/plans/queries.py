@@ -82,11 +82,6 @@ def sample_rows(spark, sf_dir):
     return rows.select("SK_ID_CURR", "TARGET", "AMT_CREDIT")
 
 
-@query
-def schema_table(spark, sf_dir):
-    return sources.schema_table(applications(spark, sf_dir))
-
-
 @query
 def select_by_type(spark, sf_dir):
     return sources.select_by_type(applications(spark, sf_dir), ["integer", "string"])
@@ -500,7 +495,7 @@ def impute_chained(spark, sf_dir):
     )
     cols = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_GOODS_PRICE", "CNT_CHILDREN", "DAYS_BIRTH", "DAYS_EMPLOYED"]
     df = settle(df.select("SK_ID_CURR", *cols))
-    return rounded(impute.impute_chained(df, cols, rounds=3), 2, "AMT_GOODS_PRICE")
+    return rounded(impute.impute_chained(df, cols), 2, "AMT_GOODS_PRICE")
 
 
 CATEGORIES = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REGION_RATING_CLIENT"]
@@ -543,7 +538,7 @@ def rank_by_iv(spark, sf_dir):
 def vote_features(spark, sf_dir):
     df = features.drop_cols(featured(spark, sf_dir), settings.DROP_COLUMNS)
     cols = [name for name in df.columns if name != "TARGET"]
-    return woe.vote_features(df, cols, "TARGET", keep=settings.VOTED_FEATURES, each=10)
+    return woe.vote_features(df, cols, "TARGET", keep=settings.VOTED_FEATURES)
 
 
 COMPONENT_COLUMNS = [
@@ -613,7 +608,7 @@ def model_parts(spark, sf_dir):
     vectors, which every fit reads several times."""
     df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *MODEL_NUMBERS, *MODEL_CATEGORIES)
     train, test = prep.split(settle(df), "SK_ID_CURR")
-    stages = prep.prep_pipeline(MODEL_CATEGORIES, MODEL_NUMBERS, "TARGET").fit(train)
+    stages = prep.prep_pipeline(MODEL_CATEGORIES, MODEL_NUMBERS).fit(train)
     keep = ["SK_ID_CURR", "TARGET", "features"]
     ready = prep.class_weights(stages.transform(train).select(keep), "TARGET")
     return settle(ready), stages.transform(test).select(keep)

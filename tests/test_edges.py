@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.operators import (
+    components,
     distributions,
     evaluate,
     features,
@@ -134,15 +135,14 @@ def test_correlation_pairwise_and_complete(spark):
     assert abs(ranks["a", "b"] - -0.2) < 1e-12
 
 
-@pytest.mark.parametrize("hot_share", [0.001, 0.1, 1.0])
-def test_semi_join_with_hot_keys(spark, hot_share):
+def test_semi_join_with_hot_keys(spark):
     # Key 1 holds a third of the rows and matches, key 2 as many copies of one row and
     # does not; null keys never match.
     data = [(1, i) for i in range(400)] + [(2, 5)] * 400 + [(k, k) for k in range(3, 400)] + [(None, 1000)]
     df = spark.createDataFrame(data, "k int, v int")
     wanted = {k for k, v in data if k is not None and v > 390}
     expected = sorted(((k, v) for k, v in data if k in wanted), key=str)
-    assert rows(joins.semi_join_where(df, "k", "v > 390", hot_share)) == expected
+    assert rows(joins.semi_join_where(df, "k", "v > 390")) == expected
 
 
 def test_attach_and_union(spark):
@@ -195,18 +195,38 @@ def test_woe_cells_without_a_class(spark):
     )
     got = {r.bin: (r.rows, r.events, r.non_events, r.woe, r.iv) for r in woe.woe_table(df, ["c"], "y").collect()}
     assert got["only_ones"] == (1, 1, 0, 0.0, 0.0) and got["only_zeros"] == (1, 0, 1, 0.0, 0.0)
-    assert got["NA"][:3] == (2, 1, 1)
-    assert abs(got["NA"][3] - math.log((1 / 3) / (1 / 4))) < 1e-12
+    assert got[None][:3] == (2, 1, 1)
+    assert abs(got[None][3] - math.log((1 / 3) / (1 / 4))) < 1e-12
     assert abs(got["m"][4] - (1 / 3 - 2 / 4) * math.log((1 / 3) / (2 / 4))) < 1e-12
 
 
-@pytest.mark.parametrize("constant, broadcast", [(100, 100), (0, 100), (0, 0)])
-def test_apply_woe_by_constant_broadcast_and_shuffle(spark, monkeypatch, constant, broadcast):
-    monkeypatch.setattr(woe, "CONSTANT_BINS", constant)
-    monkeypatch.setattr(woe, "BROADCAST_ROWS", broadcast)
+def test_a_category_called_na_is_no_gap(spark):
+    df = spark.createDataFrame([(1, "NA"), (0, "NA"), (1, None), (0, None), (0, None)], "y int, c string")
+    assert {r.bin: r.rows for r in woe.woe_table(df, ["c"], "y").collect()} == {"NA": 2, None: 3}
+
+
+def test_bins_of_whole_numbers_match_whatever_the_type(spark):
+    df = spark.createDataFrame([(1, 1), (0, 1), (1, 2), (1, 2), (0, 2), (0, None)], "y int, c int")
+    table = woe.woe_table(df, ["c"], "y")
+    as_int = rows(woe.apply_woe(df, table, ["c"]).select("c_woe"))
+    wide = df.withColumn("c", F.coalesce(F.col("c").cast("double"), F.lit(float("nan"))))
+    assert rows(woe.apply_woe(wide, table, ["c"]).select("c_woe")) == as_int
+    assert any(w for (w,) in as_int)
+
+
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_apply_woe_by_broadcast_and_shuffle(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        check_apply_woe(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_apply_woe(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, None, 1), (3, "new", None)], "id int, c string, n int")
     table = spark.createDataFrame(
-        [("c", "a", 0.5), ("c", "NA", -0.5), ("n", "0", 1.0), ("n", "1", 2.0)],
+        [("c", "a", 0.5), ("c", None, -0.5), ("c", "a", 0.5), ("n", "0", 1.0), ("n", "1", 2.0)],
         "feature string, bin string, woe double",
     )
     bins = spark.createDataFrame(
@@ -224,6 +244,43 @@ def test_zscore_of_a_constant_column(spark):
     assert rows(prep.zscore(df, ["a", "b"]).select("norm_a", "norm_b")) == [(0.0, -1.0), (0.0, 1.0)]
 
 
+def test_fitted_moments_scale_other_frames(spark):
+    nan = float("nan")
+    train = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (nan, 9.0)], "a double, b double")
+    moments = prep.fit_zscore(train, ["a"])
+    assert moments == {"a": (2.0, 1.0)}
+    test = spark.createDataFrame([(1002.0,), (nan,)], "a double")
+    assert rows(prep.zscore(test, ["a"], moments=moments).select("norm_a")) == [(1000.0,), (None,)]
+    far = train.na.drop().withColumn("a", F.col("a") + 1000)
+    fitted = components.fit_pca(train.na.drop(), ["a", "b"], 2)
+    moved = components.pca(far, ["a", "b"], 2, fitted).agg(F.avg("principal_component_1")).first()[0]
+    assert abs(moved) > 100
+
+
+def test_nan_is_missing_in_means(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 3.0)], "k string, v double")
+    assert rows(summaries.group_mean(df, ["k"], ["v"])) == [("a", 1.0), ("b", 3.0)]
+    (found,) = summaries.describe_cols(df, ["v"]).collect()
+    assert (found["count"], found["mean"], found["max"]) == (2, 2.0, 3.0)
+    both = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (float("nan"), 6.0)], "y double, x double")
+    assert rows(impute.impute_by(both, "y", "x"))[-1] == (3.0, 6.0)
+
+
+def test_split_follows_the_share(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    train, test = prep.split(df, "k", 0.999)
+    assert train.count() + test.count() == 20_000 and 5 <= test.count() <= 45
+
+
+def test_settings_without_counterpart_are_errors(spark):
+    df = spark.createDataFrame([(0, 1)], "TARGET int, features int")
+    for grid in ({"max_depht": [2]}, {"lambda": [1]}, {"max_depth": [5, 50]}):
+        with pytest.raises(ValueError):
+            models.grid_search_boosted(df, grid, ["f"], 2)
+    with pytest.raises(ValueError):
+        models.boosted_estimator(max_depth=31)
+
+
 def test_one_hot_keeps_all_on_request(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",)], "c string")
     kept = prep.one_hot(df, ["c"], drop_last=False)

@@ -70,6 +70,7 @@ def test_search_over_given_and_drawn_folds(parts, spark):
     given = models.cross_validate(estimator, grid, folded, folds=2, fold_col="fold_1")
     drawn = models.cross_validate(estimator, grid, train, folds=2)
     for search in (given, drawn):
+        assert search.best_model.getThreshold() == 0.4
         assert len(search.settings) == 2 and all(0.5 < mean < 1 for mean in search.means)
         table = models.cv_results(search, spark).collect()
         assert [row.is_best for row in table] == [True, False]
@@ -182,7 +183,7 @@ def test_components_equal_numpy(app):
     found = components.pca(app, COMPONENT_COLUMNS, 7, model).orderBy("SK_ID_CURR")
     got = np.array(found.select(names).collect())
     assert np.allclose(np.abs(got), np.abs(z @ vectors[:, order[:7]]), atol=1e-6)
-    loadings = model.pc.toArray()
+    loadings = model.model.pc.toArray()
     assert np.allclose(loadings.T @ loadings, np.eye(7), atol=1e-9)
     assert {"SK_ID_CURR", "TARGET"} <= set(found.columns)
 
