@@ -6,8 +6,11 @@ import pytest
 
 import oracle
 from __spark_entry__ import entry, oracle_sql, queries
+from loanlens.plans import closed_forms, oracles
+from loanlens.plans import queries as plain
 
-QUERIES, ORACLES = queries(), oracle_sql()
+# Those of the optional subpackage have tests of their own.
+QUERIES, ORACLES = plain.QUERIES | closed_forms.QUERIES, oracles.ORACLES | closed_forms.ORACLES
 
 # Checked by invariants in test_invariants.py: models, and values that depend on
 # approximate quantiles or iteration.
@@ -49,5 +52,9 @@ def test_query_equals_sql(spark, sf_dir, connection, name):
     assert oracle.differences(df, connection, ORACLES[name]) == []
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["dimension", "value", "applicants", "outcome", "percent"]
