@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loanlens.session import settle
 
 #: Edges a task contracts at once, so that its memory has a bound.
-EDGES = 500_000
+EDGES = 200_000
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

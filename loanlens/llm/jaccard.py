@@ -7,13 +7,16 @@ the smallest doc_id, and everything below works on classes.
   that a linked pair of sizes a and b must share. Sets that share one are linked.
 - Heavy: a larger set scans inverted lists. Rare shingles come first in one order for
   all sets, so linked sets share one of the first n - ceil(0.8 n) + 1, and only those
-  are posted. Runs of a list in which sizes may link make a block.
-- A block's sets meet in one task, which scans the full inverted lists of the block and
+  are posted. A list falls into runs of sizes that may link. Most pairs of a run are
+  refuted by parity sketches, a bound on the symmetric difference: those of a short run
+  in a join, those of a long one, of a family of near copies, in a task of its own, which
+  skips what hangs together already and returns a forest.
+- What hangs together by pairs that are left is a block. A block's sets meet in one task, which scans the full inverted lists of the block and
   counts every intersection exactly. Blocks above a size are cut in groups of which each
   pair has a task of its own; small blocks share a task.
 
 The boundary between light and heavy is the size with the least number of rows written
-and scanned, from the histogram of small sizes. Lists are never expanded to pairs.
+and scanned, from the histogram of small sizes.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.components import components, contracted
-from loanlens.llm.shingles import folded, set_ids, shingle_sets
+from loanlens.llm.common import looked_up, small_batches
+from loanlens.llm.components import components
+from loanlens.llm.shingles import differing, folded, mixed, set_ids, shingle_sets, sketches
 from loanlens.session import settle
 
 #: Sizes among which the boundary may lie.
@@ -37,10 +41,13 @@ LIGHT = range(0, 21)
 #: Any order gives the same result, so this only bounds what is broadcast.
 FREQUENT = 100_000
 PER_BATCH = 2_000
+#: Sets in a run of a list whose pairs are written; a longer run is a task of its own.
+RUN = 16
+_PAIRS = 500_000
+#: Shingles among which the frequent ones are looked for at once.
+_COUNTED = 500_000
 #: Shingles of all sets in one task.
-TASK = 3_000_000
-#: Classes whose documents are looked up by a broadcast; more are joined by a shuffle.
-LOOKUP = 1_000_000
+TASK = 1_000_000
 _SEEN = 500_000
 
 
@@ -80,24 +87,66 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; and the shingles most frequent in each batch."""
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
-        found, sizes, names = [], [], []
+        sizes, names, parities, held, waiting = [], [], [], [], 0
         for _, hashes, size in shingle_sets(text):
-            found.append(hashes)
             sizes.append(size)
             names.append(set_ids(hashes, size))
-        if not sizes:
-            continue
-        size = np.concatenate(sizes)
-        yield _rows(ids, np.concatenate(names).view(np.int64), size, np.zeros(len(size), bool))
-        values, counts = np.unique(np.concatenate(found), return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:PER_BATCH]
-        top = top[counts[top] > 2]
-        yield _rows(pa.nulls(len(top), pa.int64()), values[top].view(np.int64), counts[top], np.ones(len(top), bool))
-
-
-def _rows(ids, key, n, frequent) -> pa.RecordBatch:
-    columns = [ids.cast(pa.int64()), pa.array(key), pa.array(n, pa.int64()), pa.array(frequent)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "frequent"])
+            parities += sketches(hashes, size)
+            held.append(hashes)
+            waiting += len(hashes)
+            if waiting > _COUNTED:
+                yield _most(held)
+                held, waiting = [], 0
+        if sizes:
+            yield _rows(ids, np.concatenate(names).view(np.int64), np.concatenate(sizes), parities)
+            yield _most(held)
+
+
+def _most(hashes: list[np.ndarray]) -> pa.RecordBatch:
+    values, counts = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_counts=True)
+    top = np.argsort(-counts, kind="stable")[:PER_BATCH]
+    top = top[counts[top] > 2]
+    return _rows(pa.nulls(len(top), pa.int64()), values[top].view(np.int64), counts[top], [None] * len(top))
+
+
+def _rows(ids, key, n, sketch) -> pa.RecordBatch:
+    columns = [ids.cast(pa.int64()), pa.array(key), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "sketch"])
+
+
+def _family(table: pa.Table) -> pa.Table:
+    """A forest of the pairs of one long run that their sketches do not refute."""
+    n = table["n"].to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, name = n[order], table["name"].to_numpy()[order]
+    data = table["sketch"].combine_chunks().take(pa.array(order)).to_pylist()
+    width = np.array([len(x) // 8 for x in data])
+    # Widths grow with the size, so those of one width are neighbours; the next width is
+    # folded to it where both can link.
+    own = {w: np.frombuffer(b"".join(data[i] for i in np.flatnonzero(width == w)), np.uint64).reshape(-1, w) for w in np.unique(width).tolist()}
+    folded_to = {w // 2: x[:, : w // 2] ^ x[:, w // 2 :] for w, x in own.items() if w > 1}
+    first = {w: int(np.searchsorted(width, w)) for w in [*own, *(2 * w for w in own)]}
+    label, edges = np.arange(len(n)), []
+    until = np.searchsorted(n, n * 5 // 4, side="right")
+    for i in range(len(n)):
+        w, end = int(width[i]), int(until[i])
+        sketch = own[w][i - first[w]]
+        for begin, stop, rows, base in (
+            (i + 1, min(end, first[2 * w]), own[w], first[w]),
+            (first[2 * w], end, folded_to.get(w), first[2 * w]),
+        ):
+            if begin >= stop:
+                continue
+            other = begin + np.flatnonzero(label[begin:stop] != label[i])
+            unlike = np.bitwise_count(rows[other - base] ^ sketch).sum(1, dtype=np.int64)
+            both = n[i] + n[other]
+            near = other[unlike <= both - 2 * -(-4 * both // 9)]
+            if len(near):
+                _, one = np.unique(label[near], return_index=True)
+                edges += [(name[i], name[j]) for j in near[one]]
+                label[np.isin(label, label[near])] = label[i]
+    a, b = (np.array(x, np.int64) for x in (zip(*edges) if edges else ([], [])))
+    return pa.table({"a": a, "b": b})
 
 
 def _posting(frequent: np.ndarray, rank: np.ndarray, light: int):
@@ -115,7 +164,7 @@ def _posting(frequent: np.ndarray, rank: np.ndarray, light: int):
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, names, lights = [], [], []
+            keys, names = [], []
             for _, hashes, sizes in shingle_sets(batch.column(0)):
                 where = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
                 often = frequent[where] == hashes if len(frequent) else np.zeros(len(hashes), bool)
@@ -130,26 +179,102 @@ def _posting(frequent: np.ndarray, rank: np.ndarray, light: int):
                     own, got = hashes[begin : begin + n], []
                     if n <= light:
                         got = signatures(own)
-                        lights += [np.ones(sum(map(len, got)), bool)]
                     if n >= heavy_from:
                         if any_often:
                             late = often[begin : begin + n]
                             last = own[late][np.lexsort((own[late], rank[where[begin : begin + n]][late]))]
                             own = np.concatenate([own[~late], last])
                         got = [*got, own[: prefix(n)]]
-                        lights += [np.zeros(prefix(n), bool)]
                     keys += got
                     names.append((name, n, sum(map(len, got))))
             if len(seen) > _SEEN:
                 seen.clear()  # a class may be posted twice, which changes nothing
             if keys:
                 name, n, times = np.array(names, dtype=np.int64).T
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(lights), np.repeat(name, times), np.repeat(n, times)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "light", "name", "n"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(name, times), np.repeat(n, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "name", "n"])
 
     return posted
 
 
+def _edges(key: np.ndarray, name: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of short runs, and members of long ones, of lists sorted by key, size and name."""
+    fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+    key, name, n = key[fresh], name[fresh], n[fresh]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (n[:-1] * 5 < n[1:] * 4)))
+    length = np.diff(np.append(first, len(key)))
+    run = np.repeat(np.arange(len(first)), length)
+    long = np.flatnonzero(length[run] > RUN)
+    known = mixed((key[first[run[long]]] ^ name[first[run[long]]]).view(np.uint64)).view(np.int64)
+    members = np.column_stack([name[long], n[long], known])
+    pairs, left = [], np.flatnonzero((length[run] <= RUN) & (length[run] > 1))
+    for step in range(1, RUN):
+        left = left[left + step < len(run)]
+        left = left[run[left] == run[left + step]]
+        left = left[n[left] * 5 >= n[left + step] * 4]  # so do those nearer
+        if not len(left):
+            break
+        pairs.append(np.column_stack([name[left], name[left + step]]))
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return np.sort(pairs, axis=1), members
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort(pairs.T)]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of this task's lists, which arrive in order; and rows of name, size
+    and run for members of long runs."""
+    held: list[np.ndarray] = []  # the list whose end has not come
+    pairs, members, waiting = [], [], 0
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        if pairs:
+            rows = _distinct(np.concatenate(pairs))
+            columns = [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "run"])
+        for rows in members:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["a", "b", "run"])
+        pairs.clear()
+        members.clear()
+
+    def take(rows: np.ndarray) -> int:
+        new, long = _edges(*rows)
+        pairs.append(_distinct(new))
+        members.append(long)
+        return len(pairs[-1]) + len(long)
+
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        if not rows.shape[1]:
+            continue
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        if held and (last or rows[0, 0] != held[-1][0, -1]):
+            # Lists before the last one of this batch are whole.
+            waiting += take(np.concatenate([*held, rows[:, :last]], axis=1))
+            held = []
+        elif not held and last:
+            waiting += take(rows[:, :last])
+        held.append(rows[:, last:])
+        if waiting > _PAIRS:
+            yield from emitted()
+            waiting = 0
+    if held:
+        take(np.concatenate(held, axis=1))
+    yield from emitted()
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches do not refute."""
+    for batch in batches:
+        a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+        keep = [i for i in range(len(a)) if differing(x[i], y[i]) <= n[i] + m[i] - 2 * overlap(n[i], m[i])]
+        columns = [pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
 def _linked(table: pa.Table) -> pa.Table:
     """Counts all intersections of the sets of one task by scanning inverted lists.
 
@@ -211,16 +336,20 @@ def similarity_classes(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     have no component and link with nothing. Repeated rows of one key link like copies.
     Other columns are not read; an empty table gives no rows.
     """
+    with small_batches(df.sparkSession):
+        return _similarity_classes(df, key, text)
+
+
+def _similarity_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id bigint, key bigint, n bigint, frequent boolean"
-    sized = settle(docs.mapInArrow(_sized, schema))
-    sets = sized.where(~F.col("frequent")).select("doc_id", F.col("key").alias("name"), "n")
+    sized = settle(docs.mapInArrow(_sized, "doc_id bigint, key bigint, n bigint, sketch binary"))
+    sets = sized.where(F.col("sketch").isNotNull()).select("doc_id", F.col("key").alias("name"), "n", "sketch")
     linkable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 
     small = sets.where(F.col("n") <= 5 * max(LIGHT)).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in small})
     often = (
-        sized.where("frequent")
+        sized.where(F.col("sketch").isNull())
         .groupBy("key")
         .agg(F.sum("n").alias("df"))
         .orderBy(F.desc("df"), "key")
@@ -232,30 +361,59 @@ def similarity_classes(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     rank = np.array([n for _, n in ranked], dtype=np.int64)
 
     postings = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(
-        _posting(frequent, rank, light), "key bigint, light boolean, name bigint, n bigint"
+        _posting(frequent, rank, light), "key bigint, name bigint, n bigint"
     )
-    listed = Window.partitionBy("key", "light").orderBy("n", "name")
-    whole = Window.partitionBy("key", "light")
-    before = F.lag("n").over(listed)
-    runs = postings.withColumn("starts", before.isNull() | (before * 5 < F.col("n") * 4))
-    leader = F.last(F.when(F.col("starts"), F.col("name")), ignorenulls=True).over(listed)
-    edges = (
-        runs.withColumn("leader", leader)
-        .where(F.col("leader") != F.col("name"))
-        .select(F.col("name").alias("a"), F.col("leader").alias("b"))
+    listed = Window.partitionBy("key").orderBy("n", "name")
+    less, more = F.lag("n").over(listed), F.lead("n").over(listed)
+    beside = (less * 5 >= F.col("n") * 4) | (F.col("n") * 5 >= more * 4)  # most have a list of their own
+    paired = settle(
+        postings.withColumn("beside", beside)
+        .where("beside")
+        .select("key", "name", "n")
+        .sortWithinPartitions("key", "n", "name")
+        .mapInArrow(_paired, "a bigint, b bigint, run bigint")
+    )
+    classes = settle(
+        linkable.groupBy("name").agg(
+            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        )
     )
-    blocks = components(edges)
 
-    classes = settle(linkable.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    def side(key: str, n: str, sketch: str) -> DataFrame:
+        return classes.select(F.col("name").alias(key), F.col("n").alias(n), F.col("sketch").alias(sketch))
+
+    near = (
+        paired.where(F.col("run").isNull())
+        .select("a", "b")
+        .distinct()
+        .join(side("a", "n", "x"), "a")
+        .join(side("b", "m", "y"), "b")
+        .select("a", "b", "n", "m", "x", "y")
+        .mapInArrow(_near, "a bigint, b bigint")
+    )
+    # Only members of long runs travel with their sketch to the task of the run.
+    families = (
+        paired.where(F.col("run").isNotNull())
+        .select("a", "run")
+        .join(side("a", "n", "sketch"), "a")
+        .select("run", F.col("a").alias("name"), "n", "sketch")
+        .groupBy("run")
+        .applyInArrow(_family, "a bigint, b bigint")
+    )
+    # Written in between, so that a task has one Python worker at a time.
+    blocks = components(settle(near.union(families)))
     candidates = settle(
         classes.join(blocks, F.col("name") == F.col("node")).select("name", "rep", "copies", "n", F.col("component").alias("block"))
     )
-    linked = _verified(docs, candidates)
+    linked, is_cut = _verified(docs, candidates)
     joined = settle(linked)
-    reached = components(joined.select(F.col("name").alias("a"), F.col("root").alias("b")))
+    # A block in one task has its components already; parts of a cut one are put together.
+    reached = joined.select(F.col("name").alias("node"), F.col("root").alias("component"))
+    if is_cut:
+        reached = components(joined.select(F.col("name").alias("a"), F.col("root").alias("b")))
     degree = joined.groupBy("name").agg(F.sum("links").alias("links"))
     grouped = classes.join(degree, "name", "left").join(
-        reached.select(F.col("node").alias("name"), "component"), "name", "left"
+        reached.select(F.col("node").alias("name"), "component").distinct(), "name", "left"
     ).withColumn("component", F.coalesce("component", "name"))
     first = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     grouped = grouped.join(first, "component").select(
@@ -270,8 +428,8 @@ def similarity_classes(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     )
 
 
-def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links inside blocks: name, root, links."""
+def _verified(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, bool]:
+    """Links inside blocks (name, root, links), and whether a block was cut in parts."""
     volume = candidates.groupBy("block").agg(F.sum("n").alias("volume"))
     half = TASK // 2
     total = volume.agg(F.sum("volume"), F.count(F.lit(1)), F.max("volume")).first()
@@ -298,12 +456,8 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         )
         .withColumn("crossed", F.col("low") != F.col("high"))
     )
-    placed = settle(placed)
-    # Behind a check of its size, the lookup is broadcast; beyond it, both sides are shuffled.
-    lookup = placed.withColumnRenamed("rep", "doc_id")
-    if placed.count() <= LOOKUP:
-        lookup = F.broadcast(lookup)
-    found = docs.join(lookup, "doc_id").dropDuplicates(["bin", "small", "low", "high", "name", "text"])
-    return found.groupBy("bin", "small", "low", "high").applyInArrow(
+    found = docs.join(looked_up(placed.withColumnRenamed("rep", "doc_id")), "doc_id").dropDuplicates(["bin", "small", "low", "high", "name", "text"])
+    linked = found.groupBy("bin", "small", "low", "high").applyInArrow(
         _linked, "name bigint, root bigint, links bigint"
     )
+    return linked, (total[2] or 0) > half

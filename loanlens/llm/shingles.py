@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that are hashed at once; a longer text stands alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _U = np.uint64
 _RANDOM = np.random.RandomState(20_240_601)
@@ -103,3 +103,31 @@ def set_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     other = np.append(_U(0), np.cumsum(mixed(hashes + _STEP), dtype=_U))
     sums = np.stack([x[ends] - x[ends - sizes] for x in (total, other)] + [sizes.astype(_U)], axis=1)
     return folded(sums)
+
+
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of the number of its members in each of its bits.
+
+    Two sets differ in at least as many members as their sketches differ in bits. A set
+    has as many bits as members at least, in powers of two.
+    """
+    out, ends = [], np.cumsum(sizes)
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+        bits = max(64, 1 << max(0, end - begin - 1).bit_length())
+        own = (hashes[begin:end] & _U(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(own, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter."""
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * max(len(a), len(b))
+    low = 8 * min(len(a), len(b))
+    while bits > low:
+        bits //= 2
+        mask = (1 << bits) - 1
+        if len(a) > len(b):
+            x = (x >> bits) ^ (x & mask)
+        else:
+            y = (y >> bits) ^ (y & mask)
+    return (x ^ y).bit_count()
