@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Paths that this process has given out, so that ``scratch`` can remove them.
+_given: list[str] = []
+
 
 def local_session(cores: str | int = 8, name: str = "loanlens") -> SparkSession:
     """Session for tests and the bench. On a cluster, pass the cluster's own session."""
@@ -49,7 +54,22 @@ def work_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path under the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/loanlens-{name}-{uuid.uuid4().hex}"
+    _given.append(f"{work_dir(spark).rstrip('/')}/loanlens-{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of the block, the tables that were written inside it. Results
+    are lazy and may read them, so consume or save results inside, too."""
+    before = len(_given)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, _given[before:]):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _given[before:]
 
 
 def settle(df: DataFrame) -> DataFrame:

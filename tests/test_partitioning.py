@@ -68,3 +68,17 @@ def test_split_and_folds(app, parts, buckets):
         for label in (0, 1):
             sizes = [r["count"] for r in more.where(F.col("TARGET") == label).groupBy(fold).count().collect()]
             assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    from loanlens.session import new_path, scratch, settle
+
+    with scratch(spark):
+        path = new_path(spark, "mine")
+        spark.range(5).write.parquet(path)
+        kept = settle(spark.range(3))
+        folder = path.removeprefix("file:")
+        assert kept.count() == 3 and os.path.exists(folder)
+    assert not os.path.exists(folder)
