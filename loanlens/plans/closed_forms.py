@@ -105,6 +105,16 @@ def boosted_of_flags(spark, sf_dir):
     )
 
 
+@query
+def boosted_confusion(spark, sf_dir):
+    """Decisions of boosted trees at their fixed threshold."""
+    train, test = prep.split(flags(spark, sf_dir), "SK_ID_CURR")
+    model = models.boosted_trees(train, scale_pos_weight=92.0, num_round=1, max_depth=1)
+    scored = models.score(model, test, ["TARGET"]).drop("prediction")
+    decided = features.apply_threshold(scored, "probability", settings.BOOSTED_THRESHOLD)
+    return evaluate.confusion_matrix(decided, "TARGET", "prediction")
+
+
 @query
 def cross_validated_tree(spark, sf_dir):
     df = prep.stratified_folds(flags(spark, sf_dir), "TARGET", "SK_ID_CURR", k=5, repeats=1)
@@ -176,6 +186,13 @@ FROM f JOIN t USING (rich) WHERE NOT train""",
   FROM f WHERE train GROUP BY 1)
 SELECT SK_ID_CURR, TARGET, round(m, 9) AS raw_score, round(1 / (1 + exp(-2 * m)), 9) AS probability
 FROM f JOIN t USING (rich) WHERE NOT train""",
+    "boosted_confusion": _BASE
+    + f""", t AS (
+  SELECT rich, sum(CASE WHEN TARGET = 1 THEN 92.0::DOUBLE ELSE -1.0 END) / sum(CASE WHEN TARGET = 1 THEN 92.0::DOUBLE ELSE 1.0 END) AS m
+  FROM f WHERE train GROUP BY 1)
+SELECT TARGET AS actual, count(*) FILTER (1 / (1 + exp(-2 * m)) <= {settings.BOOSTED_THRESHOLD}) AS predicted_0,
+  count(*) FILTER (1 / (1 + exp(-2 * m)) > {settings.BOOSTED_THRESHOLD}) AS predicted_1
+FROM f JOIN t USING (rich) WHERE NOT train GROUP BY 1""",
     "cross_validated_tree": _BASE + _auc_of_folds(1, 5)
     + "SELECT 'maxDepth=1' AS setting, mean_auc, sd_auc, true AS is_best FROM r",
     "boosted_search_of_flags": _BASE + _auc_of_folds(3, 10)

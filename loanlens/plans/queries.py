@@ -648,7 +648,7 @@ def logistic_on_woe(spark, sf_dir):
 @query
 def random_forest(spark, sf_dir):
     train, test = model_parts(spark, sf_dir)
-    return scored_rows(models.random_forest(train), test)
+    return scored_rows(models.random_forest(train, **settings.FOREST_TUNED), test)
 
 
 @query

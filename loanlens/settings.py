@@ -26,17 +26,6 @@ DROP_COLUMNS = [
     "AMT_ANNUITY",
 ]
 
-# Columns that hold whole numbers.
-INTEGER_COLUMNS = [
-    "TARGET", "CNT_CHILDREN", "DAYS_BIRTH", "DAYS_ID_PUBLISH",
-    "FLAG_MOBIL", "FLAG_EMP_PHONE", "FLAG_WORK_PHONE", "FLAG_CONT_MOBILE",
-    "FLAG_PHONE", "FLAG_EMAIL", "REGION_RATING_CLIENT",
-    "REGION_RATING_CLIENT_W_CITY", "HOUR_APPR_PROCESS_START",
-    "REG_REGION_NOT_LIVE_REGION", "REG_REGION_NOT_WORK_REGION",
-    "LIVE_REGION_NOT_WORK_REGION", "REG_CITY_NOT_LIVE_CITY",
-    "REG_CITY_NOT_WORK_CITY", "LIVE_CITY_NOT_WORK_CITY",
-] + [f"FLAG_DOCUMENT_{number}" for number in range(2, 22)]
-
 # The seven dimensions of the paid and default rates.
 OUTCOME_DIMENSIONS = [
     "CODE_GENDER",
@@ -105,12 +94,3 @@ FOREST_GRID = {
     "impurity": ["gini", "entropy"],
     "subsamplingRate": [0.2, 0.4, 0.7],
 }
-# The growth policy and both penalties of this grid have no counterpart in Spark.
-BOOSTED_GRID = {
-    "scale_pos_weight": [1, 75, 92],
-    "max_depth": [5, 15, 50, 80],
-    "subsample": [0.6, 0.8, 0.9],
-    "n_estimators": [10, 100, 500],
-    "colsample_bytree": [0.2, 0.3, 0.4],
-    "gamma": [0, 1, 5],
-}
