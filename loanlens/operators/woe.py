@@ -193,7 +193,7 @@ def rank_by_iv(woe: DataFrame, top: int = 20) -> DataFrame:
     )
 
 
-def _numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
+def numeric_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [name for name in cols if isinstance(df.schema[name].dataType, T.NumericType)]
 
 
@@ -228,7 +228,7 @@ def vote_features(
     given). Only one number per feature and selector reaches the driver.
     """
     labelled = settle(df.where(F.col(label).isNotNull()).select(label, *cols))
-    numeric = _numeric(df, cols)
+    numeric = numeric_columns(df, cols)
     bins = monotone_bins(labelled, numeric, label) if numeric else None
     binned = assign_bins(labelled, bins) if bins is not None else labelled
     table = settle(woe_table(binned, cols, label))

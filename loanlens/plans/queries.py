@@ -65,7 +65,11 @@ def register(spark, sf_dir):
 
 @query
 def read_table(spark, sf_dir):
-    sources.register(table(spark, sf_dir, "orders"), "prepared_orders")
+    """A saved table: the one that ``write_prepared`` wrote, by its name in the catalog."""
+    path = new_path(spark, "prepared-orders")
+    sources.write_prepared(table(spark, sf_dir, "orders"), path)
+    spark.sql("DROP TABLE IF EXISTS prepared_orders")
+    spark.catalog.createTable("prepared_orders", path=path, source="parquet")
     return sources.read_table(spark, "prepared_orders").select("o_orderkey", "o_totalprice")
 
 
@@ -627,11 +631,14 @@ def logistic(spark, sf_dir):
 
 @query
 def logistic_on_woe(spark, sf_dir):
-    df = featured(spark, sf_dir).select("SK_ID_CURR", "TARGET", *MODEL_NUMBERS, *MODEL_CATEGORIES)
-    df = settle(df)
+    """Votes on the training rows choose the features, whose weights of evidence the model
+    is fitted on."""
+    df = settle(featured(spark, sf_dir))
     train, test = prep.split(df, "SK_ID_CURR", seed=12345)
-    bins = woe.monotone_bins(train, MODEL_NUMBERS, "TARGET")
-    cols = MODEL_NUMBERS + MODEL_CATEGORIES
+    candidates = [name for name in df.columns if name not in (*settings.DROP_COLUMNS, "TARGET")]
+    voted = woe.vote_features(train, candidates, "TARGET", keep=settings.VOTED_FEATURES).collect()
+    cols = [row["feature"] for row in voted]
+    bins = woe.monotone_bins(train, woe.numeric_columns(train, cols), "TARGET")
     fitted = settle(woe.woe_table(woe.assign_bins(train, bins), cols, "TARGET"))
 
     def vectors(part):
@@ -642,7 +649,7 @@ def logistic_on_woe(spark, sf_dir):
         "classWeights",
         F.when(F.col("TARGET") == 1, settings.ZERO_SHARE).otherwise(1 - settings.ZERO_SHARE),
     )
-    return scored_rows(models.logistic(weighted_train, **settings.LOGISTIC_TUNED), vectors(test))
+    return scored_rows(models.logistic(settle(weighted_train), **settings.LOGISTIC_TUNED), vectors(test))
 
 
 @query
