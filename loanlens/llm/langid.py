@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import hash_slice
+from loanlens.llm.common import hash_slice, small_batches
 from loanlens.session import settle
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,7 +30,7 @@ LANGUAGES = 400
 UNKNOWN = "und"
 _START = "▁"
 _LONGEST = 60  # letters; longer runs are cut into several words
-_CACHED = 300_000  # words that a task remembers, fewer with many languages
+_CACHED = 100_000  # words that a task remembers, fewer with many languages
 _CELLS = 4_000_000
 _SMOOTH = 0.01
 _SCALE = 1_000_000
@@ -182,6 +181,11 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "do
     """Estimates from rows with a label: all of them for the prior, about ``TRAIN_DOCS`` of
     each language, chosen by the hash of the key, for the pieces. Rounds collect only
     expected counts: one number for each piece and language."""
+    with small_batches(df.sparkSession):
+        return _fit(df, text, lang, key, path)
+
+
+def _fit(df: DataFrame, text: str, lang: str, key: str, path: str) -> Model:
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
@@ -237,8 +241,8 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
     was learned) and score, the probability of that language given the whole text."""
     given = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = given.value
         width = len(model.languages)
         known: dict[str, int] = {}
@@ -267,11 +271,11 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
                 total += table[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0)
             return total
 
-        for series in texts:
+        for texts in batches:
             names, scores = [], []
             # New words of many texts are looked up together.
-            for begin in range(0, len(series), 200):
-                split = [words_of(t) for t in series.iloc[begin : begin + 200]]
+            for begin in range(0, len(texts), 100):
+                split = [words_of(t) for t in texts.slice(begin, 100).to_pylist()]
                 new = set().union(*split).difference(known)
                 if len(new) + len(known) <= cached:
                     learn(list(new))
@@ -284,7 +288,9 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+            )
 
     return predict(text)
 

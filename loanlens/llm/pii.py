@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 #: Probability from which a proposed span is added.
@@ -205,13 +207,14 @@ def classifier(bits: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, text: Column) -> Model:
     """Counts the votes on all candidates of all texts and learns from the counts."""
     texts = df.select(text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    counted = (
+    counting = (
         texts.mapInArrow(_counted, "kind bigint, votes bigint, features bigint, n bigint")
         .groupBy("kind", "votes", "features")
         .agg(F.sum("n").alias("n"))
         .orderBy("kind", "votes", "features")
-        .collect()
     )
+    with small_batches(df.sparkSession):
+        counted = counting.collect()
     model = Model({}, {}, {})
     for number, kind in enumerate(KINDS):
         rows = np.array([tuple(r)[1:] for r in counted if r["kind"] == number], dtype=np.int64).reshape(-1, 3)
