@@ -22,8 +22,18 @@ from loanlens.session import settle
 LEAST_SCORE = 0.5
 
 
+#: Texts that go to Python at once. Spark and Python both hold a batch, and texts are long.
+BATCH_ROWS = 1_000
+
+
+def lean(spark: SparkSession) -> None:
+    """Sets the batch size for the job's session; a stage is run after its function returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that can be told; a null or letterless text has none."""
+    lean(spark)
     found = langid.identified(docs)
     known = (F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)
     return found.where(known).select(*docs.columns)
@@ -61,6 +71,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts; n_chars follows."""
+    lean(spark)
     found = pii.personal_data(docs)
     text = pii.redacted(F.col("text"), F.col("_spans"))
     length = F.when(F.size("_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
