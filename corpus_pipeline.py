@@ -65,7 +65,7 @@ def one_each(docs: DataFrame) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a passage of a benchmark item, re-parameterised or not."""
-    leaks = templates.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaks = templates.contaminated(docs, table(spark, sf_dir, "benchmark"), verbatim=True)
     return without(docs, leaks.select("doc_id").distinct())
 
 

@@ -100,7 +100,7 @@ def op7_weak_supervision(spark, sf_dir):
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return templates.contaminated(documents, benchmark)
+    return templates.contaminated(documents, benchmark, verbatim=True)
 
 
 @query

@@ -151,6 +151,7 @@ def contaminated(
     text: str = "text",
     width: int = 8,
     literals: int = 5,
+    verbatim: bool = False,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage, perhaps with
     other numbers, names or units.
@@ -158,7 +159,9 @@ def contaminated(
     Returns doc_key, item_key, n_passages (alignments of the two), n_windows (largest
     number of the item's windows in one alignment), coverage (their share), n_changed
     (placeholders with another value in that alignment). The values behind placeholders
-    must map one to one within an alignment; else it is no re-parameterised copy.
+    must map one to one within an alignment; else it is no re-parameterised copy. With
+    ``verbatim``, as queries and pipeline call it, such an alignment still has its windows
+    whose placeholders all hold equal values, and n_changed is 0 then; without it they go too.
     Null and empty texts match nothing; rows with a null key are left out; repeated
     documents are judged each; other columns are not read.
     """
@@ -215,19 +218,27 @@ def contaminated(
             F.arrays_zip("values", "doc_values").alias("slots"),
         )
 
-    matches = in_blocks(windows, "template", same_template)
+    def differ(slot: Column) -> Column:
+        return slot["values"].value != slot["doc_values"].value
+
+    matches = in_blocks(windows, "template", same_template).withColumn(
+        "equal", F.lit(verbatim) & ~F.exists("slots", differ)
+    )
     pairs = F.flatten(F.collect_set("slots"))  # at most the item's windows times their width
+    one_to_one = (F.col("ours") == F.size("slots")) & (F.col("theirs") == F.size("slots"))
     aligned = (
         matches.groupBy("doc_id", "item_id", "shift")
         .agg(
             F.first("n_windows").alias("of"),
-            F.count_distinct("place").alias("n"),
+            F.size(F.collect_set("place")).alias("n_all"),
+            F.size(F.collect_set(F.when(F.col("equal"), F.col("place")))).alias("n_equal"),
             F.array_distinct(pairs).alias("slots"),
         )
         .withColumn("ours", F.size(F.array_distinct(F.transform("slots", lambda s: s["values"]))))
         .withColumn("theirs", F.size(F.array_distinct(F.transform("slots", lambda s: s["doc_values"]))))
-        .where((F.col("ours") == F.size("slots")) & (F.col("theirs") == F.size("slots")))
-        .withColumn("changed", F.size(F.filter("slots", lambda s: s["values"].value != s["doc_values"].value)))
+        .withColumn("n", F.when(one_to_one, F.col("n_all")).otherwise(F.col("n_equal")))
+        .where(F.col("n") > 0)
+        .withColumn("changed", F.when(one_to_one, F.size(F.filter("slots", differ))).otherwise(0))
     )
     best = F.max(F.struct("n", (-F.col("changed")).alias("kept"), "of"))
     return (

@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 from loanlens.llm import templates
 from loanlens.llm.queries import QUERIES
 
@@ -42,6 +43,26 @@ def test_values_must_map_one_to_one(frame):
     assert (2, 1) not in got and (3, 1) not in got
 
 
+def test_equal_windows_stay_where_others_break_the_map(frame):
+    item = "If 4 red boxes and 9 blue boxes and 4 green boxes stand near the wall then count"
+    docs = [(1, item.replace("4 green", "5 green")), (2, item.replace("4", "7").replace("7 green", "5 green").replace(" count", "")), (3, item)]
+    bench = frame([(1, item)]).withColumnRenamed("doc_id", "item_id")
+    got = {r.doc_id: r for r in templates.contaminated(frame(docs), bench, verbatim=True).collect()}
+    # Windows 0, 1 and 10 of document 1 are the item's; document 2 has none such.
+    assert set(got) == {1, 3}
+    assert (got[1].n_windows, got[1].n_changed, got[1].coverage) == (3, 0, 3 / 11)
+    assert (got[3].n_windows, got[3].coverage) == (11, 1)
+
+
+def test_pipeline_drops_a_passage_with_one_number_changed(spark, sf_dir, tmp_path):
+    item = "If 4 red boxes and 9 blue boxes and 4 green boxes stand near the wall then count"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    rows = [(1, item.replace("4 green", "5 green"), "en", "s", 80), (2, "The wall is green.", "en", "s", 18)]
+    docs = spark.createDataFrame(rows, documents.schema)
+    assert [r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_short_items_match_as_a_whole(frame):
     got = pairs(frame, [(1, "x y what is the answer z"), (2, "what is the")], [(5, "What is the answer?")])
     assert set(got) == {(1, 5)}
