@@ -48,6 +48,11 @@ def literal(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(EDGES)))
 
 
+def exact(word: Column) -> Column:
+    """Literal form, or the word itself if it is made of signs only."""
+    return F.coalesce(F.nullif(literal(word), F.lit("")), word)
+
+
 def kinds(words: Column, starts: Column, after_number: Column) -> Column:
     """For each word: its placeholder or literal form, and the value behind it.
 
@@ -76,6 +81,20 @@ def is_slot(form: Column) -> Column:
     return form.isin(NUMBER, NAME, UNIT)
 
 
+def longest(window: Column, other_than: Column | None = None) -> Column:
+    """Place in a window that must match exactly of its longest literal word, or else of
+    its longest value; -1 if there is none."""
+    skip = F.lit(-1) if other_than is None else other_than
+    scores = F.transform(
+        window,
+        lambda x, i: F.when(i == skip, F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("length"))).otherwise(
+            F.struct((~is_slot(x.form) & (x.form != "")).cast("int").alias("kind"), F.length(x.exact).alias("length"))
+        ),
+    )
+    best = F.array_max(scores)
+    return F.when(best["kind"] < 0, -1).otherwise(F.array_position(scores, best).cast("int") - 1)
+
+
 def longest_literal(window: Column, other_than: Column | None = None) -> Column:
     """Place in the window of its longest literal word, the first of equals."""
     skip = F.lit(-1) if other_than is None else other_than
@@ -86,16 +105,24 @@ def longest_literal(window: Column, other_than: Column | None = None) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, literals: int) -> DataFrame:
-    """Template windows of items: item, its number of windows, place, n_words, template,
-    values, and its two longest words with their places. An item of fewer words than ``width`` is one window.
+    """Windows of items: item, place, n_words, template, values, its two longest words with
+    their places, whether it is weak, and the item's numbers of windows. An item of fewer
+    words than ``width`` is one window.
 
     The first word of an item counts once as the begin of a sentence and once as not,
     since a document may quote it in the middle of one. Windows with fewer literal words
-    than ``literals`` (or all, if the item is shorter) say too little and are left out.
+    than ``literals`` (or all, if the item is shorter) say too little as a template. They
+    are weak: in place of the template they have their exact words, and no values.
     """
-    words = benchmark.select(F.col(key).alias("item_id"), word_list(F.col(text)).alias("words"))
+    words = benchmark.select(F.col(key).alias("item_id"), word_list(F.col(text)).alias("words")).where(
+        F.col("item_id").isNotNull()
+    )
     both = words.select("item_id", "words", F.explode(F.array(F.lit(True), F.lit(False))).alias("start"))
-    coded = both.select("item_id", "start", kinds(F.col("words"), F.col("start"), F.lit(False)).alias("coded"))
+    with_exact = F.transform(
+        F.arrays_zip(kinds(F.col("words"), F.col("start"), F.lit(False)).alias("kind"), F.col("words").alias("word")),
+        lambda x: F.struct(x["kind"].form.alias("form"), x["kind"].value.alias("value"), exact(x["word"]).alias("exact")),
+    )
+    coded = both.select("item_id", "start", with_exact.alias("coded"))
     span = F.least(F.lit(width), F.size("coded"))
     cut = coded.select(
         "item_id",
@@ -104,30 +131,46 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, width: int, lit
         "coded",
         F.explode(F.sequence(F.lit(0), F.size("coded") - span)).alias("place"),
     ).where(F.col("start") | (F.col("place") == 0))
-    window = F.slice("coded", F.col("place") + 1, F.col("n_words"))
+    window, weak = F.col("window"), F.col("weak")
+    n_literals = F.size(F.filter(window, lambda x: ~is_slot(x.form) & (x.form != "")))
+    in_item = Window.partitionBy("item_id")
+    slots = F.transform(F.filter(window, lambda x: is_slot(x.form)), lambda x: F.struct(x.form.alias("form"), x.value.alias("value")))
     return (
-        cut.select("item_id", "place", "n_words", window.alias("window"))
-        .where(
-            F.size(F.filter("window", lambda x: ~is_slot(x.form) & (x.form != "")))
-            >= F.least(F.lit(literals), F.col("n_words"))
+        cut.select(
+            "item_id", "place", "n_words", F.slice("coded", F.col("place") + 1, F.col("n_words")).alias("window")
         )
+        .withColumn("weak", n_literals < F.least(F.lit(literals), F.col("n_words")))
         .select(
             "item_id",
             "place",
             "n_words",
-            F.array_join(F.transform("window", lambda x: x.form), " ").alias("template"),
-            F.filter("window", lambda x: is_slot(x.form)).alias("values"),
-            longest_literal(F.col("window")).alias("at"),
+            "weak",
+            F.array_join(
+                F.when(weak, F.transform(window, lambda x: x.exact)).otherwise(F.transform(window, lambda x: x.form)), " "
+            ).alias("template"),
+            F.when(weak, F.slice(slots, 1, 0)).otherwise(slots).alias("values"),
+            F.when(weak, longest(window)).otherwise(longest_literal(window)).alias("at"),
             "window",
         )
-        .withColumn("at2", longest_literal(F.col("window"), F.col("at")))
-        .withColumn("anchor", F.get("window", F.col("at")).form)
-        .withColumn("second", F.get("window", F.col("at2")).form)
-        .withColumn("second", F.when(~is_slot(F.col("second")), F.col("second")))
-        .where((F.col("anchor") != "") & F.col("item_id").isNotNull())
-        .drop("window")
+        .withColumn("at2", F.when(weak, longest(window, F.col("at"))).otherwise(longest_literal(window, F.col("at"))))
+        .withColumn("first", F.get(window, F.col("at")))
+        .withColumn("other", F.get(window, F.col("at2")))
+        .withColumn("anchor", F.when(weak, F.col("first.exact")).otherwise(F.col("first.form")))
+        # Where a weak window has one literal word, other values beside it would only make more anchors.
+        .withColumn(
+            "second",
+            F.when(~weak & ~is_slot(F.col("other.form")), F.col("other.form")).when(
+                weak & (is_slot(F.col("first.form")) | ~is_slot(F.col("other.form"))), F.col("other.exact")
+            ),
+        )
+        .where(F.col("anchor") != "")
+        .drop("window", "first", "other")
         .distinct()
-        .withColumn("n_windows", F.size(F.collect_set("place").over(Window.partitionBy("item_id"))))
+        .withColumn("strong", F.collect_set(F.when(~weak, F.col("place"))).over(in_item))
+        .withColumn("n_places", F.size(F.collect_set("place").over(in_item)))
+        .withColumn("n_windows", F.size("strong"))
+        .withColumn("extra", ~F.array_contains("strong", F.col("place")))
+        .drop("strong")
     )
 
 
@@ -162,6 +205,8 @@ def contaminated(
     must map one to one within an alignment; else it is no re-parameterised copy. With
     ``verbatim``, as queries and pipeline call it, such an alignment still has its windows
     whose placeholders all hold equal values, and n_changed is 0 then; without it they go too.
+    Windows with few literal words match only with equal values. They count in the share
+    where they are found, or if the item has no others.
     Null and empty texts match nothing; rows with a null key are left out; repeated
     documents are judged each; other columns are not read.
     """
@@ -174,7 +219,7 @@ def contaminated(
     worded = docs.select("doc_id", word_list(F.col("text")).alias("words"))
     # One generated stage explodes, probes and keeps: the array is not copied for each word.
     single = worded.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).withColumn(
-        "anchor", literal(F.col("word"))
+        "anchor", exact(F.col("word"))
     )
 
     def windows_at(anchors: DataFrame) -> DataFrame:
@@ -182,7 +227,7 @@ def contaminated(
         found = single.join(anchors, "anchor").where(
             (begin >= 0)
             & (begin + F.col("n_words") <= F.size("words"))
-            & (F.col("second").isNull() | (literal(F.get("words", begin + F.col("at2"))) == F.col("second")))
+            & (F.col("second").isNull() | (exact(F.get("words", begin + F.col("at2"))) == F.col("second")))
         )
         # With the word before, which tells whether the first one starts a sentence.
         return found.select(
@@ -200,8 +245,12 @@ def contaminated(
     after_number = F.coalesce(F.btrim(before, F.lit(EDGES)).rlike(DIGITS), F.lit(False))
     # An item's window knows the number before it; a unit that begins the window does too.
     candidates = found.select(
-        "doc_id", "begin", kinds(F.col("window"), starts, after_number).alias("window")
+        "doc_id",
+        "begin",
+        F.array_join(F.transform("window", exact), " ").alias("exact"),
+        kinds(F.col("window"), starts, after_number).alias("window"),
     ).select(
+        "exact",
         "doc_id",
         "begin",
         F.array_join(F.transform("window", lambda x: x.form), " ").alias("template"),
@@ -209,27 +258,33 @@ def contaminated(
     )
 
     def same_template(windows: DataFrame) -> DataFrame:
-        return candidates.join(windows, "template").select(
-            "doc_id",
-            "item_id",
-            "n_windows",
-            "place",
-            (F.col("begin") - F.col("place")).alias("shift"),
-            F.arrays_zip("values", "doc_values").alias("slots"),
-        )
+        return matched(candidates.join(windows, "template"), F.arrays_zip("values", "doc_values"))
+
+    def same_words(windows: DataFrame) -> DataFrame:
+        words = candidates.drop("template").withColumnRenamed("exact", "template")
+        return matched(words.join(windows, "template"), F.slice(F.arrays_zip("values", "doc_values"), 1, 0))
+
+    def matched(rows: DataFrame, slots: Column) -> DataFrame:
+        shift = (F.col("begin") - F.col("place")).alias("shift")
+        return rows.select("doc_id", "item_id", "n_windows", "n_places", "place", "weak", "extra", shift, slots.alias("slots"))
 
     def differ(slot: Column) -> Column:
         return slot["values"].value != slot["doc_values"].value
 
-    matches = in_blocks(windows, "template", same_template).withColumn(
-        "equal", F.lit(verbatim) & ~F.exists("slots", differ)
-    )
+    # Weak windows are joined by their words, so that all their values are equal.
+    weak = windows.where("weak")
+    matches = in_blocks(windows.where("NOT weak"), "template", same_template)
+    if not weak.isEmpty():
+        matches = matches.unionByName(in_blocks(weak, "template", same_words))
+    matches = matches.withColumn("equal", F.col("weak") | (F.lit(verbatim) & ~F.exists("slots", differ)))
     pairs = F.flatten(F.collect_set("slots"))  # at most the item's windows times their width
     one_to_one = (F.col("ours") == F.size("slots")) & (F.col("theirs") == F.size("slots"))
     aligned = (
         matches.groupBy("doc_id", "item_id", "shift")
         .agg(
-            F.first("n_windows").alias("of"),
+            F.first("n_windows").alias("n_windows"),
+            F.first("n_places").alias("n_places"),
+            F.size(F.collect_set(F.when(F.col("extra"), F.col("place")))).alias("n_extra"),
             F.size(F.collect_set("place")).alias("n_all"),
             F.size(F.collect_set(F.when(F.col("equal"), F.col("place")))).alias("n_equal"),
             F.array_distinct(pairs).alias("slots"),
@@ -238,6 +293,7 @@ def contaminated(
         .withColumn("theirs", F.size(F.array_distinct(F.transform("slots", lambda s: s["doc_values"]))))
         .withColumn("n", F.when(one_to_one, F.col("n_all")).otherwise(F.col("n_equal")))
         .where(F.col("n") > 0)
+        .withColumn("of", F.when(F.col("n_windows") > 0, F.col("n_windows") + F.col("n_extra")).otherwise(F.col("n_places")))
         .withColumn("changed", F.when(one_to_one, F.size(F.filter("slots", differ))).otherwise(0))
     )
     best = F.max(F.struct("n", (-F.col("changed")).alias("kept"), "of"))

@@ -68,6 +68,24 @@ def test_short_items_match_as_a_whole(frame):
     assert set(got) == {(1, 5)}
 
 
+def test_items_of_few_literal_words_are_found_verbatim(frame):
+    items = [
+        (1, "What is 48 divided by 6 ?"),
+        (2, "Who wrote Hamlet?"),
+        (3, "Which Planet Is Known As The Red Planet?"),
+        (4, "Compute 12 + 7 * 3 - 9 / 2 + 4 ."),
+        (5, "48 6 12 7"),
+        (6, "+ - * /"),
+    ]
+    docs = [(i, f"so he asked: {text} and went") for i, text in items]
+    docs += [(10 + i, f"then {text} and went") for i, text in items]
+    # Other values or signs are other questions here.
+    docs += [(21, "What is 49 divided by 6 ?"), (22, "Who wrote Faust?"), (24, "Compute 12 + 7 * 3 + 9 / 2 + 4 .")]
+    want = {(k, i) for i, _ in items for k in (i, 10 + i)}
+    got = pairs(frame, docs, items)
+    assert set(got) == want and all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
+
+
 def test_blocks_give_the_same(frame, monkeypatch):
     docs = [(1, ITEM), (2, "nothing else in it but words of another kind and length")]
     whole = pairs(frame, docs, [(1, ITEM)])
