@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents per language, about, from which piece probabilities are estimated.
 TRAIN_DOCS = 3_000
 ROUNDS = 3
-#: Languages at most: the most frequent labels.
+#: Languages whose piece probabilities are held at once; more are taken in blocks.
 LANGUAGES = 400
 UNKNOWN = "und"
 _START = "▁"
@@ -158,7 +158,8 @@ class Lattice:
 
 @dataclass
 class Model:
-    """Languages, their log prior, and piece probabilities (pieces and unknown, languages)."""
+    """A block of languages, their log prior among all languages, and piece probabilities
+    (pieces and unknown, languages)."""
 
     languages: list[str]
     prior: np.ndarray
@@ -177,22 +178,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "word", "n"])
 
 
-def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str = VOCABULARY) -> Model:
-    """Estimates from rows with a label: all of them for the prior, about ``TRAIN_DOCS`` of
-    each language, chosen by the hash of the key, for the pieces. Rounds collect only
-    expected counts: one number for each piece and language."""
-    with small_batches(df.sparkSession):
-        return _fit(df, text, lang, key, path)
+def fit(
+    df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str = VOCABULARY
+) -> Iterator[Model]:
+    """Models of all labels, ``LANGUAGES`` at a time, each estimated when it is asked for.
 
-
-def _fit(df: DataFrame, text: str, lang: str, key: str, path: str) -> Model:
+    Estimates from rows with a label: all of them for the prior, about ``TRAIN_DOCS`` of
+    each language, chosen by the hash of the key, for the pieces. Rounds collect only
+    expected counts: one number for each piece and language. Without labels there is one
+    model without languages."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    rows = {r["lang"]: r["count"] for r in counts}
-    pieces = Pieces(vocabulary(path))
+    with small_batches(df.sparkSession):
+        rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    pieces, languages = Pieces(vocabulary(path)), sorted(rows)
+    for begin in range(0, max(len(languages), 1), LANGUAGES):
+        with small_batches(df.sparkSession):
+            model = _fit(labelled, languages[begin : begin + LANGUAGES], rows, pieces)
+        yield model
+
+
+def _fit(labelled: DataFrame, languages: list[str], rows: dict[str, int], pieces: Pieces) -> Model:
     probability = np.full((pieces.count + 1, len(languages)), 1.0 / (pieces.count + 1))
     prior = np.log(np.array([rows[x] for x in languages], dtype=float) / max(sum(rows.values()), 1))
     if not languages:
@@ -204,7 +211,7 @@ def _fit(df: DataFrame, text: str, lang: str, key: str, path: str) -> Model:
     words = settle(
         chosen.select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
-    context, number = df.sparkSession.sparkContext, {x: i for i, x in enumerate(languages)}
+    context, number = labelled.sparkSession.sparkContext, {x: i for i, x in enumerate(languages)}
     for _ in range(ROUNDS):
         given = context.broadcast((pieces, probability, number))
 
@@ -237,11 +244,12 @@ def _fit(df: DataFrame, text: str, lang: str, key: str, path: str) -> Model:
 
 
 def predicted(df: DataFrame, model: Model, text: Column) -> Column:
-    """Struct of lang_pred (``und`` for a text that is null or has no letter, or if nothing
-    was learned) and score, the probability of that language given the whole text."""
+    """Struct of the block's best language (``und`` for a text that is null or has no
+    letter, or if nothing was learned), its log probability together with the text, and the
+    log of the sum of these over the block. Both are null for ``und``."""
     given = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, best double, total double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = given.value
         width = len(model.languages)
@@ -272,7 +280,7 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
             return total
 
         for texts in batches:
-            names, scores = [], []
+            names, bests, totals = [], [], []
             # New words of many texts are looked up together.
             for begin in range(0, len(texts), 100):
                 split = [words_of(t) for t in texts.slice(begin, 100).to_pylist()]
@@ -282,14 +290,17 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
                 for words in split:
                     if not words or not width:
                         names.append(UNKNOWN)
-                        scores.append(0.0)
+                        bests.append(None)
+                        totals.append(None)
                         continue
                     total = model.prior + evidence(words)
                     best = int(total.argmax())
                     names.append(model.languages[best])
-                    scores.append(float(1 / np.exp(total - total[best]).sum()))
+                    bests.append(float(total[best]))
+                    totals.append(float(total[best] + np.log(np.exp(total - total[best]).sum())))
             yield pa.StructArray.from_arrays(
-                [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+                [pa.array(names, pa.string()), pa.array(bests, pa.float64()), pa.array(totals, pa.float64())],
+                ["lang_pred", "best", "total"],
             )
 
     return predict(text)
@@ -303,8 +314,30 @@ def held_out(key: Column) -> Column:
 def identified(df: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", path: str = VOCABULARY) -> DataFrame:
     """All rows and columns of ``df`` with ``_held_out`` and ``_language`` (lang_pred, score).
 
-    The model is fitted on rows whose key is known and not held out. Ties go to the first
-    language by name. Repeated rows get equal predictions.
+    All labels are learned. With more than ``LANGUAGES`` of them the texts are read once for
+    each block, and written in between, so that one block is held at a time; the best
+    language and the sum go on. The model is fitted on rows whose key is known and not held
+    out. Ties go to the first language by name. Repeated rows get equal predictions.
     """
-    model = fit(df.where(F.col(key).isNotNull() & ~held_out(F.col(key))), text=text, lang=lang, key=key, path=path)
-    return df.withColumns({"_held_out": held_out(F.col(key)), "_language": predicted(df, model, F.col(text))})
+    models = fit(df.where(F.col(key).isNotNull() & ~held_out(F.col(key))), text=text, lang=lang, key=key, path=path)
+    found = None
+    for model in models:
+        if found is None:
+            found = df.withColumns({"_held_out": held_out(F.col(key)), "_language": predicted(df, model, F.col(text))})
+            continue
+        # Blocks come in order of names, so a tie stays with the earlier one.
+        scored = settle(found).withColumn("_next", predicted(df, model, F.col(text)))
+        found = scored.withColumn("_language", _better(F.col("_language"), F.col("_next"))).drop("_next")
+    score = F.coalesce(F.exp(F.col("_language.best") - F.col("_language.total")), F.lit(0.0))
+    return found.withColumn("_language", F.struct(F.col("_language.lang_pred"), score.alias("score")))
+
+
+def _better(a: Column, b: Column) -> Column:
+    """The better of two blocks' languages, and the log of both sums."""
+    ahead = F.coalesce(b["best"] > a["best"], F.lit(False))
+    total = F.greatest(a["total"], b["total"]) + F.log1p(F.exp(-F.abs(a["total"] - b["total"])))
+    return F.struct(
+        F.when(ahead, b["lang_pred"]).otherwise(a["lang_pred"]).alias("lang_pred"),
+        F.greatest(a["best"], b["best"]).alias("best"),
+        total.alias("total"),
+    )

@@ -66,3 +66,16 @@ def test_edges(frame, spark):
     unlabelled = langid.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r._language.lang_pred for r in unlabelled} == {"und"}
     assert langid.identified(df.limit(0)).collect() == []
+
+
+def test_more_labels_than_are_held_at_once(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r.lang for r in docs.select("lang").distinct().collect()} - {None}
+
+    def found():
+        return sorted((r.doc_id, r._language.lang_pred, round(r._language.score, 6)) for r in langid.identified(docs).collect())
+
+    whole = found()
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert len(labels) > 2 and found() == whole
+    assert {lang for _, lang, _ in whole} - {langid.UNKNOWN} == labels
