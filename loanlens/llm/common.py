@@ -38,6 +38,18 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+        taken.add(name.lower())
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -134,4 +134,21 @@ SELECT pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
   coalesce(string_agg(CASE WHEN side = 'rejected' AND place >= n AND role = 'assistant'
     THEN CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto AS BIGINT) END, ',' ORDER BY place), '') AS rejected_mask
 FROM spans GROUP BY pair_id""",
+    "op11_url_digests": r"""
+WITH r AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM r),
+u AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM h),
+f AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM f""",
 }

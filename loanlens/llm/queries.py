@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, vptree, warc
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, urlfilter, vptree, warc
 from loanlens.llm.common import table, word_count
 from loanlens.llm.oracles import ORACLES  # noqa: F401
-from loanlens.session import new_path, settle
+from loanlens.session import new_path, settle, small_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -146,3 +146,19 @@ def op10_preference_pairs(spark, sf_dir):
     span = lambda s: F.concat_ws("-", s.start.cast("string"), s["end"].cast("string"))
     masks = ("chosen_mask", "rejected_mask")
     return pairs.withColumns({m: F.array_join(F.transform(m, span), ",") for m in masks})
+
+
+#: Host, path and verdict.
+RULES = [
+    ("net", "/", urlfilter.BLOCK),
+    ("example.net", "/en/", urlfilter.ALLOW),
+    ("example.com", "/de/", urlfilter.BLOCK),
+    ("org", "/fr/", urlfilter.ALLOW),
+]
+
+
+@query
+def op11_url_digests(spark, sf_dir):
+    rules = small_frame(spark, RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
