@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, templates, urlfilter, vptree, warc
-from loanlens.llm.common import table, word_count
+from loanlens.llm import hilbert, jaccard, langid, packing, pii, preference, rollup, runs, templates, urlfilter, vptree, warc
+from loanlens.llm.common import WORD, table, word_count
 from loanlens.llm.oracles import ORACLES  # noqa: F401
 from loanlens.session import new_path, settle, small_frame
 
@@ -162,3 +162,37 @@ def op11_url_digests(spark, sf_dir):
     rules = small_frame(spark, RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """In each tenth document, by its id, the words from some place on repeat themselves."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    start = "g % size(words)"
+    rows = documents.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("a", F.expr(f"CASE WHEN size(words) > 0 THEN {start} END"))
+    rows = rows.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    again = "array_join(transform(words, (w, i) -> IF(i < a, w, words[CAST(a + (i - a) % p AS INT)])), ' ')"
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.expr(again)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_tiled_runs(spark, sf_dir):
+    documents = planted(table(spark, sf_dir, "documents"))
+    found = runs.periodic_runs(documents, {"collapsed_sha256": lambda text: F.sha2(text, 256)})
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    text = F.concat_ws("", F.transform(listed, lambda r: F.concat(r, F.lit("\n"))))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("n"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    found = found.withColumn("top", top)
+    length, period = F.col("top.n"), -F.col("top.p")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
