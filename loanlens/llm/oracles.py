@@ -4,6 +4,16 @@ from __future__ import annotations
 
 WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
+#: The table of CRC-32 by its rule, and the checksum of an ASCII text by that table.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc"""
+
+
+def crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(range(1, 1 + length({text})), lambda j: CAST(ascii(substr({text}, j, 1)) AS BIGINT)),
+    lambda v, b: xor(v >> 8, crc[1 + (xor(v, b) & 255)]), 4294967295), 4294967295)"""
+
+
 ORACLES = {
     "op1_length_buckets": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS n FROM documents),
@@ -151,4 +161,95 @@ f AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM f""",
+    "op12_tiled_runs": rf"""
+WITH t AS ({CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    {crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents, t),
+e AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+w AS (
+  SELECT rid, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM f, unnest(range(0, n)) AS u(i)),
+g AS (
+  SELECT *, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+m AS (
+  SELECT a.rid, b.i - a.i AS p, a.i AS x FROM g a JOIN g b
+  ON a.rid = b.rid AND a.w = b.w AND a.w1 = b.w1 AND a.w2 = b.w2 AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (
+  SELECT rid, p, min(x) AS x, count(*) + 2 + p AS l
+  FROM (SELECT *, x - row_number() OVER (PARTITION BY rid, p ORDER BY x) AS island FROM m) GROUP BY rid, p, island),
+r AS (SELECT rid, x, l, min(p) AS p FROM s WHERE l >= greatest(6, 4 * p) GROUP BY rid, x, l),
+k AS (SELECT DISTINCT rid, unnest(range(x + p, x + l)) AS i FROM r),
+c AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN k USING (rid, i) GROUP BY rid),
+q AS (
+  SELECT rid, count(*) AS n, string_agg(x || ',' || l || ',' || p || chr(10), '' ORDER BY x, p) AS runs,
+    min({{'l': -l, 'x': x, 'p': p}}) AS top FROM r GROUP BY rid)
+SELECT doc_id, coalesce(q.n, 0) AS n_runs, top.x AS start, CAST(-top.l AS BIGINT) AS length, top.p AS period,
+  CAST(1000 * -top.l // top.p AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN q USING (rid) LEFT JOIN c USING (rid)""",
+    # Forward over the rows of a conversation: per state the least (cost, edits).
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h
+  FROM conversations, t),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) WHERE h <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (
+  SELECT *, substr(role, 1, 1) AS c, CASE
+      WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o),
+g AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+v AS (
+  SELECT conv_id, n, 0 AS i, {{'c': 0, 'a': ''}} AS z, {{'c': 1000000000, 'a': ''}} AS s,
+    {{'c': 5, 'a': 'I'}} AS u, {{'c': 10, 'a': 'II'}} AS x FROM g
+  UNION ALL
+  SELECT conv_id, n, i, z, s, u, list_min([x, {{'c': u.c + 5, 'a': u.a || 'I'}}]) AS x FROM (
+    SELECT conv_id, n, i, z, s, x, list_min([u, {{'c': z.c + 5, 'a': z.a || 'I'}}, {{'c': s.c + 5, 'a': s.a || 'I'}},
+      {{'c': x.c + 5, 'a': x.a || 'I'}}]) AS u FROM (
+      SELECT conv_id, n, i, {{'c': z.c + 2, 'a': z.a || 'D'}} AS z,
+        list_min([{{'c': s.c + 2, 'a': s.a || 'D'}}, {{'c': z.c + no_s, 'a': z.a || 'K'}}]) AS s,
+        list_min([{{'c': u.c + 2, 'a': u.a || 'D'}}, {{'c': z.c + to_u, 'a': z.a || eu}}, {{'c': s.c + to_u, 'a': s.a || eu}},
+          {{'c': x.c + to_u, 'a': x.a || eu}}]) AS u,
+        list_min([{{'c': x.c + 2, 'a': x.a || 'D'}}, {{'c': u.c + to_a, 'a': u.a || ea}}]) AS x
+      FROM (
+        SELECT v.conv_id, v.n, f.i, z, s, u, x, forced + more + CASE WHEN c = 's' THEN 0 ELSE 1000000000 END AS no_s,
+          forced + more + CASE WHEN c = 'u' THEN 0 ELSE 1 END AS to_u, CASE WHEN c = 'u' THEN 'K' ELSE 'R' END AS eu,
+          forced + more + CASE WHEN c = 'a' THEN 0 ELSE 1 END AS to_a, CASE WHEN c = 'a' THEN 'K' ELSE 'R' END AS ea
+        FROM v JOIN (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE 0 END AS forced,
+          CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM f) f
+        ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1)))),
+b AS (SELECT conv_id, list_min([z, x]) AS best FROM v WHERE i = n),
+e AS (
+  SELECT conv_id, j, substr(best.a, j, 1) AS edit, sum(CASE WHEN substr(best.a, j, 1) <> 'I' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id ORDER BY j) AS i FROM b, unnest(range(1, 1 + length(best.a))) AS u(j)),
+l AS (
+  SELECT e.conv_id, j, edit, role, c, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY j) AS place,
+    first_value(edit = 'K' AND c = 's') OVER (PARTITION BY e.conv_id ORDER BY j) AS opens
+  FROM e JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = greatest(e.i, 1) WHERE edit <> 'D'),
+r AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN opens THEN 1 ELSE 0 END) % 2 = 1
+    THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM l GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
