@@ -1,11 +1,14 @@
 """Measures of a score, from the table of ``running_class_counts``.
 
 Pass that one table to all of them: it costs the shuffle, the measures are
-projections and small aggregates of it.
+projections and small aggregates of it. Where it was made for several scores at once,
+name its groups in ``by``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ def _f_measure():
     return F.try_divide(2.0 * F.col("ones_above"), F.col("total_ones") + F.col("rows_above"))
 
 
-def roc_auc(counts: DataFrame) -> DataFrame:
+def roc_auc(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve: the chance that a one outscores a zero, ties half.
 
     Twice the favourable pairs are summed as whole decimals, so the result does
@@ -32,48 +35,51 @@ def roc_auc(counts: DataFrame) -> DataFrame:
     total_zeros = F.col("total_rows") - F.col("total_ones")
     zeros_below = total_zeros - (F.col("rows_above") - F.col("ones_above"))
     pairs = F.col("ones").cast("decimal(18,0)") * (2 * zeros_below + zeros).cast("decimal(19,0)")
-    sums = counts.agg(
+    sums = counts.groupBy(*by).agg(
         F.sum(pairs).cast("double").alias("twice"),
         F.max("total_ones").cast("double").alias("p"),
         F.max(total_zeros).cast("double").alias("n"),
     )
-    return sums.select(F.try_divide(F.col("twice"), 2.0 * F.col("p") * F.col("n")).alias("auc"))
+    return sums.select(*by, F.try_divide(F.col("twice"), 2.0 * F.col("p") * F.col("n")).alias("auc"))
 
 
-def recall_by_threshold(counts: DataFrame) -> DataFrame:
-    return counts.select("threshold", _recall().alias("recall"))
+def recall_by_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counts.select(*by, "threshold", _recall().alias("recall"))
 
 
-def precision_by_threshold(counts: DataFrame) -> DataFrame:
-    return counts.select("threshold", _precision().alias("precision"))
+def precision_by_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counts.select(*by, "threshold", _precision().alias("precision"))
 
 
-def precision_recall_curve(counts: DataFrame) -> DataFrame:
-    return counts.select("threshold", _recall().alias("recall"), _precision().alias("precision"))
+def precision_recall_curve(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counts.select(*by, "threshold", _recall().alias("recall"), _precision().alias("precision"))
 
 
-def f_measure_by_threshold(counts: DataFrame) -> DataFrame:
-    return counts.select("threshold", _f_measure().alias("f_measure"))
+def f_measure_by_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counts.select(*by, "threshold", _f_measure().alias("f_measure"))
 
 
-def best_threshold(counts: DataFrame) -> DataFrame:
+def best_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Score with the highest F measure; of equals the higher score."""
-    best = f_measure_by_threshold(counts).agg(
+    best = f_measure_by_threshold(counts, by).groupBy(*by).agg(
         F.max(F.struct("f_measure", "threshold")).alias("best")
     )
-    return best.select("best.threshold", "best.f_measure")
+    return best.select(*by, "best.threshold", "best.f_measure")
 
 
-def roc_curve(counts: DataFrame) -> DataFrame:
+def roc_curve(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """False- and true-positive rate per score, with the start point (0, 0), whose
     threshold is null: above every score."""
     zeros_above = (F.col("rows_above") - F.col("ones_above")).cast("double")
     points = counts.select(
+        *by,
         "threshold",
         F.try_divide(zeros_above, F.col("total_rows") - F.col("total_ones")).alias("fpr"),
         _recall().alias("tpr"),
     )
-    start = counts.sparkSession.range(1).select(
+    groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1)
+    start = groups.select(
+        *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),

@@ -132,6 +132,32 @@ def running_totals(
     return running.select(*df.columns, *[f"running_{name}" for name in values])
 
 
+def running_totals_by(
+    df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = False, buckets: int | None = None
+) -> DataFrame:
+    """``running_totals`` within each of the few groups that the keys make, all at once.
+
+    ``order`` holds a different number in every row of a group. Each group is cut at its
+    own quantiles, so one shuffle by group and bucket is even however large a group is.
+    The frame is read three times; settle it first if it is costly.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)] or [0.5]
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, shares, 10 * n)).alias("_edges"))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    edges = settle(edges)
+    bucket = F.expr(f"size(filter(_edges, e -> e < `{order}`))")
+    placed = df.join(F.broadcast(edges), same(df, edges), "left").select(*[df[c] for c in df.columns], bucket.alias("_bucket"))
+    sums = placed.groupBy(*keys, "_bucket").agg(*[F.sum(name).alias(f"_sum_{name}") for name in values])
+    direct = F.desc if descending else F.asc
+    before = Window.partitionBy(*keys).orderBy(direct("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(direct(order)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
+    joined = summed.join(F.broadcast(offsets), [*same(summed, offsets), summed["_bucket"] == offsets["_bucket"]])
+    return joined.select(*[summed[c] for c in df.columns], *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).alias(f"running_{v}") for v in values])
+
+
 def cumulative_share(df: DataFrame, order: str, value: str) -> DataFrame:
     """Running sum of a value's share of its total, along the order."""
     total = df.agg(F.sum(value).cast("double")).scalar()
@@ -142,30 +168,39 @@ def cumulative_share(df: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def running_class_counts(
-    df: DataFrame, score: str, label: str, buckets: int | None = None
+    df: DataFrame, score: str, label: str, buckets: int | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Ones and rows with at least each score; every curve derives from this table.
 
     Equal scores are one row, collapsed map-side, so a score that a third of the
     rows share weighs no more than any other. That table is written once: the
-    scoring behind it is not repeated by the later passes.
+    scoring behind it is not repeated by the later passes. With ``by``, as a model
+    and a part of the data, the counts of all its groups are made in one shuffle.
     """
     per_score = settle(
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("threshold"))
+        .groupBy(*by, F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(F.col(label) == 1).alias("ones"), F.count(F.lit(1)).alias("rows"))
     )
-    totals = per_score.agg(
-        F.struct(F.sum("ones").alias("ones"), F.sum("rows").alias("rows")).alias("totals")
-    ).scalar()
-    return running_totals(
-        per_score, "threshold", ["ones", "rows"], descending=True, buckets=buckets
-    ).select(
+    totals = (F.sum("ones").alias("ones"), F.sum("rows").alias("rows"))
+    if by:
+        running = running_totals_by(per_score, by, "threshold", ["ones", "rows"], True, buckets)
+        all_ = per_score.groupBy(*by).agg(*[t.alias(f"total_{n}") for t, n in zip(totals, ("ones", "rows"))])
+        running = running.join(F.broadcast(all_), [running[k].eqNullSafe(all_[k]) for k in by]).select(
+            *[running[c] for c in running.columns], "total_ones", "total_rows"
+        )
+        all_ones, all_rows = F.col("total_ones"), F.col("total_rows")
+    else:
+        running = running_totals(per_score, "threshold", ["ones", "rows"], descending=True, buckets=buckets)
+        found = per_score.agg(F.struct(*totals).alias("totals")).scalar()
+        all_ones, all_rows = found["ones"], found["rows"]
+    return running.select(
+        *by,
         "threshold",
         "ones",
         "rows",
         F.col("running_ones").alias("ones_above"),
         F.col("running_rows").alias("rows_above"),
-        totals["ones"].alias("total_ones"),
-        totals["rows"].alias("total_rows"),
+        all_ones.alias("total_ones"),
+        all_rows.alias("total_rows"),
     )

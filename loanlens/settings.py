@@ -77,6 +77,13 @@ BOOSTED_TUNED = {
     "num_round": 10,
     "seed": 0,
 }
+# The published settings that Spark's own boosted trees have no counterpart for.
+BOOSTED_PUBLISHED = BOOSTED_TUNED | {
+    "num_parallel_tree": 10,
+    "grow_policy": "lossguide",
+    "alpha": 1,
+    "lambda_": 1,
+}
 
 # Search grids.
 LOGISTIC_GRID = {
@@ -94,3 +101,14 @@ FOREST_GRID = {
     "impurity": ["gini", "entropy"],
     "subsamplingRate": [0.2, 0.4, 0.7],
 }
+BOOSTED_GRID = {
+    "scale_pos_weight": [1, 75, 92],
+    "max_depth": [5, 15, 50, 80],
+    "subsample": [0.6, 0.8, 0.9],
+    "n_estimators": [10, 100, 500],
+    "colsample_bytree": [0.2, 0.3, 0.4],
+    "grow_policy": ["depthwise", "lossguide"],
+    "gamma": [0, 1, 5],
+    "lamda": [0, 1, 5],
+    "alpha": [0, 1, 5],
+}

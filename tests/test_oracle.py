@@ -24,6 +24,7 @@ ROWS_ONLY = {
     "logistic_on_woe",
     "random_forest",
     "boosted_trees",
+    "boosted_importance",
     "score",
     "cross_validate",
     "cross_validate_forest",
