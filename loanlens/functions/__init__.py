@@ -1,5 +1,6 @@
 from loanlens.functions.columns import (  # noqa: F401
     hash_number,
+    hash_uniform,
     is_missing,
     known,
     log_or_null,

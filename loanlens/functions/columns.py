@@ -1,7 +1,9 @@
-"""Column expressions. All are built-in functions, so they stay in code generation."""
+"""Column expressions. All are built-in functions, so they stay in code generation; only
+``hash_uniform`` is for code that works on batches."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,3 +62,15 @@ def known(df: DataFrame, column: str) -> Column:
     """The column, with NaN as null where it is a floating-point one."""
     floating = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
     return nan_to_null(column) if floating else F.col(column)
+
+
+def hash_uniform(h: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in [0, 1) from the hash of the key, by SplitMix64's finisher."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.int64).view(np.uint64)
+        for s in salt:
+            z = z + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(float) / 2.0**53

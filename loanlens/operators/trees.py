@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loanlens.functions import known
+from loanlens.functions import hash_uniform, known
 from loanlens.operators.quantiles import counted_values, cut_points
 from loanlens.session import small_frame
 
@@ -198,23 +198,11 @@ class Tree:
 # ---- what a row, a node and a split weigh ----
 
 
-def _uniform(h: np.ndarray, *salt: int) -> np.ndarray:
-    """Numbers in [0, 1) from the hash of the key, by SplitMix64's finisher."""
-    with np.errstate(over="ignore"):
-        z = h.astype(np.int64).view(np.uint64)
-        for s in salt:
-            z = z + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(float) / 2.0**53
-
-
 def times_drawn(h: np.ndarray, p: Params, tree: int) -> np.ndarray | None:
     """How often each row is in a tree's sample; None for once each."""
     if p.rate >= 1 and not p.replace:
         return None
-    u = _uniform(h, p.seed, tree)
+    u = hash_uniform(h, p.seed, tree)
     if not p.replace:
         return (u < p.rate).astype(float)
     chance, at_most, table = np.exp(-p.rate), np.exp(-p.rate), []
@@ -228,7 +216,7 @@ def times_drawn(h: np.ndarray, p: Params, tree: int) -> np.ndarray | None:
 def columns_of(p: Params, tree: int, nodes: np.ndarray, count: int) -> np.ndarray:
     """The columns that each node may be split by, in order: those of the smallest numbers
     drawn, as many for each node."""
-    drawn = lambda n, salt: _uniform(np.arange(n * count), p.seed, tree, salt).reshape(n, count)
+    drawn = lambda n, salt: hash_uniform(np.arange(n * count), p.seed, tree, salt).reshape(n, count)
     left = max(1, int(p.columns_by_tree * count + 1e-9)) if p.columns_by_tree < 1 else count
     out = np.argsort(drawn(1, 1)[0])[left:]
     k = max(1, int(np.ceil(p.columns_by_node * left - 1e-9))) if p.columns_by_node < 1 else left
@@ -292,7 +280,7 @@ def best_splits(hist: np.ndarray, p: Params, ordered: np.ndarray, columns: np.nd
     valid = (b >= least) & (tb - b >= least)
     if p.random_cuts:
         may = valid.any(3)
-        every = _uniform(np.arange((int(nodes.max()) + 1) * len(ordered)), p.seed, tree, 3).reshape(-1, len(ordered))
+        every = hash_uniform(np.arange((int(nodes.max()) + 1) * len(ordered)), p.seed, tree, 3).reshape(-1, len(ordered))
         drawn = np.take_along_axis(every[nodes], columns, axis=1)[..., None]
         valid &= ((np.cumsum(may, axis=2) - 1 == np.floor(drawn * may.sum(2, keepdims=True))) & may)[..., None]
     gains = np.where(valid, gains, -np.inf).reshape(n, -1)

@@ -446,6 +446,17 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
         "(SELECT regr_intercept(AMT_GOODS_PRICE, AMT_CREDIT) FROM app) + "
         "(SELECT regr_slope(AMT_GOODS_PRICE, AMT_CREDIT) FROM app) * AMT_CREDIT), 3) AS AMT_GOODS_PRICE FROM app"
     ),
+    # The column with fewer gaps, goods price, is refitted first in each round.
+    "impute_two": APPLICATIONS
+    + ", given AS (SELECT SK_ID_CURR, AMT_GOODS_PRICE AS g, CAST(nullif(DAYS_EMPLOYED, 365243) AS DOUBLE) AS e FROM app), "
+    + "f0 AS (SELECT SK_ID_CURR, g, e, coalesce(g, (SELECT avg(g) FROM given)) AS gf, coalesce(e, (SELECT avg(e) FROM given)) AS ef FROM given)"
+    + "".join(
+        f", g{i} AS (SELECT * REPLACE (coalesce(g, (SELECT regr_intercept(g, ef) FROM f{i - 1}) + (SELECT regr_slope(g, ef) FROM f{i - 1}) * ef) AS gf) "
+        f"FROM f{i - 1}), f{i} AS (SELECT * REPLACE (coalesce(e, (SELECT regr_intercept(e, gf) FROM g{i}) + (SELECT regr_slope(e, gf) FROM g{i}) * gf) AS ef) "
+        f"FROM g{i})"
+        for i in (1, 2)
+    )
+    + " SELECT SK_ID_CURR, round(gf, 2) AS AMT_GOODS_PRICE, round(ef, 2) AS DAYS_EMPLOYED FROM f2",
     "woe_table": APPLICATIONS
     + woe_of("app", CATEGORIES)
     + f' SELECT feature, bin, "rows", events, non_events, {r("woe", 9, "woe")}, {r("iv", 9, "iv")} FROM woe',

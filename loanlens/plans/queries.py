@@ -504,6 +504,15 @@ def impute_chained(spark, sf_dir):
     return rounded(impute.impute_chained(df, cols), 2, "AMT_GOODS_PRICE")
 
 
+@query
+def impute_two(spark, sf_dir):
+    """Two gappy columns that explain each other, refilled in turn for two rounds."""
+    df = features.sentinel_to_null(applications(spark, sf_dir), "DAYS_EMPLOYED", settings.EMPLOYMENT_SENTINEL)
+    cols = ["AMT_GOODS_PRICE", "DAYS_EMPLOYED"]
+    df = settle(df.select("SK_ID_CURR", *[F.col(c).cast("double").alias(c) for c in cols]))
+    return rounded(impute.impute_chained(df, cols, rounds=2, tol=0.0), 2, *cols)
+
+
 CATEGORIES = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "REGION_RATING_CLIENT"]
 
 

@@ -120,7 +120,7 @@ def test_chained_imputation_fills_only_gaps(app):
 
 
 def test_chained_imputation_with_many_columns_and_patterns(spark):
-    """Sixty gappy columns of a hundred: far more gap patterns than could be listed. The
+    """Sixty gappy columns of a hundred: far more gap patterns than are listed. The
     columns hang on three hidden numbers, which the others give away."""
     rng = np.random.RandomState(7)
     hidden = rng.normal(size=(800, 3))
@@ -130,11 +130,88 @@ def test_chained_imputation_with_many_columns_and_patterns(spark):
     data = [[None if h else float(v) for v, h in zip(*row)] for row in zip(whole, holes)]
     df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in cols)).repartition(5)
     df = df.withColumn("k", F.monotonically_increasing_id())
-    got = {tuple(r)[60]: r for r in impute.impute_chained(df, cols, rounds=8).collect()}
+    got = {tuple(r)[60]: r for r in impute.impute_chained(df, cols, rounds=6, at_once=20).collect()}
     error = [abs(got[row[60]][f"c{i}"] - row[i]) for row, hole in zip(whole, holes) for i in np.flatnonzero(hole)]
     assert np.median(error) < 0.1 and len(got) == 800
 
 
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Three gappy columns of four, a whole-number one and a clashing name among them."""
+    rng = np.random.RandomState(3)
+    x = rng.normal(size=600)
+    y, z = 2 * x + 0.3 * rng.normal(size=600), np.round(20 * x + 5 * rng.normal(size=600))
+    v = y - x + 0.2 * rng.normal(size=600)
+    rows = [
+        (i, float(x[i]), None if i % 7 == 0 else float(y[i]), None if i % 5 == 1 else int(z[i]), None if i % 11 == 2 else float(v[i]), "kept")
+        for i in range(600)
+    ]
+    return settle(spark.createDataFrame(rows, "k long, x double, y double, z int, v double, _filled string").repartition(4))
+
+
+def reference_chain(df, cols, rounds):
+    """The same by NumPy over all rows."""
+    rows = df.orderBy("k").select(*[F.col(c).cast("double") for c in cols]).collect()
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    gaps = np.isnan(x)
+    filled = np.where(gaps, np.nanmean(x, axis=0), x)
+    order = sorted((j for j in range(len(cols)) if gaps[:, j].any()), key=lambda j: gaps[:, j].sum())
+    for _ in range(rounds):
+        for j in order:
+            a = np.column_stack([np.ones(len(x)), np.delete(filled, j, axis=1)])
+            b = np.linalg.lstsq(a[~gaps[:, j]], x[~gaps[:, j], j], rcond=None)[0]
+            filled[gaps[:, j], j] = a[gaps[:, j]] @ b
+    return filled
+
+
+@pytest.mark.parametrize("patterns", [256, 0, 3])
+def test_chained_imputation_refits_each_column_in_turn(gappy, patterns):
+    cols = ["x", "y", "z", "v"]
+    floats = gappy.withColumn("z", F.col("z").cast("double"))
+    fit = impute.fit_chained(floats, cols, rounds=3, tol=0.0, patterns=patterns)
+    got = fit.transform(floats).orderBy("k")
+    assert got.columns == gappy.columns and got.where("_filled <> 'kept'").count() == 0
+    assert np.allclose(np.array(got.select(cols).collect(), float), reference_chain(floats, cols, 3), atol=1e-8)
+    whole = impute.impute_chained(gappy, cols, rounds=3, tol=0.0, patterns=patterns).orderBy("k")
+    assert [r.z for r in whole.collect()] == [int(v) for v in reference_chain(floats, cols, 3)[:, 2]]
+
+
+def test_chained_imputation_stops_when_nothing_moves(gappy):
+    cols = ["x", "y", "z", "v"]
+    by_pattern, by_pass = (impute.fit_chained(gappy, cols, rounds=30, tol=1e-3, patterns=n).chains[0] for n in (256, 0))
+    assert 6 <= len(by_pattern) < 90 and abs(len(by_pass) - len(by_pattern)) <= 3
+
+
+def test_a_fit_on_train_rows_fills_test_rows(gappy):
+    cols = ["x", "y", "v"]
+    train, test = gappy.where("k < 400"), gappy.where("k >= 400")
+    fit = impute.fit_chained(train, cols, rounds=4, tol=0.0)
+    got = fit.transform(test)
+    assert got.select(cols).na.drop().count() == test.count()
+    # A gap in a column without gaps in fitting gets the mean.
+    odd = fit.transform(test.withColumn("x", F.lit(None).cast("double"))).first()
+    assert abs(odd.x - fit.mean["x"]) < 1e-9
+    alone = fit.transform(test.limit(1)).first()
+    assert alone == got.where(F.col("k") == alone.k).first()
+
+
+def test_drawn_imputations_are_repeatable_and_centred(gappy):
+    cols = ["x", "y", "v"]
+    how = {"rounds": 2, "draws": 20, "key": "k"}
+    one = impute.fit_chained(gappy, cols, seed=1, **how)
+    assert len(one.chains) == 20 and len({s.sigma for c in one.chains for s in c}) > 20
+    again = impute.fit_chained(gappy.repartition(3), cols, seed=1, **how)
+    a, b = (m.transform(gappy).orderBy("k").collect() for m in (one, again))
+    assert all(abs(p.y - q.y) < 1e-6 for p, q in zip(a, b))
+    other = impute.fit_chained(gappy, cols, seed=2, **how).transform(gappy).orderBy("k").collect()
+    assert any(abs(p.y - q.y) > 1e-3 for p, q in zip(a, other))
+    plain = impute.impute_chained(gappy, cols, rounds=2).orderBy("k").collect()
+    away = [p.y - q.y for i, (p, q) in enumerate(zip(a, plain)) if i % 7 == 0]
+    assert abs(np.mean(away)) < 0.1 and 0 < np.std(away) < 0.3
+    with pytest.raises(ValueError, match="key"):
+        impute.fit_chained(gappy, cols, draws=2)
+
+
 def test_chained_imputation_recovers_a_line(spark):
     df = spark.range(200).select(
         F.col("id").cast("double").alias("x"),
