@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions import nan_to_null
 from loanlens.operators.features import log_feature
-from loanlens.operators.windows import running_totals
+from loanlens.operators.grams import pairwise_sums
+from loanlens.operators.windows import running_totals_by
 from loanlens.session import settle, small_frame
 
 
@@ -98,81 +96,71 @@ def density(
     )
 
 
-def _pairwise_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per pair of columns, reduced map-side to as many rows as there are pairs:
-    the size of the generated code does not depend on the number of columns."""
-    narrow = df.select(
-        [nan_to_null(F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(cols)]
-    )
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    long = narrow.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("pair"), F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b"))
-                    for k, (i, j) in enumerate(pairs)
-                ]
-            )
-        )
-    )
-    # ``corr`` itself fails on a constant column in ANSI mode; this gives null.
-    spread = F.sqrt(F.regr_sxx("a", "b") * F.regr_syy("a", "b"))
-    found = long.groupBy("pair").agg(F.try_divide(F.regr_sxy("a", "b"), spread).alias("corr"))
-    both = []
-    for i, j in pairs:
-        both.append([(cols[i], cols[j])] if i == j else [(cols[i], cols[j]), (cols[j], cols[i])])
-    names = F.array(
-        *[
-            F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in ways])
-            for ways in both
-        ]
+def _long(spark: SparkSession, cols: Sequence[str], matrix: np.ndarray) -> DataFrame:
+    rows = [
+        (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
+    ]
+    return small_frame(spark, rows, "feature_a string, feature_b string, corr double")
+
+
+def _pearson(sums: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Correlations from pairwise sums; NaN for a pair in which a column is constant."""
+    n, first, second, product = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = second - first**2 / n
+        spread = np.where(spread > 1e-12 * np.maximum(second, 1e-300), spread, np.nan)
+        return (product - first * first.T / n) / np.sqrt(spread * spread.T)
+
+
+def _standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns as an array, less their means and by their deviations, which keeps sums
+    of products exact; gaps and NaN are null."""
+    values = [nan_to_null(F.col(name).cast("double")) for name in cols]
+    facts = df.agg(
+        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(values)]
+    ).head()
+    return df.select(
+        F.array(*[(v - F.lit(facts[f"m{i}"])) / F.lit(facts[f"s{i}"] or 1.0) for i, v in enumerate(values)]).alias("x")
     )
-    return found.select(F.inline(names[F.col("pair")]), "corr")
 
 
-def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each value by its average rank.
+def _ranked(df: DataFrame) -> DataFrame:
+    """Rows of an array column ``x`` with each element replaced by its average rank.
 
-    Ranks are found on the distinct values, where ties have collapsed map-side, and
-    joined back by value. A value that very many rows share is one row of the
-    lookup, and adaptive execution splits its rows in the join.
+    All columns are ranked together, by (column, value): ties collapse map-side, and a value
+    that very many rows share is one row of the lookup, whose join adaptive execution splits.
     """
-    df = settle(df)
-
-    def ranks(name: str) -> DataFrame:
-        per_value = settle(df.groupBy(name).agg(F.count(F.lit(1)).alias("_n")))
-        return running_totals(per_value, name, ["_n"]).select(
-            name, (F.col("running__n") - (F.col("_n") - 1) / 2).alias("_rank")
-        )
-
-    # The lookups do not depend on each other, so their jobs may overlap.
-    with ThreadPool(4) as pool:
-        lookups = pool.map(ranks, cols)
-    ranked = df
-    for name, lookup in zip(cols, lookups):
-        ranked = ranked.join(lookup, name).drop(name).withColumnRenamed("_rank", name)
-    return ranked
+    rows = settle(df.select(F.monotonically_increasing_id().alias("_row"), "x"))
+    value = (F.col("col") + F.lit(0.0)).alias("value")  # one zero
+    long = rows.select("_row", F.posexplode("x")).select("_row", F.col("pos").alias("i"), value)
+    counts = settle(long.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranks = running_totals_by(counts, ["i"], "value", ["n"])
+    ranks = ranks.select("i", "value", (F.col("running_n") - (F.col("n") - 1) / 2).alias("rank"))
+    listed = F.sort_array(F.collect_list(F.struct("i", "rank")))
+    return long.join(ranks, ["i", "value"]).groupBy("_row").agg(listed["rank"].alias("x")).select("x")
 
 
 def correlation(
     df: DataFrame, cols: Sequence[str], method: str = "pearson", missing: str = "pairwise"
 ) -> DataFrame:
-    """Correlation matrix in long form (feature_a, feature_b, corr).
+    """Correlation matrix in long form (feature_a, feature_b, corr); null where a column is
+    constant.
 
-    Pearson with ``missing="pairwise"`` leaves out a row only for the pairs it
-    has a gap in, in one aggregate; it suits tens of columns. With
-    ``missing="complete"``, for hundreds of columns, Spark ML's matrix job takes the
-    rows without gaps, and only the matrix reaches the driver. Spearman is Pearson on
-    the ranks of the rows without gaps.
+    ``missing="pairwise"`` leaves out a row only for the pairs it has a gap in,
+    ``"complete"`` for all. Spearman is Pearson on the ranks of the rows without gaps.
+    Batches add up the products of all pairs at once, so the number of passes and shuffles
+    does not depend on that of columns; only sums reach the driver.
     """
-    if method == "pearson" and missing == "pairwise":
-        return _pairwise_pearson(df, cols)
-    complete = df.select([F.col(name).cast("double") for name in cols]).na.drop()
+    if method == "spearman" or missing == "complete":
+        df = df.select([F.col(name).cast("double") for name in cols]).na.drop()
     if method == "spearman":
-        return _pairwise_pearson(_ranked(complete, cols), cols)
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="features").transform(complete)
-    matrix = Correlation.corr(vectors.select("features"), "features", "pearson").head()[0].toArray()
-    rows = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
-    ]
-    return small_frame(df.sparkSession, rows, "feature_a string, feature_b string, corr double")
+        ranks = settle(_ranked(df.select(F.array(*cols).alias("x"))))
+        names = [f"r{i}" for i in range(len(cols))]
+        df = ranks.select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+        return _long(df.sparkSession, cols, _matrix(df, names))
+    return _long(df.sparkSession, cols, _matrix(df, cols))
+
+
+def _matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    sums = pairwise_sums(_standard(df, cols))
+    return _pearson(sums) if sums[0].size else np.full((len(cols), len(cols)), np.nan)

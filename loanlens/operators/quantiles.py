@@ -58,21 +58,22 @@ def order_statistics(counts: DataFrame, parts: Sequence[int]) -> DataFrame:
     return at.where("rank > from AND rank <= upto").select("feature", "parts", "i", "value")
 
 
-def cut_points(counts: DataFrame, parts: Sequence[int]) -> dict[int, dict[str, list[float]]]:
-    """For each number of parts, per column the inner cuts c of intervals (c, next c]: all
-    values but the largest where there are no more than that many, else the quantiles."""
-    facts = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("values"), F.max("value").alias("most")).collect()
-    most = {r["feature"]: r["most"] for r in facts}
+def cut_points(counts: DataFrame, parts: Sequence[int], lower: bool = False) -> dict[int, dict[str, list[float]]]:
+    """For each number of parts, per column the inner cuts of its intervals: all values where
+    there are no more than that many, else the quantiles. Cuts c belong to the interval
+    below, (c, next c], or with ``lower`` to the one above, [c, next c)."""
+    facts = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("least"), F.max("value").alias("most")).collect()
+    ends = {r["feature"]: r["least"] if lower else r["most"] for r in facts}
     few = {r["feature"]: r["values"] for r in facts if r["values"] <= max(parts)}
     listed: dict[str, list[float]] = {name: [] for name in few}
     if few:
         for r in counts.where(F.col("feature").isin(list(few))).select("feature", "value").collect():
             listed[r["feature"]].append(r["value"])
-    cuts: dict[int, dict[str, list[float]]] = {m: {name: [] for name in most} for m in parts}
+    cuts: dict[int, dict[str, list[float]]] = {m: {name: [] for name in ends} for m in parts}
     for r in order_statistics(counts, parts).collect():
         cuts[r["parts"]][r["feature"]].append(r["value"])
     for m, found in cuts.items():
         for name in found:
             values = listed[name] if few.get(name, m + 1) <= m else found[name]
-            found[name] = sorted({v for v in values if v < most[name]})
+            found[name] = sorted({v for v in values if (v > ends[name] if lower else v < ends[name])})
     return cuts

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+from itertools import accumulate
+from math import log
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanlens.operators import logit, trees
+from loanlens.operators.grams import gram_matrix
 from loanlens.operators.prep import assemble
+from loanlens.operators.quantiles import counted_values, cut_points
 from loanlens.session import settle, small_frame
 
 
@@ -61,38 +65,57 @@ def woe_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     return weighted.withColumn("iv", F.when(both, (ones - zeros) * F.col("woe")).otherwise(0.0))
 
 
-def _pool(bins: list[list], rising: bool) -> list[list]:
-    """Merge neighbours until the event rates rise (or fall) throughout.
+def _iv(rows: int, events: int, all_rows: int, all_events: int) -> float:
+    """Information value of one bin; 0 where it lacks a class."""
+    if not 0 < events < rows:
+        return 0.0
+    ones, zeros = events / all_events, (rows - events) / (all_rows - all_events)
+    return (ones - zeros) * log(ones / zeros)
 
-    ``bins`` are [upper cut, rows, events] of one feature: at most ``max_bins``.
+
+def best_monotone(bins: Sequence[tuple[int, int]]) -> list[int]:
+    """Where to begin new bins, so that event rates rise or fall throughout and the information
+    value is greatest; of equals fewer bins, then later beginnings.
+
+    ``bins`` are (rows, events) of neighbours. Dynamic programming over the last bin: the
+    best way to bin what lies before it whose own last bin has a lower (or higher) rate.
     """
-    merged: list[list] = []
-    for upper, rows, events in bins:
-        merged.append([upper, rows, events])
-        while len(merged) > 1:
-            (_, n1, e1), (_, n2, e2) = merged[-2:]
-            step = e2 * n1 - e1 * n2
-            if step > 0 if rising else step < 0:
-                break
-            merged[-2:] = [[merged[-1][0], n1 + n2, e1 + e2]]
-    return merged
+    m = len(bins)
+    rows, events = (list(accumulate((b[i] for b in bins), initial=0)) for i in (0, 1))
+    best = (-1.0, 0, [])
+    for sign in (1, -1):
+        ways: dict[tuple[int, int], tuple[float, int, list[int]]] = {}
+        for j in range(1, m + 1):
+            for i in range(j):
+                n, e = rows[j] - rows[i], events[j] - events[i]
+                gain = _iv(n, e, rows[m], events[m])
+                # (value, fewer bins, beginnings) of all ways to end with this bin.
+                found = [(gain, -1, [0])] if i == 0 else []
+                for h in range(i):
+                    if (h, i) in ways and sign * (e * (rows[i] - rows[h]) - (events[i] - events[h]) * n) > 0:
+                        value, count, begins = ways[h, i]
+                        found.append((value + gain, count - 1, [*begins, i]))
+                if found:
+                    ways[i, j] = max(found)
+        best = max([best, *(way for (_, j), way in ways.items() if j == m)])
+    return best[2]
 
 
 def monotone_bins(
     df: DataFrame, cols: Sequence[str], label: str, max_bins: int = 20
 ) -> DataFrame:
-    """Numeric intervals [lower, upper) whose event rate rises or falls throughout.
+    """Numeric intervals [lower, upper) whose event rate rises or falls throughout, with the
+    greatest information value that neighbours of at most ``max_bins`` parts allow.
 
-    Quantile cuts of all columns in one pass, counts of all bins in a second; only
-    those counts, at most ``max_bins`` per column, are pooled on the driver. The
-    direction that keeps more bins is taken.
+    The parts are cut at exact quantiles (each value is one where there are no more), counted
+    for all columns in one pass, and joined by dynamic programming on the driver, where
+    only these counts come.
     """
     labelled = df.where(F.col(label).isNotNull()).select(
         F.col(label), *[F.col(name).cast("double").alias(name) for name in cols]
     )
-    probabilities = [i / max_bins for i in range(1, max_bins)]
-    quantiles = labelled.approxQuantile(list(cols), probabilities, 0.1 / max_bins)
-    cuts = {name: sorted(set(found)) for name, found in zip(cols, quantiles)}
+    cuts = cut_points(counted_values(labelled, cols), [max_bins], lower=True)[max_bins]
+    cuts = {name: cuts.get(name, []) for name in cols}
     counted = (
         _numbered(labelled, cuts)
         .unpivot([label], list(cols), "feature", "bin")
@@ -104,16 +127,17 @@ def monotone_bins(
     )
     found: dict[str, list] = {name: [] for name in cols}
     for row in counted.orderBy("feature", "bin").collect():
-        uppers = [*cuts[row["feature"]], float("inf")]
-        found[row["feature"]].append([uppers[row["bin"]], row["rows"], row["events"]])
+        lowers = [float("-inf"), *cuts[row["feature"]]]
+        found[row["feature"]].append((lowers[row["bin"]], row["rows"], row["events"]))
     rows = []
     for name in cols:
-        pooled = max((_pool(found[name], rising) for rising in (True, False)), key=len)
-        lower = float("-inf")
-        for number, (upper, n, events) in enumerate(pooled):
-            upper = float("inf") if number == len(pooled) - 1 else upper
+        parts = found[name]
+        begins = best_monotone([part[1:] for part in parts])
+        for number, (begin, end) in enumerate(zip(begins, [*begins[1:], len(parts)])):
+            lower = parts[begin][0] if begin else float("-inf")
+            upper = parts[end][0] if end < len(parts) else float("inf")
+            n, events = (sum(part[i] for part in parts[begin:end]) for i in (1, 2))
             rows.append((name, number, lower, upper, n, events, events / n))
-            lower = upper
     return small_frame(
         df.sparkSession,
         rows,
@@ -152,6 +176,10 @@ def assign_bins(df: DataFrame, bins: DataFrame) -> DataFrame:
     return _numbered(df, {name: inner for name, inner in cuts.items() if name in df.columns})
 
 
+#: Bins of a feature up to which weights are looked up in the row's own expression.
+LISTED = 250
+
+
 def apply_woe(
     df: DataFrame,
     woe: DataFrame,
@@ -161,26 +189,63 @@ def apply_woe(
 ) -> DataFrame:
     """Add ``<column>_woe``, the weight of the row's bin; a bin never seen weighs 0.
 
-    The fitted bins and weights are reused as they are, on any frame. Each feature's bins
-    are joined by value, a gap to the null bin; Spark's size limit decides whether they
-    are broadcast, and adaptive execution splits hot values. Of a bin that is listed twice
-    the first weight counts.
+    The fitted bins and weights are reused as they are, on any frame, a gap for the null
+    bin. A feature's weights are part of the projection; only features of more than
+    ``LISTED`` bins are joined by value, where Spark's size limit decides whether they are
+    broadcast, and adaptive execution splits hot values. Of a bin that is listed twice the
+    least weight counts.
     """
     woe = settle(
         woe.where(F.col("feature").isin(list(cols))).groupBy("feature", "bin").agg(F.min("woe").alias("woe"))
     )
+    sizes = {r["feature"]: r["n"] for r in woe.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    listed: dict[str, dict[str | None, float]] = {n: {} for n in cols if sizes.get(n, 0) <= LISTED}
+    for r in woe.where(F.col("feature").isin(list(listed))).collect():
+        listed[r["feature"]][r["bin"]] = r["woe"]
     raw = {name: f"_raw_{name}" for name in cols}
     weighted = df.withColumns({raw[name]: F.col(name) for name in cols})
+    numbered: set[str] = set()
     if bins is not None:
+        numbered = {r["feature"] for r in bins.select("feature").distinct().collect()} & listed.keys()
         weighted = assign_bins(weighted, bins.withColumn("feature", F.concat(F.lit("_raw_"), "feature")))
-    weighted = weighted.withColumns({text: bin_text(weighted, text) for text in raw.values()})
+    found = {}
+    for name, weights in listed.items():
+        gap = F.lit(float(weights.get(None, 0.0)))
+        if name in numbered:
+            most = max((int(b) for b in weights if b is not None), default=-1)
+            by_number = F.array(*[F.lit(float(weights.get(str(i), 0.0))) for i in range(most + 1)] or [F.lit(0.0)])
+            found[name + suffix] = F.when(F.col(raw[name]).isNull(), gap).otherwise(F.coalesce(F.get(by_number, F.col(raw[name])), F.lit(0.0)))
+            continue
+        entries = [c for b, w in weights.items() if b is not None for c in (F.lit(b), F.lit(float(w)))]
+        value = F.try_element_at(F.create_map(*entries), F.col(f"_text_{name}")) if entries else F.lit(0.0)
+        found[name + suffix] = F.when(F.col(f"_text_{name}").isNull(), gap).otherwise(F.coalesce(value, F.lit(0.0)))
+    texts = {f"_text_{n}": bin_text(weighted, raw[n]) for n in cols if n not in numbered}
+    weighted = weighted.withColumns(texts).withColumns(found)
     for name in cols:
-        lookup = woe.where(F.col("feature") == name).select(
-            F.col("bin").alias("_bin"), F.col("woe").alias(name + suffix)
-        )
-        weighted = weighted.join(lookup, F.col(raw[name]).eqNullSafe(F.col("_bin")), "left").drop("_bin")
-    zero = {name + suffix: F.coalesce(F.col(name + suffix), F.lit(0.0)) for name in cols}
-    return weighted.withColumns(zero).drop(*raw.values())
+        if name not in listed:
+            lookup = woe.where(F.col("feature") == name).select(F.col("bin").alias("_bin"), F.col("woe").alias("_woe"))
+            joined = weighted.join(lookup, F.col(f"_text_{name}").eqNullSafe(F.col("_bin")), "left")
+            weighted = joined.withColumn(name + suffix, F.coalesce("_woe", F.lit(0.0))).drop("_bin", "_woe")
+    return weighted.select(*df.columns, *[name + suffix for name in cols])
+
+
+class Evidence(NamedTuple):
+    """Bins and weights of evidence of some columns, fitted once."""
+
+    cols: list[str]
+    bins: DataFrame | None
+    table: DataFrame
+
+    def apply(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+        return apply_woe(df, self.table, self.cols if cols is None else cols, self.bins)
+
+
+def fit_evidence(df: DataFrame, cols: Sequence[str], label: str) -> Evidence:
+    """Monotone bins of the numeric columns and weights of all."""
+    numeric = numeric_columns(df, cols)
+    bins = settle(monotone_bins(df, numeric, label)) if numeric else None
+    binned = assign_bins(df, bins) if bins is not None else df
+    return Evidence(list(cols), bins, settle(woe_table(binned, cols, label)))
 
 
 def rank_by_iv(woe: DataFrame, top: int = 20) -> DataFrame:
@@ -197,19 +262,61 @@ def numeric_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [name for name in cols if isinstance(df.schema[name].dataType, T.NumericType)]
 
 
-def unlikely(statistic: float, free: int) -> float:
-    """The normal deviate of a chi-square statistic (Wilson and Hilferty). It rises as the
-    p-value falls, and does not run into zero as that does."""
-    if free < 1:
-        return float("-inf")
-    spread = 2 / (9 * free)
-    return ((statistic / free) ** (1 / 3) - (1 - spread)) / spread**0.5
+def count_strengths(table: DataFrame) -> DataFrame:
+    """(feature, selector, strength) of the selectors that need the counts of a table of
+    evidence only: the information value, and how unlikely the chi-square statistic is."""
+    n, by = F.col("events") + F.col("non_events"), Window.partitionBy("feature")
+    expected = F.col("n") * F.col("ones") / F.col("all")
+    square = F.pow(F.col("events") - expected, F.lit(2))
+    sums = (
+        table.withColumn("n", n)
+        .withColumn("ones", F.sum("events").over(by))
+        .withColumn("all", F.sum("n").over(by))
+        .groupBy("feature")
+        .agg(
+            F.sum("iv").alias("information_value"),
+            (F.count(F.lit(1)) - 1).alias("free"),
+            F.coalesce(F.sum(F.try_divide(square, expected) + F.try_divide(square, F.col("n") - expected)), F.lit(0.0)).alias("statistic"),
+        )
+    )
+    # The normal deviate of a chi-square statistic (Wilson and Hilferty). It rises as the
+    # p-value falls, and does not run into zero as that does.
+    spread = F.lit(2.0) / (9 * F.col("free"))
+    deviate = (F.pow(F.col("statistic") / F.col("free"), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+    sums = sums.withColumn("chi_square", F.when(F.col("free") > 0, deviate).otherwise(F.lit(float("-inf"))))
+    return sums.unpivot(["feature"], ["information_value", "chi_square"], "selector", "strength")
 
 
-def _spread(facts: Row) -> float:
-    """Sample deviation of a feature's weights, from their sums."""
-    n = facts["n"]
-    return (max(facts["s2"] - facts["s1"] ** 2 / n, 0.0) / max(n - 1, 1)) ** 0.5
+def ballots(strengths: DataFrame, each: int) -> DataFrame:
+    """Each selector's ``each`` strongest features; equal ones by name."""
+    place = F.row_number().over(Window.partitionBy("selector").orderBy(F.desc("strength"), "feature"))
+    return strengths.withColumn("place", place).where(F.col("place") <= each)
+
+
+def counted_votes(cast: DataFrame, keep: int) -> DataFrame:
+    votes = cast.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_list("selector")).alias("selectors")
+    )
+    return votes.orderBy(F.desc("votes"), "feature").limit(keep)
+
+
+def eliminated(gram: np.ndarray, ridge: float = 1e-6) -> list[int]:
+    """Columns in the order in which recursive elimination drops them: the one with the least
+    coefficient per deviation goes, and the rest are fitted again.
+
+    ``gram`` has the sums of products of the constant, the columns and the label. Every fit
+    follows from it, so that no further pass over the rows is needed.
+    """
+    n, last = gram[0, 0], len(gram) - 1
+    centred = gram - np.outer(gram[0], gram[0]) / max(n, 1.0)
+    size = np.sqrt(np.maximum(np.diag(centred), 1e-300))
+    corr = centred / np.outer(size, size)
+    left, gone = [i for i in range(1, last) if centred[i, i] > 1e-12 * max(gram[i, i], 1e-300)], []
+    gone += [i for i in range(1, last) if i not in left]
+    while left:
+        weights = np.linalg.solve(corr[np.ix_(left, left)] + ridge * np.eye(len(left)), corr[left, last])
+        gone.append(left.pop(int(np.argmin(np.abs(weights)))))
+    return [i - 1 for i in gone]
 
 
 def vote_features(
@@ -219,74 +326,44 @@ def vote_features(
     keep: int = 25,
     each: int | None = None,
     seed: int = 1,
+    evidence: Evidence | None = None,
 ) -> DataFrame:
-    """Features by the votes of four selectors: information value, chi-square, forest
-    importance and L1-logistic weight.
+    """Features by the votes of six selectors: information value, chi-square, the gain in a
+    forest and in a forest of random splits, L1-logistic weight and recursive elimination.
 
-    Every column is replaced by its weight of evidence first (numeric ones in
-    monotone bins). A selector votes for its ``each`` best features (``keep`` unless
-    given). Only one number per feature and selector reaches the driver.
+    The last two read weights of evidence (``evidence``, or fitted here). A selector votes
+    for its ``each`` best features (``keep`` unless given). One number per feature and
+    selector reaches the driver, and the sums of products of the features.
     """
     labelled = settle(df.where(F.col(label).isNotNull()).select(label, *cols))
-    numeric = numeric_columns(df, cols)
-    bins = monotone_bins(labelled, numeric, label) if numeric else None
-    binned = assign_bins(labelled, bins) if bins is not None else labelled
-    table = settle(woe_table(binned, cols, label))
-    weighted = apply_woe(labelled, table, cols, bins)
-    vectors = assemble(weighted, [f"{name}_woe" for name in cols]).select(
-        F.col(label).cast("double").alias("label"), "features"
-    )
-    vectors = settle(vectors)
-
-    # Statistic and spread follow from the counts, one small aggregate for any number of bins.
-    square = (
-        table.withColumn("n", F.col("events") + F.col("non_events"))
-        .withColumn("ones", F.sum("events").over(Window.partitionBy("feature")))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("feature")))
-        .withColumn("expected", F.col("n") * F.col("ones") / F.col("all"))
-        .groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("bins"),
-            F.sum(
-                F.try_divide(F.pow(F.col("events") - F.col("expected"), F.lit(2)), F.col("expected"))
-                + F.try_divide(F.pow(F.col("events") - F.col("expected"), F.lit(2)), F.col("n") - F.col("expected"))
-            ).alias("statistic"),
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("woe")).alias("s1"),
-            F.sum(F.col("n") * F.col("woe") * F.col("woe")).alias("s2"),
-        )
-    )
-    facts = {r["feature"]: r for r in square.collect()}
-
-    # The selectors do not depend on each other, so their jobs may overlap.
-    with ThreadPool(2) as pool:
-        forest_job = pool.apply_async(RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed).fit, [vectors])
-        lasso_job = pool.apply_async(
-            LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=50).fit, [vectors]
-        )
-        forest, lasso = forest_job.get(), lasso_job.get()
-    spread = np.array([_spread(facts[name]) for name in cols])
-    iv = {r["feature"]: r["information_value"] for r in rank_by_iv(table, len(cols)).collect()}
-    statistic = [float(facts[name]["statistic"] or 0.0) for name in cols]
+    evidence = evidence or fit_evidence(labelled, cols, label)
+    weighted = evidence.apply(labelled, cols)
+    vectors = assemble(weighted, [f"{name}_woe" for name in cols]).select(F.col(label).alias("y"), "features")
+    rows = logit.rows_of(vectors, "y")
+    lasso = logit.fit_setting(rows, {"regParam": 0.001, "elasticNetParam": 1.0, "fitIntercept": True, "maxIter": 50})
+    gram = gram_matrix(rows.select(F.concat(F.array(F.lit(1.0)), "x", F.array("y")).alias("x")))
+    spread = np.sqrt(np.maximum(np.diag(gram)[1:-1] - gram[0, 1:-1] ** 2 / max(gram[0, 0], 1.0), 0.0))
+    place = {i: number for number, i in enumerate(eliminated(gram))}
     strength = {
-        "information_value": [iv.get(name, 0.0) for name in cols],
-        "chi_square": [unlikely(x, facts[name]["bins"] - 1) for x, name in zip(statistic, cols)],
-        "forest": [float(x) for x in forest.featureImportances.toArray()],
         # Per standard deviation: a weight on a nearly constant feature means little.
-        "l1_logistic": [abs(float(x)) for x in lasso.coefficients.toArray() * spread],
+        "l1_logistic": [abs(float(x)) for x in lasso.coefficients * spread],
+        "elimination": [float(place[i]) for i in range(len(cols))],
     }
-    ballots = []
-    for selector, values in strength.items():
-        # Equal values, as of features without any weight, are told apart by the statistic.
-        order = sorted(range(len(cols)), key=lambda i: (values[i], statistic[i]), reverse=True)
-        ballots += [(cols[i], selector) for i in order[: each or keep]]
-    votes = small_frame(df.sparkSession, ballots, "feature string, selector string")
-    return (
-        votes.groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("votes"),
-            F.sort_array(F.collect_list("selector")).alias("selectors"),
-        )
-        .orderBy(F.desc("votes"), "feature")
-        .limit(keep)
-    )
+    numeric = numeric_columns(labelled, cols)
+    few = [n for n in cols if n not in numeric and evidence.table.where(F.col("feature") == n).count() <= trees.MOST_CATEGORIES]
+    # Wide categories take part by their weights.
+    wide = {n: f"{n}_woe" for n in cols if n not in numeric and n not in few}
+    named = [wide.get(n, n) for n in cols]
+    frame = weighted.withColumn("_row", F.xxhash64(*cols))
+    bins = trees.fit_bins(frame, [*numeric, *wide.values()], few)
+    table = settle(trees.binned(frame, bins, "_row", label))
+    some = float(np.ceil(len(cols) ** 0.5) / len(cols))
+    kinds = {"forest": {"replace": True}, "random_splits": {"random_cuts": True}}
+    for name, how in kinds.items():
+        params = trees.Params(kind="gini", trees=30, depth=5, columns_by_node=some, child=0.0, seed=seed, **how)
+        model = trees.fit(table, bins[0], params)
+        gains = {r["feature"]: r["total_gain"] for r in trees.importance(trees.node_table(model, df.sparkSession)).collect()}
+        strength[name] = [gains.get(n, 0.0) for n in named]
+    listed = [(c, s, float(v)) for s, values in strength.items() for c, v in zip(cols, values)]
+    more = small_frame(df.sparkSession, listed, "feature string, selector string, strength double")
+    return counted_votes(ballots(count_strengths(evidence.table).unionByName(more), each or keep), keep)

@@ -241,6 +241,41 @@ Z_TWO = APPLICATIONS + """, m AS (
     stddev_pop(AMT_ANNUITY) AS sb, corr(AMT_CREDIT, AMT_ANNUITY) AS rho FROM app)
 """
 
+FEATURED_MONOTONE = (
+    APPLICATIONS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, l AS (
+  SELECT TARGET, unnest(['AMT_CREDIT', 'AMT_GOODS_PRICE', 'YEARS_OLD']) AS feature,
+    unnest([AMT_CREDIT, AMT_GOODS_PRICE, round(DAYS_BIRTH / -365.0::DOUBLE, 1)]) AS v FROM app),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v) AS place, count(*) OVER (PARTITION BY feature) AS n,
+    min(v) OVER (PARTITION BY feature) AS least FROM l WHERE v IS NOT NULL),
+q AS (
+  SELECT DISTINCT feature, v AS cut FROM o, range(1, 20) AS r(i) WHERE place = greatest(1, (i * n + 19) // 20) AND v > least),
+c AS (SELECT feature, list(cut ORDER BY cut) AS cuts FROM q GROUP BY 1),
+p AS (
+  SELECT feature, len(list_filter(cuts, lambda x: x <= v)) AS bin, count(*) AS n, sum(TARGET) AS e FROM o JOIN c USING (feature) GROUP BY 1, 2),
+a AS (SELECT feature, sum(n) AS alln, sum(e) AS alle, max(bin) + 1 AS m FROM p GROUP BY 1),
+seg AS (
+  SELECT x.feature, x.bin AS i, y.bin + 1 AS j, CAST(sum(p.n) AS BIGINT) AS n, CAST(sum(p.e) AS BIGINT) AS e
+  FROM p x JOIN p y ON x.feature = y.feature AND x.bin <= y.bin JOIN p ON p.feature = x.feature AND p.bin BETWEEN x.bin AND y.bin GROUP BY 1, 2, 3),
+s AS (
+  SELECT seg.*, CASE WHEN e > 0 AND e < n THEN (e::DOUBLE / alle - (n - e)::DOUBLE / (alln - alle))
+    * ln((e::DOUBLE / alle) / ((n - e)::DOUBLE / (alln - alle))) ELSE 0.0 END AS iv FROM seg JOIN a USING (feature)),
+w AS (
+  SELECT feature, sign, i, j, n, e, {'iv': iv, 'k': -1, 'begins': [CAST(0 AS BIGINT)]} AS best, 1 AS k
+  FROM s, (SELECT unnest([1, -1]) AS sign) WHERE i = 0
+  UNION ALL
+  SELECT w.feature, w.sign, s.i, s.j, any_value(s.n), any_value(s.e),
+    max({'iv': w.best.iv + s.iv, 'k': w.best.k - 1, 'begins': list_append(w.best.begins, CAST(s.i AS BIGINT))}), w.k + 1
+  FROM w JOIN s ON s.feature = w.feature AND s.i = w.j AND w.sign * (s.e * w.n - w.e * s.n) > 0 GROUP BY w.feature, w.sign, s.i, s.j, w.k),
+won AS (SELECT w.feature, max(best) AS way FROM w JOIN a ON a.feature = w.feature AND w.j = a.m GROUP BY 1),
+d AS (SELECT feature, unnest(way.begins) AS i, unnest(range(len(way.begins))) AS bin,
+  unnest(list_append(way.begins[2:], (SELECT m FROM a WHERE a.feature = won.feature))) AS j FROM won)
+SELECT d.feature, CAST(d.bin AS INT) AS bin, CASE WHEN d.i > 0 THEN cuts[d.i] END AS lower, cuts[d.j] AS upper,
+  s.n AS "rows", s.e AS events, round(s.e::DOUBLE / s.n, 9) AS event_rate
+FROM d JOIN c USING (feature) JOIN s ON s.feature = d.feature AND s.i = d.i AND s.j = d.j"""
+)
+
 ORACLES: dict[str, str] = {
     # ---- sources, sinks, schema ----
     "read_csv": "SELECT * FROM orders",
@@ -460,6 +495,21 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
     "woe_table": APPLICATIONS
     + woe_of("app", CATEGORIES)
     + f' SELECT feature, bin, "rows", events, non_events, {r("woe", 9, "woe")}, {r("iv", 9, "iv")} FROM woe',
+    # Exact twentieths, then the best rising or falling way to join them, by its last bin (i, j].
+    "monotone_bins": FEATURED_MONOTONE,
+    "count_ballots": APPLICATIONS
+    + woe_of("app", [*CATEGORIES, "FLAG_OWN_REALTY", "NAME_INCOME_TYPE"])
+    + """, s AS (
+  SELECT *, events + non_events AS n, sum(events) OVER g * 1.0::DOUBLE * (events + non_events) / sum(events + non_events) OVER g AS expected
+  FROM woe WINDOW g AS (PARTITION BY feature)),
+t AS (
+  SELECT feature, sum(iv) AS iv, count(*) - 1 AS free,
+    sum(pow(events - expected, 2) / expected + pow(events - expected, 2) / (n - expected)) AS x FROM s GROUP BY 1),
+u AS (
+  SELECT feature, 'information_value' AS selector, iv AS strength FROM t
+  UNION ALL SELECT feature, 'chi_square', (pow(x / free, 1.0::DOUBLE / 3) - (1 - 2.0::DOUBLE / (9 * free))) / sqrt(2.0::DOUBLE / (9 * free)) FROM t),
+v AS (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY strength DESC, feature) AS place FROM u)
+SELECT feature, selector, round(strength, 9) AS strength, CAST(place AS INT) AS place FROM v WHERE place <= 3""",
     "apply_woe": APPLICATIONS
     + f", binned AS (SELECT * REPLACE ({AMOUNT_BIN} AS AMT_CREDIT) FROM app)"
     + woe_of("binned", ["AMT_CREDIT", *CATEGORIES])

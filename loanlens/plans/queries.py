@@ -525,9 +525,20 @@ def woe_table(spark, sf_dir):
 
 @query
 def monotone_bins(spark, sf_dir):
+    """The outer bounds, which are infinite, are left empty."""
     cols = ["AMT_CREDIT", "AMT_GOODS_PRICE", "YEARS_OLD"]
     df = settle(featured(spark, sf_dir).select("TARGET", *cols))
-    return woe.monotone_bins(df, cols, "TARGET")
+    found = woe.monotone_bins(df, cols, "TARGET")
+    ends = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("lower", "upper")}
+    return rounded(found.withColumns(ends), 9, "event_rate")
+
+
+@query
+def count_ballots(spark, sf_dir):
+    """The ballots of the selectors that need counts only: of six columns three each."""
+    cols = [*CATEGORIES, "FLAG_OWN_REALTY", "NAME_INCOME_TYPE"]
+    table = settle(woe.woe_table(applications(spark, sf_dir), cols, "TARGET"))
+    return rounded(woe.ballots(woe.count_strengths(table), 3), 9, "strength")
 
 
 @query
@@ -549,11 +560,15 @@ def rank_by_iv(spark, sf_dir):
     return rounded(ranked, 9, "information_value")
 
 
+#: Of the candidates here, which are fewer than the published 25, so many are kept.
+KEPT = 10
+
+
 @query
 def vote_features(spark, sf_dir):
     df = features.drop_cols(featured(spark, sf_dir), settings.DROP_COLUMNS)
     cols = [name for name in df.columns if name != "TARGET"]
-    return woe.vote_features(df, cols, "TARGET", keep=settings.VOTED_FEATURES)
+    return woe.vote_features(df, cols, "TARGET", keep=KEPT)
 
 
 COMPONENT_COLUMNS = [
@@ -647,14 +662,12 @@ def logistic_on_woe(spark, sf_dir):
     df = settle(featured(spark, sf_dir))
     train, test = prep.split(df, "SK_ID_CURR", seed=12345)
     candidates = [name for name in df.columns if name not in (*settings.DROP_COLUMNS, "TARGET")]
-    voted = woe.vote_features(train, candidates, "TARGET", keep=settings.VOTED_FEATURES).collect()
+    evidence = woe.fit_evidence(train, candidates, "TARGET")
+    voted = woe.vote_features(train, candidates, "TARGET", keep=KEPT, evidence=evidence).collect()
     cols = [row["feature"] for row in voted]
-    bins = woe.monotone_bins(train, woe.numeric_columns(train, cols), "TARGET")
-    fitted = settle(woe.woe_table(woe.assign_bins(train, bins), cols, "TARGET"))
 
     def vectors(part):
-        weighted = woe.apply_woe(part, fitted, cols, bins)
-        return prep.assemble(weighted, [f"{name}_woe" for name in cols])
+        return prep.assemble(evidence.apply(part, cols), [f"{name}_woe" for name in cols])
 
     weighted_train = vectors(train).withColumn(
         "classWeights",

@@ -238,16 +238,82 @@ def test_bins_are_monotone_and_whole(app):
             assert inside.count() == row.rows and inside.where("TARGET = 1").count() == row.events
 
 
-def test_pooling_small_cases():
-    assert woe._pool([[1, 10, 1], [2, 10, 3], [3, 10, 2]], rising=True) == [[1, 10, 1], [3, 20, 5]]
-    assert woe._pool([[1, 10, 1], [2, 10, 3]], rising=False) == [[2, 20, 4]]
+def test_bins_have_the_greatest_information_value():
+    from itertools import combinations
+
+    rng = np.random.RandomState(9)
+    for _ in range(40):
+        m = rng.randint(1, 9)
+        parts = [(int(n), int(rng.randint(0, n + 1))) for n in rng.randint(1, 30, m)]
+        rows, events = sum(n for n, _ in parts), sum(e for _, e in parts)
+        found = []
+        for k in range(m):
+            for begins in combinations(range(1, m), k):
+                edges = [0, *begins, m]
+                bins = [(sum(p[0] for p in parts[a:b]), sum(p[1] for p in parts[a:b])) for a, b in zip(edges, edges[1:])]
+                steps = {np.sign(e2 * n1 - e1 * n2) for (n1, e1), (n2, e2) in zip(bins, bins[1:])}
+                if steps in (set(), {1}, {-1}):
+                    found.append((sum(woe._iv(n, e, rows, events) for n, e in bins), edges[:-1]))
+        got = woe.best_monotone(parts)
+        value = next(v for v, begins in found if begins == got)
+        assert value >= max(v for v, _ in found) - 1e-12
+
+
+def test_elimination_follows_from_the_sums():
+    rng = np.random.RandomState(2)
+    x = rng.normal(size=(400, 5))
+    x[:, 3] = 7.0
+    y = 3 * x[:, 0] - 1.0 * x[:, 1] + 0.2 * x[:, 4] + rng.normal(size=400)
+    z = np.column_stack([np.ones(400), x, y])
+    assert woe.eliminated(z.T @ z) == [3, 2, 4, 1, 0]
+
+
+def test_evidence_is_fitted_once_and_looked_up_alike(app, monkeypatch):
+    cols = ["AMT_CREDIT", "CODE_GENDER", "OCCUPATION_TYPE", "CNT_CHILDREN"]
+    evidence = woe.fit_evidence(app, cols, "TARGET")
+    names = [f"{c}_woe" for c in cols]
+    odd = app.select("SK_ID_CURR", *cols).unionByName(
+        app.limit(1).select(F.lit(-1).cast("bigint").alias("SK_ID_CURR"), F.lit(float("nan")).alias("AMT_CREDIT"), F.lit("new").alias("CODE_GENDER"),
+                            F.lit(None).cast("string").alias("OCCUPATION_TYPE"), F.lit(None).cast("int").alias("CNT_CHILDREN"))
+    )
+    listed = evidence.apply(odd)
+    assert listed.columns == [*odd.columns, *names]
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(woe, "LISTED", 0)
+    joined = evidence.apply(odd)
+    assert sorted(map(tuple, listed.select("SK_ID_CURR", *names).collect())) == sorted(map(tuple, joined.select("SK_ID_CURR", *names).collect()))
+
+
+def test_correlation_of_many_columns_takes_as_many_exchanges_as_of_few(spark, tmp_path):
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(300, 100)) @ np.diag(rng.rand(100) * 50) + 1e6
+    x[:, 7] = 3.0
+    x[rng.rand(300, 100) < 0.02] = np.nan
+    cols = [f"c{i}" for i in range(100)]
+    df = settle(spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3))
+    from loanlens.operators import distributions
+
+    got = {(r.feature_a, r.feature_b): r["corr"] for r in distributions.correlation(df, cols).collect()}
+    import pandas as pd
+
+    want = pd.DataFrame(x, columns=cols).corr().to_numpy()
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            assert got[a, b] is None if 7 in (i, j) else abs(got[a, b] - want[i, j]) < 1e-9
+    few = [c for c in cols[:12] if c != "c7"]
+    ranks = pd.DataFrame(x, columns=cols)[few].dropna().rank().corr().to_numpy()
+    by_rank = {(r.feature_a, r.feature_b): r["corr"] for r in distributions.correlation(df, few, "spearman").collect()}
+    assert all(abs(by_rank[a, b] - ranks[i, j]) < 1e-9 for i, a in enumerate(few) for j, b in enumerate(few))
+    for n in (2, 11):
+        plan = distributions._ranked(df.na.drop(subset=few[:n]).select(F.array(*few[:n]).alias("x")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 8
 
 
 def test_votes(app):
     cols = ["AMT_CREDIT", "CODE_GENDER", "OCCUPATION_TYPE", "YEARS_OLD", "NAME_EDUCATION_TYPE"]
     votes = woe.vote_features(app, cols, "TARGET", keep=3, each=2).collect()
-    assert votes[0].feature == "AMT_CREDIT" and votes[0].votes == 4
-    assert len(votes) <= 3 and all(1 <= row.votes <= 4 for row in votes)
+    assert votes[0].feature == "AMT_CREDIT" and votes[0].votes == 6
+    assert len(votes) == 3 and all(1 <= row.votes <= 6 for row in votes)
 
 
 def test_components_equal_numpy(app):

@@ -16,7 +16,6 @@ QUERIES, ORACLES = plain.QUERIES | closed_forms.QUERIES, oracles.ORACLES | close
 # approximate quantiles or iteration.
 ROWS_ONLY = {
     "impute_chained",
-    "monotone_bins",
     "vote_features",
     "pca",
     "explained_variance_of_seven",
