@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions import hash_number, known, seeded_hash
+from loanlens.session import settle
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -61,13 +62,53 @@ def zscore(
     return df.withColumns({prefix + name: value for name, value in normal.items()})
 
 
-def index_labels(df: DataFrame, cols: Sequence[str], suffix: str = "Index") -> DataFrame:
-    """Category to index, most frequent first, ties alphabetical; unseen or missing
-    values get the next free index."""
-    indexer = StringIndexer(
-        inputCols=list(cols), outputCols=[name + suffix for name in cols], handleInvalid="keep"
+#: Values of a column up to which its indexes are looked up in the row's own expression.
+LISTED = 250
+
+
+def fit_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, index) of all values: most frequent first, ties alphabetical.
+
+    Values are counted and sorted by range, so that equally frequent ones, of which there
+    may be millions, spread over tasks; a value's index is its place in its task and the
+    number of its feature's values in the tasks before. Written, and never on the driver.
+    """
+    long = df.select(*[F.col(name).cast("string").alias(name) for name in cols]).unpivot([], list(cols), "feature", "value")
+    counts = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = ["feature", F.desc("n"), "value"]
+    placed = settle(
+        counts.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("feature", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
     )
-    return indexer.fit(df).transform(df)
+    sizes = placed.groupBy("feature", "part").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("first"))
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("feature", "part", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    found = placed.join(F.broadcast(offset), ["feature", "part"])
+    return settle(found.select("feature", "value", (F.col("place") + F.col("offset")).alias("index")))
+
+
+def index_labels(df: DataFrame, cols: Sequence[str], suffix: str = "Index", fitted: DataFrame | None = None) -> DataFrame:
+    """Category to index, most frequent first, ties alphabetical; unseen or missing
+    values get the next free index. ``fitted`` is a table of ``fit_index``, else that of
+    this frame. Features of many values are joined by value."""
+    fitted = fit_index(df, cols) if fitted is None else fitted
+    sizes = {r["feature"]: r["n"] for r in fitted.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [name for name in cols if sizes.get(name, 0) <= LISTED]
+    listed: dict[str, list[str]] = {name: [] for name in few}
+    for r in fitted.where(F.col("feature").isin(few)).orderBy("feature", "index").collect():
+        listed[r["feature"]].append(r["value"])
+    found = {}
+    for name, values in listed.items():
+        place = F.array_position(F.lit(values).cast("array<string>"), F.col(name).cast("string"))
+        found[name + suffix] = F.coalesce(F.nullif(place, F.lit(0)) - 1, F.lit(len(values))).cast("double")
+    indexed = df.withColumns(found)
+    for name in cols:
+        if name not in listed:
+            lookup = fitted.where(F.col("feature") == name).select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+            joined = indexed.join(lookup, F.col(name).cast("string") == F.col("_value"), "left")
+            indexed = joined.withColumn(name + suffix, F.coalesce("_index", F.lit(sizes[name])).cast("double")).drop("_value", "_index")
+    return indexed.select(*df.columns, *[name + suffix for name in cols])
 
 
 def one_hot(

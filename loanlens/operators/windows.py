@@ -45,7 +45,8 @@ def carry_fill(
 ) -> DataFrame:
     """Fill gaps with the last value before them; leading gaps with the first value.
 
-    ``order_key`` is a unique number, date or timestamp. Per bucket and column only
+    ``order_key`` is a unique number, date or timestamp; rows without one come before all
+    others and get the first value. Per bucket and column only
     the order key of the last filled row is aggregated (fixed width, so by hash and
     without a sort); the few rows to carry from are then looked up by key.
     """
@@ -87,13 +88,16 @@ def carry_fill(
     inside = (
         Window.partitionBy("_bucket").orderBy(order_key).rowsBetween(Window.unboundedPreceding, 0)
     )
-    full = placed.join(F.broadcast(carried), "_bucket").withColumns(
+    joined = placed.join(F.broadcast(carried), "_bucket")
+    # Rows without an order key have nothing before them, so they need no window.
+    keyed = joined.where("_bucket >= 0").withColumns(
         {
             name: F.coalesce(F.last(name, ignorenulls=True).over(inside), F.col(f"_carry_{name}"))
             for name in cols
         }
     )
-    return full.select(*df.columns)
+    unkeyed = joined.where("_bucket < 0").withColumns({name: F.coalesce(name, f"_carry_{name}") for name in cols})
+    return keyed.unionByName(unkeyed).select(*df.columns)
 
 
 def running_totals(

@@ -492,6 +492,21 @@ SELECT CNT_CHILDREN, round(share, 9) AS share,
         for i in (1, 2)
     )
     + " SELECT SK_ID_CURR, round(gf, 2) AS AMT_GOODS_PRICE, round(ef, 2) AS DAYS_EMPLOYED FROM f2",
+    # Carried along the key; imputed by the lines of the train part.
+    "prepared_chain": APPLICATIONS
+    + f", given AS (SELECT SK_ID_CURR, {HASH_SPLIT} AS train, AMT_GOODS_PRICE AS g, CAST(nullif(DAYS_EMPLOYED, 365243) AS DOUBLE) AS e, "
+    + "round(DAYS_BIRTH / -365.0::DOUBLE, 1) AS YEARS_OLD, NAME_INCOME_TYPE, "
+    + "COALESCE(last_value(OCCUPATION_TYPE IGNORE NULLS) OVER (ORDER BY SK_ID_CURR ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    + "first_value(OCCUPATION_TYPE IGNORE NULLS) OVER (ORDER BY SK_ID_CURR ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS OCCUPATION_TYPE FROM app), "
+    + "f0 AS (SELECT *, coalesce(g, (SELECT avg(g) FROM given WHERE train)) AS gf, coalesce(e, (SELECT avg(e) FROM given WHERE train)) AS ef FROM given)"
+    + "".join(
+        f", g{i} AS (SELECT * REPLACE (coalesce(g, (SELECT regr_intercept(g, ef) FROM f{i - 1} WHERE train) "
+        f"+ (SELECT regr_slope(g, ef) FROM f{i - 1} WHERE train) * ef) AS gf) FROM f{i - 1}), "
+        f"f{i} AS (SELECT * REPLACE (coalesce(e, (SELECT regr_intercept(e, gf) FROM g{i} WHERE train) "
+        f"+ (SELECT regr_slope(e, gf) FROM g{i} WHERE train) * gf) AS ef) FROM g{i})"
+        for i in (1, 2)
+    )
+    + " SELECT SK_ID_CURR, OCCUPATION_TYPE, NAME_INCOME_TYPE, round(gf, 2) AS AMT_GOODS_PRICE, round(ef, 2) AS DAYS_EMPLOYED, YEARS_OLD FROM f2",
     "woe_table": APPLICATIONS
     + woe_of("app", CATEGORIES)
     + f' SELECT feature, bin, "rows", events, non_events, {r("woe", 9, "woe")}, {r("iv", 9, "iv")} FROM woe',

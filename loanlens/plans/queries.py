@@ -4,7 +4,9 @@ not in the operators, so that sums in another order still compare equal."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from loanlens.operators import (
     ordering,
     prep,
     search,
+    stages,
     summaries,
     trees,
     windows,
@@ -67,12 +70,15 @@ def register(spark, sf_dir):
 
 @query
 def read_table(spark, sf_dir):
-    """A saved table: the one that ``write_prepared`` wrote, by its name in the catalog."""
+    """A saved table: the one that ``write_prepared`` wrote, by a name of its own in the catalog,
+    which is dropped again; its files stay for whoever reads the result."""
     path = new_path(spark, "prepared-orders")
     sources.write_prepared(table(spark, sf_dir, "orders"), path)
-    spark.sql("DROP TABLE IF EXISTS prepared_orders")
-    spark.catalog.createTable("prepared_orders", path=path, source="parquet")
-    return sources.read_table(spark, "prepared_orders").select("o_orderkey", "o_totalprice")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.catalog.createTable(name, path=path, source="parquet")
+    found = sources.read_table(spark, name).select("o_orderkey", "o_totalprice")
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 @query
@@ -814,6 +820,63 @@ def feature_importance(spark, sf_dir):
     return rounded(models.feature_importance(model, test), 6, "importance")
 
 
+# ---- the prepared table, and what is trained on it ----
+
+FILLED = ["OCCUPATION_TYPE", "NAME_INCOME_TYPE"]
+CHAINED = ["AMT_GOODS_PRICE", "DAYS_EMPLOYED"]
+
+
+def prepared(spark, sf_dir, numeric, **how):
+    """The chain fitted on the train part, saved, loaded and applied to all rows, whose table
+    is saved and read again."""
+    df = applications(spark, sf_dir)
+    df = settle(features.cast_cols(df, CHAINED, "double"))
+    train, _ = prep.split(df, "SK_ID_CURR")
+    path = new_path(spark, "preparation")
+    stages.preparation(FILLED, numeric, "SK_ID_CURR", **how).fit(train).save(path)
+    ready = PipelineModel.load(path).transform(df)
+    table_path = new_path(spark, "prepared")
+    sources.write_prepared(ready, table_path)
+    return spark.read.parquet(table_path)
+
+
+@query
+def prepared_chain(spark, sf_dir):
+    df = prepared(spark, sf_dir, CHAINED, rounds=2, tol=0.0)
+    return rounded(df.select("SK_ID_CURR", *FILLED, *CHAINED, "YEARS_OLD"), 2, *CHAINED)
+
+
+@query
+def model_curves(spark, sf_dir):
+    """Area on both parts, best threshold and its F measure of the three published models,
+    trained on the prepared table, from one table of running counts."""
+    df = prepared(spark, sf_dir, [*BOOSTED_NUMBERS], rounds=5)
+    train, test = prep.split(df, "SK_ID_CURR")
+    ready = prep.prep_pipeline(MODEL_CATEGORIES, BOOSTED_NUMBERS).fit(train)
+    keep = ["SK_ID_CURR", "TARGET", "features"]
+    vectors = {"train": settle(prep.class_weights(ready.transform(train).select(keep), "TARGET")), "test": ready.transform(test).select(keep)}
+    regression = logit.rows_of(vectors["train"], "TARGET", "classWeights")
+    plain = logit.fit_setting(regression, {"regParam": 0.0, "elasticNetParam": 0.8, "fitIntercept": False, "maxIter": 200})
+    names = models.vector_names(vectors["train"])
+    settings_ = dict(settings.FOREST_TUNED)
+    bins = trees.fit_bins(prep.vector_columns(vectors["train"], "features", names), names, sizes=(settings_.pop("maxBins"),))
+    rows = {part: settle(vector_rows(v, names, bins)) for part, v in vectors.items()}
+    forest = trees.fit(rows["train"], bins[0], trees.forest(len(names), **settings_))
+    boosted = trees.fit(rows["train"], bins[0], trees.boosted(**settings.BOOSTED_PUBLISHED))
+    scored = []
+    for part in ("train", "test"):
+        by_model = {
+            "logistic": logit.score(plain, vectors[part], ["TARGET"]),
+            "forest": trees.score(forest, rows[part], ["TARGET"]),
+            "boosted": trees.score(boosted, rows[part], ["TARGET"]),
+        }
+        scored += [s.select(F.lit(m).alias("model"), F.lit(part).alias("part"), "TARGET", "probability") for m, s in by_model.items()]
+    long = reduce(DataFrame.unionByName, scored)
+    counts, by = windows.running_class_counts(long, "probability", "TARGET", by=["model", "part"]), ["model", "part"]
+    found = evaluate.roc_auc(counts, by).join(evaluate.best_threshold(counts, by), by)
+    return rounded(found, 6, "auc", "threshold", "f_measure")
+
+
 # ---- evaluation ----
 
 

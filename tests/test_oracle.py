@@ -24,6 +24,7 @@ ROWS_ONLY = {
     "random_forest",
     "boosted_trees",
     "boosted_importance",
+    "model_curves",
     "score",
     "cross_validate",
     "cross_validate_forest",
