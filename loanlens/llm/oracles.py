@@ -93,11 +93,9 @@ l AS (
   WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 c AS (
   SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT c.node, l.b FROM c JOIN l ON l.a = c.seen),
-g AS (SELECT node, min(seen) AS component_id FROM c GROUP BY 1),
-k AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
-  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN g ON g.node = w.doc_id LEFT JOIN k ON k.a = w.doc_id""",
+g AS (SELECT node, min(seen) AS component_id FROM c GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN g ON g.node = w.doc_id""",
     "op9_token_rollup": rf"""
 WITH d AS (
   SELECT coalesce(doc_id, 0) AS k, source, lang, {WORDS} AS words,

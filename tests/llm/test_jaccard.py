@@ -60,8 +60,9 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-def results(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similarity_classes(df).collect()}
+def results(df, links=False):
+    found = jaccard.similarity_classes(df, links=links).collect()
+    return {r.doc_id: (r.n_shingles, r.component_id, *((r.n_links,) if links else ())) for r in found}
 
 
 def test_overlap_is_the_exact_bound():
@@ -87,19 +88,59 @@ def test_sets_have_the_contract_sizes():
     assert sizes.tolist() == [len(shingle_set(t)) for t in texts]
 
 
-@pytest.mark.parametrize("seed, run, task", [(1, 50, 1_000_000), (2, 3, 1_000_000), (3, 3, 2_000)])
-def test_equals_brute_force(frame, monkeypatch, seed, run, task):
-    """With short runs, with long ones, and with blocks that are cut in parts."""
+@pytest.mark.parametrize("links", [False, True])
+@pytest.mark.parametrize("seed, run, family, task", [(1, 50, 4000, 1_000_000), (2, 3, 4000, 1_000_000), (3, 3, 6, 2_000), (4, 2, 3, 300)])
+def test_equals_brute_force(frame, monkeypatch, seed, run, family, task, links):
+    """With short runs, with long ones, with hot lists, and with blocks that are cut in parts."""
     monkeypatch.setattr(jaccard, "RUN", run)
+    monkeypatch.setattr(jaccard, "FAMILY", family)
     monkeypatch.setattr(jaccard, "TASK", task)
     rows = corpus(seed)
-    assert results(frame(rows)) == brute(rows)
+    assert results(frame(rows), links) == {i: r if links else r[:2] for i, r in brute(rows).items()}
+
+
+def test_links_of_light_sets_are_found_by_subsets_alone(frame, monkeypatch):
+    """Five-word shingles of eight and nine words: sets of four and five that share four."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        words = [f"u{i}w{k}" for k in range(8)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "end"])), (3 * i + 2, " ".join(["other", *words[:7]]))]
+    rng.shuffle(rows)
+    histogram = {4: 80, 5: 40}
+    assert jaccard.boundary(histogram) >= 5
+    monkeypatch.setattr(jaccard, "_near", lambda batches: iter(()))
+    monkeypatch.setattr(jaccard, "_verified", lambda docs, candidates: candidates.select("name", candidates.name.alias("root")).limit(0))
+    assert results(frame(rows)) == {i: r[:2] for i, r in brute(rows).items()}
+    assert any(r[1] != i for i, r in brute(rows).items())
+
+
+def test_near_copies_are_joined_without_comparing_all(frame, monkeypatch):
+    """A family hangs together after a few of its sets have been scanned."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(80)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(80)] = f"new{i}"
+        texts.append(" ".join(words))
+    table = pa.table({"text": texts})
+    hashes, sizes = map(np.concatenate, zip(*[(h, s) for _, h, s in shingles.shingle_sets(table["text"].combine_chunks())]))
+    names = shingles.set_ids(hashes, sizes).view(np.int64)
+    table = pa.table({"text": texts, "name": names, "block": np.zeros(300, np.int64), "known": names, "ask": np.ones(300, bool)})
+    asked = []
+    real = np.bincount
+    monkeypatch.setattr(jaccard.np, "bincount", lambda *a, **k: asked.append(1) or real(*a, **k))
+    found = jaccard._joined(table)
+    monkeypatch.undo()
+    assert len(set(found["root"].to_pylist())) == 1 and len(asked) < 40
 
 
 def test_edges(frame):
     assert results(frame([])) == {}
     long = "a b c d e f g " * 60_000
-    got = jaccard.similarity_classes(frame([(1, long), (2, long + "x"), (3, None), (3, None), (4, "p q"), (4, "p q"), (None, "p q")])).collect()
+    rows = [(1, long), (2, long + "x"), (3, None), (3, None), (4, "p q"), (4, "p q"), (None, "p q")]
+    got = jaccard.similarity_classes(frame(rows), links=True).collect()
     by = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id != 1 and r.doc_id != 2)
     assert by == [(-1, 1, None, 0), (3, 0, 3, 0), (3, 0, 3, 0), (4, 1, 4, 1), (4, 1, 4, 1)]
 
