@@ -57,16 +57,20 @@ def payloads(pages: DataFrame, key: str, url: str, html: str, least: int) -> Dat
         base32_sha1(F.encode(body, "UTF-8")).alias("digest"),
     )
     light = settle(own.where(F.col("bytes") >= least).select("page_id", "digest"))
+    # Of pages without a key none is the largest: they are revisits of one that has a key.
     holders = (
         light.groupBy("digest")
         .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
+        .where("times > 1 AND holder IS NOT NULL")
         .select("digest", "holder")
     )
-    revisits = light.join(holders, "digest").where("page_id != holder").distinct()
+    revisits = light.join(holders, "digest").where("page_id IS NULL OR page_id != holder").distinct()
     revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "holder")
-    same = (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest"))
-    return own.join(looked_up(revisits), same, "left").withColumn("holder", F.coalesce("holder", "page_id"))
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    # Only a page without a key may share a record's name; it gets one from its place.
+    found = own.join(looked_up(revisits), same, "left").withColumn("holder", F.coalesce("holder", "page_id"))
+    row = F.concat_ws(":", F.lit("row"), F.monotonically_increasing_id().cast("string"), "digest")
+    return found.withColumn("name", F.coalesce(F.col("page_id").cast("string"), row))
 
 
 def _block(headers: list[tuple[str, Column | str]], body: Column) -> Column:
@@ -99,14 +103,15 @@ def write_archives(
 ) -> None:
     """Writes three records for each page to gzip files under ``path``.
 
-    A null payload or address is an empty one. Pages with a null key are left out, as a
-    record needs an identity. Repeated keys are written as often as they occur; each
-    occurrence of the holder of a payload is a response.
+    A null payload or address is an empty one. A page with a null key has records that are
+    named after its place, without a page number; it is a revisit where a page with a key
+    has its payload, else a response. Repeated keys are written as often as they occur;
+    each occurrence of the holder of a payload is a response.
     """
-    rows = payloads(pages.where(F.col(key).isNotNull()), key, url, html, least)
-    k, target = F.col("page_id"), F.col("url")
-    own = record_id("capture", k)
-    revisit = F.col("holder") != k
+    rows = payloads(pages, key, url, html, least)
+    k, name, target = F.col("page_id"), F.col("name"), F.col("url")
+    own = record_id("capture", name)
+    revisit = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(k)
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("bytes").cast("string"),
@@ -122,8 +127,7 @@ def write_archives(
             page,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(revisit, REVISIT)),
-            ("WARC-Refers-To", F.when(revisit, record_id("capture", F.col("holder")))),
-            ("X-Refers-To-Page", F.when(revisit, F.col("holder"))),
+            ("WARC-Refers-To", F.when(revisit, record_id("capture", F.col("holder").cast("string")))),
             ("Content-Type", "application/http;msgtype=response"),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("body"))),
@@ -133,12 +137,12 @@ def write_archives(
         F.lit("GET / HTTP/1.1\r\nHost: "), host, F.lit(BETWEEN)
     )
     request = _block(
-        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", k)), *common, page, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
+        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", name)), *common, page, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
         asked,
     )
     about = F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _block(
-        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", k)), *common, page, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", name)), *common, page, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
         about,
     )
     size = pages.agg(F.sum(F.octet_length(html) + 1_000), F.count(F.lit(1))).first()
@@ -153,32 +157,49 @@ def write_archives(
 
 
 RECORD = (
-    "type string, record_id string, concurrent_to string, refers_to string, refers_to_page bigint, page_id bigint, "
+    "type string, record_id string, concurrent_to string, refers_to string, page_id bigint, "
     "target_uri string, date string, payload_digest string, payload_bytes bigint, payload binary, fields string"
 )
 
 
+def unpacked(data: bytes) -> bytes:
+    """The content of a file: as it is, or that of its gzip members, as far as they go."""
+    import zlib
+
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(parts)
+
+
 def parsed(data: bytes) -> Iterator[dict]:
-    """Records of a file, cut by Content-Length, so that any payload is safe."""
+    """Records of a file, cut by Content-Length, so that any payload is safe. A file that
+    ends inside a record gives those before it."""
     at = 0
     while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
+        head_end = data.find(b"\r\n\r\n", at)
+        lines = data[at : head_end if head_end >= 0 else None].split(b"\r\n")
+        if not lines[0].startswith(b"WARC/") and (head_end >= 0 or not b"WARC/".startswith(lines[0][:5])):
             raise ValueError(f"no record at byte {at}")
+        if head_end < 0:
+            return
         headers = {}
         for line in lines[1:]:
             name, _, value = line.partition(b":")
             headers[name.decode().lower()] = value.strip().decode("utf-8", "replace")
         begin = head_end + 4
         end = begin + int(headers["content-length"])
+        if end > len(data):
+            return
         yield {"headers": headers, "block": data[begin:end]}
         at = end + 4
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
     schema = pa.schema(
         [(n, {"bigint": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (f.split() for f in RECORD.split(", "))]
     )
@@ -190,14 +211,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             data = content.as_py()
             rows, held = [], 0
-            for record in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for record in parsed(unpacked(data)):
                 h, block = record["headers"], record["block"]
                 row = {
                     "type": h.get("warc-type"),
                     "record_id": h.get("warc-record-id"),
                     "concurrent_to": h.get("warc-concurrent-to"),
                     "refers_to": h.get("warc-refers-to"),
-                    "refers_to_page": int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None,
                     "page_id": int(h["x-page-id"]) if "x-page-id" in h else None,
                     "target_uri": h.get("warc-target-uri"),
                     "date": h.get("warc-date"),
@@ -230,22 +250,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: the answer, and its request and metadata records, found by
-    their concurrent-to identifier.
+    their concurrent-to identifier; for a revisit also the page of the answer it refers to,
+    found by the record's identifier.
 
     An answer without the others has nulls for them; of several that name it, the first by
     record identifier counts. Records that name no answer are left out, and a record with
-    equal identifier and content that occurs again makes a capture again.
+    equal identifier and content that occurs again makes a capture again. Archives are
+    parsed twice: once for all but the payloads, which is written, once for the answers.
     """
+    light = settle(records.drop("payload"))
     answers = records.where(F.col("type").isin("response", "revisit"))
 
     def beside(kind: str) -> DataFrame:
-        rows = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
+        rows = light.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
         nested = F.struct("record_id", "date", "target_uri", "fields")
         return rows.groupBy(F.col("concurrent_to").alias(f"_{kind}")).agg(F.min(nested).alias(kind))
 
     out = answers
     for kind in ("request", "metadata"):
         out = out.join(beside(kind), F.col("record_id") == F.col(f"_{kind}"), "left").drop(f"_{kind}")
+    # A page that very many refer to is one row of the other side.
+    held = light.where(F.col("type") == "response").groupBy(F.col("record_id").alias("_held")).agg(F.max("page_id").alias("refers_to_page"))
+    revisits = light.where(F.col("type") == "revisit").select("record_id", "refers_to")
+    found = revisits.join(held, F.col("refers_to") == F.col("_held")).groupBy(F.col("record_id").alias("_revisit")).agg(F.max("refers_to_page").alias("refers_to_page"))
+    out = out.join(found, F.col("record_id") == F.col("_revisit"), "left").drop("_revisit")
     response = F.struct("record_id", "type", "date", "payload_digest", "payload_bytes", "refers_to", "payload")
     return out.select(
         "page_id", "target_uri", F.col("refers_to_page"), response.alias("response"), "request", "metadata"
