@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised, each cell gets its place on the Hilbert
+Several metadata columns are quantised by rank, each cell gets its place on the Hilbert
 curve through their space, rows are put in the order of that place, and the order
 is cut into runs of equal counts. Rows near in all columns then share a shard, so
 that the column ranges of a shard (``shard_ranges``) let a reader skip files.
@@ -15,42 +15,53 @@ from pyspark.sql import functions as F
 
 from loanlens.session import settle
 
-#: Bytes of a text that make its number.
-PREFIX = 6
+def text_cuts(values: DataFrame, levels: int) -> list[str]:
+    """The largest text of each level but the last, levels having about equally many rows;
+    with no more texts than levels, each text has a level of its own.
 
-
-def text_number(value: Column, low: str | None, high: str | None) -> Column:
-    """A number in the order of the texts: the bytes after what all texts begin with."""
-    low, high = (low or "").encode(), (high or "").encode()
-    shared = 0
-    while shared < min(len(low), len(high)) and low[shared] == high[shared]:
-        shared += 1
-    part = F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, PREFIX))
-    return F.conv(F.rpad(part, 2 * PREFIX, "0"), 16, 10).cast("double")
+    ``values`` has one column. Its texts are counted and sorted by range; the rows before a
+    text are those of the tasks before and of the texts before it in its own task. At most
+    ``levels`` texts reach the driver.
+    """
+    (name,) = values.columns
+    counts = values.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sorted_ = settle(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sizes = sorted_.groupBy("part").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts")).collect()
+    total, texts = (sum(r[c] for r in sizes) for c in ("size", "texts"))
+    if texts <= levels:
+        return sorted(r["value"] for r in sorted_.select("value").collect())[:-1]
+    before, at = [], 0
+    for r in sorted(sizes):
+        before.append((r["part"], at))
+        at += r["size"]
+    starts = values.sparkSession.createDataFrame(before, "_part int, offset bigint")
+    inside = Window.partitionBy("part").orderBy("value")
+    upto = F.sum("n").over(inside) + F.col("offset")
+    placed = sorted_.join(F.broadcast(starts), F.col("part") == F.col("_part")).withColumn("upto", upto)  # a row per partition
+    level = lambda rows: F.floor(rows * levels / F.lit(total))
+    ends = placed.where((level(F.col("upto")) > level(F.col("upto") - F.col("n"))) & (F.col("upto") < total))
+    return sorted(r["value"] for r in ends.select("value").collect())
 
 
 def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
-    """Adds level columns _x0, _x1 ...; level 0 is for nulls, the others cut the range
-    from the smallest to the largest value into equal widths."""
+    """Adds level columns _x0, _x1 ...; level 0 is for nulls and NaN. The others are cut at
+    quantiles, numbers at approximate ones, texts at those of the counted texts."""
     kinds = dict(df.select(*[c.alias(n) for n, c in dims.items()]).dtypes)
-    ends = df.agg(
-        *[f(c).alias(f"{n}_{tag}") for n, c in dims.items() for tag, f in (("low", F.min), ("high", F.max))]
-    ).first()
-    texts = {n: kinds[n] == "string" for n in dims}
-    numbers = {
-        n: text_number(c, ends[f"{n}_low"], ends[f"{n}_high"]) if texts[n] else c.cast("double")
-        for n, c in dims.items()
-    }
-    ranges = df.agg(
-        *[f(c).alias(f"{n}_{tag}") for n, c in numbers.items() for tag, f in (("low", F.min), ("high", F.max))]
-    ).first()
-    top = (1 << bits) - 2  # levels 1 to top + 1
+    levels = (1 << bits) - 1
+    shares = [i / levels for i in range(1, levels)]
+    numbers = {n: c.cast("double") for n, c in dims.items() if kinds[n] != "string"}
+    known = {n: F.when(~F.isnan(c), c) for n, c in numbers.items()}
+    found = {}
+    if numbers:
+        row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(known.values())]).first()
+        found = {n: sorted(set(row[i] or [])) for i, n in enumerate(numbers)}
     out = {}
-    for i, (n, c) in enumerate(numbers.items()):
-        low, high = ranges[f"{n}_low"], ranges[f"{n}_high"]
-        wide = low is not None and high > low
-        level = F.floor((c - low) / (high - low) * (top + 1)).cast("int") if wide else F.lit(0)
-        out[f"_x{i}"] = F.when(c.isNull() | F.isnan(c), 0).otherwise(F.least(level, F.lit(top)) + 1)
+    for i, (n, c) in enumerate(dims.items()):
+        value = known.get(n, c)
+        cuts = found[n] if n in numbers else text_cuts(df.select(c.alias("value")), levels)
+        kind = "array<double>" if n in numbers else "array<string>"
+        below = F.size(F.filter(F.lit(cuts).cast(kind) if cuts else F.expr(f"CAST(array() AS {kind})"), lambda cut: cut < value))
+        out[f"_x{i}"] = F.when(value.isNull(), 0).otherwise(below + 1)
     return df.withColumns(out)
 
 
