@@ -1,6 +1,8 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-A small tree over a bounded sample routes every vector to a shard of near ones. A query
+A small tree over a bounded sample routes every vector to a shard of near ones. A shard with
+too many gets a tree of its own, over a bounded sample of its own rows, and so on, so that
+shards stay as small as they are however many rows there are. A query
 first searches the shard it would belong to; the k-th distance found there bounds the
 answer, and the query goes on to the shards that the triangle inequality cannot rule
 out with it. Inside a shard a tree of its own is searched in the same way.
@@ -11,19 +13,25 @@ distance. Factor 1 is exact; smaller ones prune more and may miss neighbours.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import hash_slice
+from loanlens.llm.common import hash_slice, looked_up
 from loanlens.session import settle
 
 #: Vectors on which the routing tree is fitted, about.
 SAMPLE = 20_000
 SHARD_ROWS = 4_096
+#: Vectors of an oversized shard on which its own tree is fitted, about.
+SHARD_SAMPLE = 2_000
+#: Bytes of trees that are broadcast at once; more are used in turns.
+TREES = 64 << 20
 #: Queries that meet one copy of a shard.
 QUERY_ROWS = 20_000
 LEAF = 64
@@ -123,10 +131,91 @@ def reached(node: Node, vectors: np.ndarray, q: np.ndarray, reach: np.ndarray, o
     reached(node.outer, vectors, q[node.radius - d <= reach[q]], reach, out)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+class Level:
+    """Trees of oversized shards, in blocks that are broadcast one by one: by shard the tree
+    and the number of its first leaf."""
+
+    def __init__(self, spark, trees: DataFrame, first: int):
+        facts = trees.agg(F.sum(F.length("tree")), F.sum("leaves")).first()
+        self.blocks, self.end = max(1, -(-(facts[0] or 0) // TREES)), first + (facts[1] or 0)
+        # A row for each oversized shard: thousands of times fewer than there are vectors.
+        before = Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+        self.trees = settle(trees.withColumn("first", F.coalesce(F.sum("leaves").over(before), F.lit(0)) + first))
+        self.spark = spark
+
+    def __call__(self, rows: DataFrame, step) -> DataFrame:
+        """The rows with their shard replaced, by a function of a tree, vectors and places in
+        the batch that gives places and leaves. Rows of shards without a tree stay."""
+        kind = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+        at = rows.columns.index("leaf")
+        out = []
+        for block in range(self.blocks):
+            mine = F.pmod(F.xxhash64(F.col("leaf").cast("bigint")), F.lit(self.blocks)) == block
+            found = {r["leaf"]: (pickle.loads(r["tree"]), r["first"]) for r in self.trees.where(mine).collect()}
+            given = self.spark.sparkContext.broadcast(found)
+
+            def moved(batches, given=given):
+                for batch in batches:
+                    own, leaf = matrix(batch.column(1), None), batch.column(at).to_numpy()
+                    places, leaves = [], []
+                    for old in np.unique(leaf).tolist():
+                        q = np.flatnonzero(leaf == old)
+                        if old in given.value:
+                            tree, first = given.value[old]
+                            q, new = step(tree, own, q, batch)
+                            places, leaves = [*places, q], [*leaves, new + first]
+                        else:
+                            places, leaves = [*places, q], [*leaves, np.full(len(q), old)]
+                    q = np.concatenate([np.zeros(0, np.int64), *places])
+                    columns = [c.take(pa.array(q)) for c in batch.columns]
+                    columns[at] = pa.array(np.concatenate([np.zeros(0, np.int64), *leaves]).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+            out.append(rows.where(mine).mapInArrow(moved, kind))
+        return reduce(DataFrame.unionByName, out)
+
+
+def to_home(tree: Node, own: np.ndarray, q: np.ndarray, batch) -> tuple[np.ndarray, np.ndarray]:
+    leaf = np.zeros(len(own), np.int64)
+    home(tree, own, q, leaf)
+    return q, leaf[q]
+
+
+def to_reached(factor: float):
+    def step(tree: Node, own: np.ndarray, q: np.ndarray, batch) -> tuple[np.ndarray, np.ndarray]:
+        reach, out = factor * batch.column(batch.schema.get_field_index("reach")).to_numpy() * (1 + 1e-12), []
+        reached(tree, own, q, reach, out)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(x for _, x in out)])
+
+    return step
+
+
+def level_of(spark, placed: DataFrame, oversized: DataFrame, dim: int, first: int, number: int) -> Level | None:
+    """Trees for the oversized shards (leaf, count); None where no shard can be parted."""
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        vectors, leaves = matrix(rows["vector"], dim), []
+        count = rows["count"][0].as_py()
+        order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
+        tree = grown(vectors[order], np.arange(len(vectors)), max(8, len(vectors) * SHARD_ROWS // count), leaves)
+        return pa.table({"leaf": rows["leaf"].slice(0, 1), "tree": [pickle.dumps(tree)], "leaves": [len(leaves)]})
+
+    spread = 1_000_000
+    share = F.least(F.lit(spread), F.ceil(F.lit(SHARD_SAMPLE * spread) / F.col("count")))
+    salted = F.concat(F.lit(f"{number}:"), F.col("vec_id").cast("string"))
+    sample = placed.join(looked_up(oversized), "leaf").where(hash_slice(salted, spread) < share)
+    trees = settle(sample.select("leaf", "vec_id", "vector", "count").groupBy("leaf").applyInArrow(fitted, "leaf bigint, tree binary, leaves bigint"))
+    trees = trees.where("leaves > 1")
+    return None if trees.isEmpty() else Level(spark, trees, first)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None) -> np.ndarray:
+    """One row per vector, all of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(-1, len(flat) // max(len(column), 1) if dim is None else dim)
 
 
 def usable(vector: Column) -> Column:
@@ -181,8 +270,28 @@ def nearest(
     placed = settle(rows.mapInArrow(routed, f"vec_id bigint, vector {kind}, leaf bigint"))
     first = settle(asked.mapInArrow(routed, f"vec_id bigint, vector {kind_q}, leaf bigint"))
 
-    # A leaf that got more rows than a shard is cut by the hash of the key.
-    sizes = placed.groupBy("leaf").count()
+    levels: list[Level] = []
+    end = len(leaves)
+    sizes = settle(placed.groupBy("leaf").count())
+    tried = None
+    while True:
+        over = sizes.where(F.col("count") > 2 * SHARD_ROWS)
+        over = over if tried is None else over.join(F.broadcast(tried), "leaf", "left_anti")
+        if over.isEmpty() or (level := level_of(spark, placed, over, dim, end, len(levels))) is None:
+            break
+        levels.append(level)
+        end = level.end
+        # Only the rows of oversized shards are written again.
+        parted = looked_up(level.trees.select("leaf"))
+        inside, outside = placed.join(parted, "leaf", "left_semi"), placed.join(parted, "leaf", "left_anti")
+        columns = ["vec_id", "vector", "leaf"]
+        placed = outside.select(columns).unionByName(settle(level(inside.select(columns), to_home)))
+        first = settle(level(first, to_home))
+        # What could not be parted once is not tried again.
+        failed = over.select("leaf").join(parted, "leaf", "left_anti")
+        tried = settle(failed if tried is None else tried.union(failed))
+        sizes = settle(placed.groupBy("leaf").count())
+    # A leaf of more rows than a shard that distances cannot part is cut by the hash of the key.
 
     def searched(asking: DataFrame) -> DataFrame:
         """The k nearest of each query in each shard that it asks."""
@@ -231,14 +340,16 @@ def nearest(
             reached(given.value, own, np.arange(len(own)), reach, out)
             q = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
             leaf = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-            other = leaf != batch.column(2).to_numpy()[q]
-            q = pa.array(q[other])
-            columns = [batch.column(0).take(q), batch.column(1).take(q), pa.array(leaf[other])]
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "leaf"])
+            columns = [c.take(pa.array(q)) for c in batch.columns]
+            columns = [columns[0], columns[1], pa.array(leaf), columns[2], columns[3]]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "leaf", "home", "reach"])
 
     reach = F.coalesce("reach", F.lit(float("inf")))
     second = first.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", "leaf", reach.alias("reach"))
-    second = settle(second.mapInArrow(onward, f"vec_id bigint, vector {kind_q}, leaf bigint"))
+    second = second.mapInArrow(onward, f"vec_id bigint, vector {kind_q}, leaf bigint, home bigint, reach double")
+    for level in levels:
+        second = level(second, to_reached(factor))
+    second = settle(second.where("leaf != home").select("vec_id", "vector", "leaf"))
     both = near.union(searched(second)).distinct()
     return (
         both.withColumn("rank", F.row_number().over(by_rank))
