@@ -61,10 +61,15 @@ def f_measure_by_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFra
 
 def best_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Score with the highest F measure; of equals the higher score."""
-    best = f_measure_by_threshold(counts, by).groupBy(*by).agg(
-        F.max(F.struct("f_measure", "threshold")).alias("best")
-    )
-    return best.select(*by, "best.threshold", "best.f_measure")
+    measured = f_measure_by_threshold(counts, by)
+    if by:
+        # Numbers only, so that no group is sorted.
+        most = measured.groupBy(*by).agg(F.max("f_measure").alias("_most"))
+        same = [measured[k].eqNullSafe(most[k]) for k in by] + [measured["f_measure"] == most["_most"]]
+        top = measured.join(F.broadcast(most), same, "left_semi")
+        return top.groupBy(*by).agg(F.max("threshold").alias("threshold"), F.max("f_measure").alias("f_measure"))
+    best = measured.agg(F.max(F.struct("f_measure", "threshold")).alias("best"))
+    return best.select("best.threshold", "best.f_measure")
 
 
 def roc_curve(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
