@@ -4,6 +4,10 @@ A language is a distribution over the pieces of a fixed public vocabulary. A wor
 probability is the sum over all ways to cut it into pieces, found by a forward pass;
 a text's is the product over its words. Piece probabilities are estimated from labelled
 documents by expectation-maximisation over the same segmentations.
+
+A word is a run of letters of any length, so a text without spaces is one word. Runs of
+more than ``WINDOW`` letters are passed window after window: a window begins with the
+sums at the last places before it, as many as the longest piece has letters.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import hash_slice, small_batches
+from loanlens.llm.common import hash_slice, small_batches, unused
 from loanlens.session import settle
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,12 +33,15 @@ ROUNDS = 3
 LANGUAGES = 400
 UNKNOWN = "und"
 _START = "▁"
-_LONGEST = 60  # letters; longer runs are cut into several words
+#: Letters whose sums are held at once. So many letters that no piece covers, each with the
+#: smallest probability, are still above the smallest number.
+WINDOW = 30
+_TRAINED = 60  # letters; for estimating pieces alone, longer runs are cut into several words
 _CACHED = 100_000  # words that a task remembers, fewer with many languages
 _CELLS = 4_000_000
 _SMOOTH = 0.01
 _SCALE = 1_000_000
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % _LONGEST)
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -95,11 +102,12 @@ class Pieces:
 
 
 class Lattice:
-    """All pieces of many words: word, begin, end and piece of each, by end."""
+    """All pieces of many words: word, begin, end and piece of each, by end. ``start`` stands
+    before every word; a window inside a longer run has none."""
 
-    def __init__(self, words: list[str], pieces: Pieces):
-        self.sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        codes = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    def __init__(self, words: list[str], pieces: Pieces, start: str = _START):
+        self.sizes = np.array([len(start) + len(w) for w in words], dtype=np.int64)
+        codes = np.frombuffer("".join(start + w for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         ends = np.cumsum(self.sizes)
         word = np.repeat(np.arange(len(words)), self.sizes)
         begin = np.arange(len(codes)) - np.repeat(ends - self.sizes, self.sizes)
@@ -123,11 +131,13 @@ class Lattice:
         self.end, self.word, self.begin, self.piece = (x[order] for x in (end, word[at], begin[at], piece))
         self.steps = np.searchsorted(self.end, np.arange(1, self.sizes.max(initial=0) + 2))
 
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """For each word, place and language: summed probability of all ways to get there."""
+    def forward(self, probability: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """For each word, place and language: summed probability of all ways to get there.
+        ``given`` are those of the first places, if they are known."""
         alpha = np.zeros((len(self.sizes), self.sizes.max(initial=0) + 1, probability.shape[1]))
-        alpha[:, 0] = 1
-        for end in range(1, alpha.shape[1]):
+        known = 1 if given is None else given.shape[1]
+        alpha[:, :known] = 1 if given is None else given
+        for end in range(known, alpha.shape[1]):
             arcs = slice(self.steps[end - 1], self.steps[end])
             word = self.word[arcs]
             if len(word):
@@ -156,6 +166,26 @@ class Lattice:
         return counts
 
 
+def run_log_probabilities(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """Log probabilities of words of any length, in windows that all words pass together.
+
+    After a window the sums are divided by that at its border, whose log is kept."""
+    runs = [_START + w for w in words]
+    logs, back, begin = np.zeros((len(runs), probability.shape[1])), 0, 0
+    left, state = np.arange(len(runs)), np.ones((len(runs), 1, probability.shape[1]))
+    while len(left):
+        lattice = Lattice([runs[i][begin - back : begin + WINDOW] for i in left], pieces, start="")
+        alpha = lattice.forward(probability, state)
+        border = alpha[np.arange(len(left)), lattice.sizes]
+        logs[left] += np.log(border)
+        begin += WINDOW
+        on = np.array([len(runs[i]) > begin for i in left])
+        back = min(begin, max(pieces.longest, 1))
+        state = alpha[on][:, alpha.shape[1] - 1 - back :] / border[on][:, None]
+        left = left[on]
+    return logs
+
+
 @dataclass
 class Model:
     """A block of languages, their log prior among all languages, and piece probabilities
@@ -171,7 +201,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found.setdefault(lang, Counter()).update(words_of(text))
+            words = (w[i : i + _TRAINED] for w in words_of(text) for i in range(0, len(w), _TRAINED))
+            found.setdefault(lang, Counter()).update(words)
         rows = [(lang, word, n) for lang, words in found.items() for word, n in words.items()]
         columns = list(zip(*rows)) or [[], [], []]
         kinds = (pa.string(), pa.string(), pa.int64())
@@ -279,12 +310,24 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
                 total += table[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0)
             return total
 
+        def summed(words: list[str]) -> np.ndarray:
+            """As ``evidence``; long runs are not remembered."""
+            if max(map(len, words)) <= WINDOW:
+                return evidence(words)
+            total = evidence([w for w in words if len(w) <= WINDOW])
+            runs = Counter(w for w in words if len(w) > WINDOW)
+            names, times = list(runs), np.array(list(runs.values()), float)
+            for begin in range(0, len(names), step):
+                logs = run_log_probabilities(names[begin : begin + step], model.pieces, model.probability)
+                total = total + times[begin : begin + step] @ logs
+            return total
+
         for texts in batches:
             names, bests, totals = [], [], []
             # New words of many texts are looked up together.
             for begin in range(0, len(texts), 100):
                 split = [words_of(t) for t in texts.slice(begin, 100).to_pylist()]
-                new = set().union(*split).difference(known)
+                new = {w for w in set().union(*split).difference(known) if len(w) <= WINDOW}
                 if len(new) + len(known) <= cached:
                     learn(list(new))
                 for words in split:
@@ -293,7 +336,7 @@ def predicted(df: DataFrame, model: Model, text: Column) -> Column:
                         bests.append(None)
                         totals.append(None)
                         continue
-                    total = model.prior + evidence(words)
+                    total = model.prior + summed(words)
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     bests.append(float(total[best]))
@@ -312,22 +355,25 @@ def held_out(key: Column) -> Column:
 
 
 def identified(df: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", path: str = VOCABULARY) -> DataFrame:
-    """All rows and columns of ``df`` with ``_held_out`` and ``_language`` (lang_pred, score).
+    """All rows and columns of ``df`` with ``_held_out`` and ``_language`` (lang_pred, score),
+    which replace columns of these names; all others stay.
 
+    Whole texts are scored, runs of letters without an end too; only the estimate of pieces
+    cuts these, at 60 letters.
     All labels are learned. With more than ``LANGUAGES`` of them the texts are read once for
     each block, and written in between, so that one block is held at a time; the best
     language and the sum go on. The model is fitted on rows whose key is known and not held
     out. Ties go to the first language by name. Repeated rows get equal predictions.
     """
     models = fit(df.where(F.col(key).isNotNull() & ~held_out(F.col(key))), text=text, lang=lang, key=key, path=path)
-    found = None
+    found, (next_block,) = None, unused(df, "_next")
     for model in models:
         if found is None:
             found = df.withColumns({"_held_out": held_out(F.col(key)), "_language": predicted(df, model, F.col(text))})
             continue
         # Blocks come in order of names, so a tie stays with the earlier one.
-        scored = settle(found).withColumn("_next", predicted(df, model, F.col(text)))
-        found = scored.withColumn("_language", _better(F.col("_language"), F.col("_next"))).drop("_next")
+        scored = settle(found).withColumn(next_block, predicted(df, model, F.col(text)))
+        found = scored.withColumn("_language", _better(F.col("_language"), F.col(next_block))).drop(next_block)
     score = F.coalesce(F.exp(F.col("_language.best") - F.col("_language.total")), F.lit(0.0))
     return found.withColumn("_language", F.struct(F.col("_language.lang_pred"), score.alias("score")))
 
