@@ -7,8 +7,13 @@ whole corpus are counted by pattern, expectation-maximisation on these counts es
 how reliable each labeler is, and its posteriors train a logistic classifier that
 decides which proposed spans are added.
 
-There are at most 3**4 vote patterns times 2**9 feature patterns for each kind, whatever
-the size of the corpus, so only those counts reach the driver.
+The classifier does not see the context and shape votes. It sees the characters of a span,
+those beside it, and the words around it, hashed; so it learns words that no list has.
+
+Candidates are counted by votes and features. The at most 3**4 vote patterns of each kind
+reach the driver with their counts of the whole corpus. The classifier is fitted on all
+feature patterns while there are at most ``PATTERNS`` of a kind, and on about as many,
+chosen by hash, beyond.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import small_batches
+from loanlens.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 #: Probability from which a proposed span is added.
 ACCEPT = 0.8
 ROUNDS = 50
+#: Distinct patterns of a kind, about, on which its classifier is fitted.
+PATTERNS = 10_000
 
 # Base patterns. Runs are taken whole (possessive), so that a long one is read once; the
 # matches are those of the plain patterns.
@@ -52,15 +61,34 @@ _LOOSE = {
 CANDIDATE = r"[0-9@]|[(\[{]\s?[Aa][Tt]"
 
 # Gazetteers and context words.
-DOMAINS = set("com org net edu gov io co de fr es uk eu info biz us ca it nl ch at be pl ru cn jp in br".split())
+DOMAINS = set(
+    "com org net edu gov mil int io co ai app dev info biz name pro mobi xyz online site shop blog cloud tech me tv "
+    "de fr es uk eu us ca it nl ch at be pl ru cn jp in br mx ar cl pe pt ie se no dk fi is cz sk hu ro bg gr tr ua "
+    "il za ng ke eg sa ae ir pk bd lk th vn my sg id ph kr tw hk au nz lu lt lv ee si hr rs".split()
+)
 CARD_STARTS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|30[0-5]|36|38|6011|65|35")
 CONTEXT = {
-    "email": set("email e-mail mail contact contacto correo kontakt courriel write address".split()),
-    "ip": set("ip host server address client login serveur servidor adresse".split()),
-    "card": set("card visa mastercard amex credit karte carte tarjeta payment pay cvv".split()),
-    "phone": set("phone tel telephone call mobile cell fax telefon telefono anruf appel".split()),
+    "email": set(
+        "email e-mail mail mailto contact contacto correo kontakt courriel write address inbox reply sender recipient "
+        "cc bcc from to reach support escribir schreiben".split()
+    ),
+    "ip": set(
+        "ip ipv host server address client login serveur servidor adresse gateway dns subnet router proxy firewall "
+        "ping remote peer node connected connection".split()
+    ),
+    "card": set(
+        "card cards visa mastercard amex discover maestro credit debit karte carte tarjeta payment pay paid cvv cvc "
+        "expiry expires kreditkarte cardholder charged".split()
+    ),
+    "phone": set(
+        "phone tel telephone call calls called mobile cell fax telefon telefono anruf appel sms text whatsapp hotline "
+        "dial number handy movil portable".split()
+    ),
 }
-AGAINST = set("version release isbn order invoice token key sha md5 hash id page section chapter total".split())
+AGAINST = set(
+    "version release isbn issn doi order invoice token key sha md5 hash id uuid page section chapter total commit "
+    "build article figure table part serial sku price score".split()
+)
 AROUND = 40
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
@@ -116,8 +144,77 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
     return out
 
 
-def signs(text: str, kind: str, begin: int, end: int) -> tuple[int, int]:
-    """Votes of the labelers as one number to base 3, and features as one to base 2."""
+def strict(kind: str, match: str, good: bool) -> bool:
+    """The vote of the pattern labeler: the check, and what is usual beyond it, so that it
+    may fail for spans of every kind."""
+    if kind == "email":
+        name, _, host = match.partition("@")
+        labels = host.split(".")
+        plain = bool(host) and not name.startswith(".") and not name.endswith(".") and ".." not in name
+        return plain and all(x[:1] != "-" and x[-1:] != "-" for x in labels) and len(labels[-1]) > 1 and labels[-1].isalpha()
+    if kind == "ip":
+        return good and all(p == "0" or p[0] != "0" for p in match.split("."))
+    if kind == "phone":
+        digits = _digits(match)
+        return good and (digits[0] != "0" if match[0] == "+" else digits[0] in "23456789" and digits[3] in "23456789")
+    return good
+
+
+# Features of the classifier, by number: of the span, of its neighbours, of words by hash.
+SPAN = ("good", "known", "grouped", "long", "plus", "letters", "dots", "hyphens", "spaces", "alike", "rising")
+BESIDE = ("none", "space", "letter", "digit", "bracket", "other")
+SIZES = 5  # classes of the number of digits
+WORDS = 128
+FEATURES = len(SPAN) + SIZES + 2 * len(BESIDE) + 2 * WORDS
+
+
+def _beside(text: str, at: int) -> str:
+    c = text[at] if 0 <= at < len(text) else ""
+    if not c:
+        return "none"
+    if c.isspace():
+        return "space"
+    if c.isalpha():
+        return "letter"
+    if c.isdigit():
+        return "digit"
+    return "bracket" if c in "()[]{}<>\"'" else "other"
+
+
+def features_of(text: str, begin: int, end: int, good: bool, known: bool) -> list[int]:
+    """Numbers of the features that a candidate has, ascending."""
+    match = text[begin:end]
+    digits = _digits(match)
+    span = {
+        "good": good,
+        "known": known,
+        "grouped": any(c in " -./()" for c in match),
+        "long": len(match) > 14,
+        "plus": match[0] == "+",
+        "letters": any(c.isalpha() for c in match),
+        "dots": "." in match,
+        "hyphens": "-" in match,
+        "spaces": " " in match,
+        "alike": len(digits) > 3 and len(set(digits)) <= 2,
+        "rising": len(digits) > 3 and digits[:8] in "01234567890123456789",
+    }
+    found = [i for i, name in enumerate(SPAN) if span[name]]
+    at = len(SPAN)
+    found.append(at + min(len(digits) // 4, SIZES - 1))
+    at += SIZES
+    for place in (begin - 1, end):
+        found.append(at + BESIDE.index(_beside(text, place)))
+        at += len(BESIDE)
+    before = _WORDS.findall(text[max(0, begin - AROUND) : begin].lower())[-2:]
+    after = _WORDS.findall(text[end : end + AROUND].lower())[:1]
+    for words in (before, after):
+        found += sorted({at + crc32(w.encode("utf-8", "replace")) % WORDS for w in words})
+        at += WORDS
+    return found
+
+
+def signs(text: str, kind: str, begin: int, end: int) -> tuple[int, list[int]]:
+    """Votes of the labelers as one number to base 3, and the numbers of the features."""
     match = text[begin:end]
     digits = _digits(match)
     around = _WORDS.findall(f"{text[max(0, begin - AROUND) : begin]} {text[end : end + AROUND]}".lower())
@@ -134,14 +231,13 @@ def signs(text: str, kind: str, begin: int, end: int) -> tuple[int, int]:
         known = good and 0 < int(match.split(".")[0]) < 224
     else:
         known = len(digits) >= 10 and digits[-10] not in "01"
-    votes = (1 if good else -1, 1 if known else -1, cue - against, 1 if left and right and not alike else -1)
-    grouped = any(c in " -./()" for c in match)
-    long = len(match) > 14
-    bits = (good, known, cue, against, left, right, alike, grouped, long)
-    return sum((v + 1) * 3**i for i, v in enumerate(votes)), sum(b << i for i, b in enumerate(bits))
-
-
-FEATURES = 9
+    votes = (
+        1 if strict(kind, match, good) else -1,
+        1 if known else -1,
+        cue - against,
+        1 if left and right and not alike else -1,
+    )
+    return sum((v + 1) * 3**i for i, v in enumerate(votes)), features_of(text, begin, end, good, known)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +246,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
             for kind, begin, end in base + proposed_spans(text, base):
-                found[(KINDS.index(kind), *signs(text, kind, begin, end))] += 1
+                votes, features = signs(text, kind, begin, end)
+                found[(KINDS.index(kind), votes, tuple(features))] += 1
         rows = list(zip(*[(*k, n) for k, n in found.items()])) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["kind", "votes", "features", "n"])
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["kind", "votes", "features", "n"])
 
 
 @dataclass
@@ -164,9 +262,9 @@ class Model:
     reliability: dict[str, np.ndarray]
     share: dict[str, float]
 
-    def probability(self, kind: str, features: int) -> float:
-        bits = np.append(features >> np.arange(FEATURES) & 1, 1)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[kind] @ bits, -30, 30))))
+    def probability(self, kind: str, features: list[int]) -> float:
+        weights = self.weights[kind]
+        return float(1 / (1 + np.exp(-np.clip(weights[features].sum() + weights[-1], -30, 30))))
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -208,21 +306,34 @@ def fit(df: DataFrame, text: Column) -> Model:
     """Counts the votes on all candidates of all texts and learns from the counts."""
     texts = df.select(text.alias("text")).where(F.col("text").rlike(CANDIDATE))
     counting = (
-        texts.mapInArrow(_counted, "kind bigint, votes bigint, features bigint, n bigint")
+        texts.mapInArrow(_counted, "kind bigint, votes bigint, features array<int>, n bigint")
         .groupBy("kind", "votes", "features")
         .agg(F.sum("n").alias("n"))
-        .orderBy("kind", "votes", "features")
     )
     with small_batches(df.sparkSession):
-        counted = counting.collect()
-    model = Model({}, {}, {})
+        patterns = settle(counting)
+    counted = patterns.groupBy("kind", "votes").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("patterns")).collect()
+    model, truth, share = Model({}, {}, {}), {}, {}
+    for number, kind in enumerate(KINDS):
+        rows = sorted((r["votes"], r["n"], r["patterns"]) for r in counted if r["kind"] == number)
+        ballots, n, distinct = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+        votes = ballots[:, None] // 3 ** np.arange(len(LABELERS)) % 3 - 1
+        model.reliability[kind], model.share[kind], q = reliabilities(votes, n.astype(float))
+        truth[number] = dict(zip(ballots.tolist(), q))
+        share[number] = min(1.0, PATTERNS / max(int(distinct.sum()), 1))
+
+    slices = 1_000_000
+    most = F.create_map(*[F.lit(v) for number, x in share.items() for v in (number, round(x * slices))])
+    slot = F.pmod(F.xxhash64("votes", "features"), F.lit(slices))
+    chosen = patterns.where(slot < F.element_at(most, F.col("kind").cast("int"))).collect()
+    chosen.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
     for number, kind in enumerate(KINDS):
-        rows = np.array([tuple(r)[1:] for r in counted if r["kind"] == number], dtype=np.int64).reshape(-1, 3)
-        votes = rows[:, :1] // 3 ** np.arange(len(LABELERS)) % 3 - 1
-        n = rows[:, 2].astype(float)
-        table, share, q = reliabilities(votes, n)
-        model.reliability[kind], model.share[kind] = table, share
-        model.weights[kind] = classifier(rows[:, 1:2] >> np.arange(FEATURES) & 1, q, n)
+        rows = [r for r in chosen if r["kind"] == number]
+        bits = np.zeros((len(rows), FEATURES))
+        for i, r in enumerate(rows):
+            bits[i, r["features"]] = 1
+        q = np.array([truth[number][r["votes"]] for r in rows])
+        model.weights[kind] = classifier(bits, q, np.array([r["n"] for r in rows], dtype=float))
     return model
 
 
@@ -259,8 +370,8 @@ def spans(df: DataFrame, text: Column, model: Model) -> Column:
 
 
 def personal_data(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` with ``_spans``. A null or empty text has none;
-    repeated rows get the same; an empty table gives no rows."""
+    """All rows and columns of ``df`` with ``_spans``, which replaces a column of this name. A
+    null or empty text has none; repeated rows get the same; an empty table gives no rows."""
     return df.withColumn("_spans", spans(df, F.col(text), fit(df, F.col(text))))
 
 
