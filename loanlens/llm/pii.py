@@ -50,7 +50,7 @@ _BASE = {
 }
 _LOOSE = {
     "email": re.compile(
-        r"[A-Za-z0-9._%+-]++\s?[(\[{]\s?(?i:at)\s?[)\]}]\s?[A-Za-z0-9-]++"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[(\[{]\s?(?i:at)\s?[)\]}]\s?[A-Za-z0-9-]++"
         r"(?:\s?(?:\.|[(\[{]\s?(?i:dot)\s?[)\]}])\s?[A-Za-z0-9-]++)+"
     ),
     "ip": re.compile(r"(?<=[0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
