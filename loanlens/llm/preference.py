@@ -1,7 +1,7 @@
 """Preference pairs as one prompt and two masked completions.
 
-A pair is two conversations, one chosen and one rejected. Their longest common prefix
-of turns, found by joining turns of equal position, is the prompt and is rendered once;
+A pair is two conversations, one chosen and one rejected, which meet in one shuffle. Their
+longest common prefix of turns, found by comparing turns of equal position, is the prompt and is rendered once;
 the turns after it are the completions. Only what an assistant says in a completion is
 trained on: its characters are listed as mask spans.
 """
@@ -24,20 +24,16 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(heading(role), F.coalesce(text, F.lit("")), F.lit(CLOSE))
 
 
-def common_turns(turns: DataFrame) -> DataFrame:
-    """pair_id and the number of first turns that chosen and rejected share.
+def common_turns(one: Column, other: Column) -> Column:
+    """Number of first turns that two arrays of turns share; null and empty are equal."""
 
-    ``turns`` has pair_id, side (chosen or rejected), place (gapless from 0), role and
-    text. The first place at which one side is missing or differs ends the prefix. Places
-    are summed by pair map-side, so no conversation is gathered for it.
-    """
-    texts = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    both = turns.groupBy("pair_id", "place").agg(
-        F.count(F.lit(1)).alias("sides"), F.min(texts).alias("low"), F.max(texts).alias("high")
-    )
-    same = (F.col("sides") == 2) & (F.col("low") == F.col("high"))
-    first_other = F.min(F.when(~same, F.col("place")))
-    return both.groupBy("pair_id").agg(F.coalesce(first_other, F.max("place") + 1).alias("n_prompt"))
+    def equal(a: Column, b: Column) -> Column:
+        fields = [F.coalesce(a[f], F.lit("")) == F.coalesce(b[f], F.lit("")) for f in ("role", "text")]
+        return a.isNotNull() & b.isNotNull() & fields[0] & fields[1]
+
+    same = F.zip_with(one, other, equal)
+    first_other = F.array_position(same, F.lit(False))
+    return F.when(first_other == 0, F.size(same)).otherwise(first_other - 1).cast("int")
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
@@ -51,33 +47,36 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     read. A completion is one training example and so one row.
     """
     known = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
-    order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
-    placed = known.select(
-        "pair_id", "side", (F.row_number().over(order) - 1).alias("place"), "role", "text"
+    turn = F.struct("turn", "role", "text")
+
+    def of_side(name: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("side") == name, turn)))
+
+    # One shuffle: both sides of a pair meet, and what follows reads their arrays.
+    both = known.groupBy("pair_id").agg(of_side("chosen").alias("one"), of_side("rejected").alias("other"))
+    n = F.col("n_prompt_turns")
+    compared = (
+        both.where((F.size("one") > 0) & (F.size("other") > 0))
+        .withColumn("n_prompt_turns", common_turns(F.col("one"), F.col("other")))
+        .where((n < F.size("one")) | (n < F.size("other")))
     )
-    parts = placed.join(common_turns(placed), "pair_id").select(
+
+    def part(turns: Column) -> Column:
+        return F.transform(
+            turns,
+            lambda t: F.struct(
+                heading(t["role"]).alias("head"),
+                rendered(t["role"], t["text"]).alias("turn_text"),
+                (t["role"] == ASSISTANT).alias("learn"),
+            ),
+        )
+
+    pairs = compared.select(
         "pair_id",
-        "side",
-        "place",
-        "n_prompt",
-        (F.col("place") < F.col("n_prompt")).alias("shared"),
-        heading(F.col("role")).alias("head"),
-        rendered(F.col("role"), F.col("text")).alias("turn_text"),
-        (F.col("role") == ASSISTANT).alias("learn"),
-    )
-    entry = F.struct("place", "head", "turn_text", "learn")
-
-    def gathered(side: str, shared: bool) -> Column:
-        mine = (F.col("side") == side) & (F.col("shared") == shared)
-        return F.array_sort(F.collect_list(F.when(mine, entry)))
-
-    pairs = parts.groupBy("pair_id").agg(
-        F.first("n_prompt").alias("n_prompt_turns"),
-        gathered("chosen", True).alias("_prompt"),
-        gathered("chosen", False).alias("_chosen"),
-        gathered("rejected", False).alias("_rejected"),
-        F.max(F.col("side") == "chosen").alias("has_chosen"),
-        F.max(F.col("side") == "rejected").alias("has_rejected"),
+        "n_prompt_turns",
+        part(F.slice("one", 1, n)).alias("_prompt"),
+        part(F.slice("one", n + 1, F.size("one"))).alias("_chosen"),
+        part(F.slice("other", n + 1, F.size("other"))).alias("_rejected"),
     )
 
     def text_of(part: str) -> Column:
@@ -110,9 +109,7 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
         )
         return walked.spans
 
-    return pairs.where(
-        F.col("has_chosen") & F.col("has_rejected") & ((F.size("_chosen") > 0) | (F.size("_rejected") > 0))
-    ).select(
+    return pairs.select(
         "pair_id",
         F.col("n_prompt_turns").cast("bigint").alias("n_prompt_turns"),
         text_of("_prompt").alias("prompt"),
@@ -134,16 +131,17 @@ def regenerated(conversations: DataFrame) -> DataFrame:
     after it. A conversation without an assistant turn makes no pair.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
-    answer = F.when(F.col("role") == ASSISTANT, F.struct("turn", "text"))
-    last = rows.groupBy("conv_id").agg(F.max(answer).alias("last")).where(F.col("last").isNotNull())
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("answer"))
-    swap = last.join(other, "conv_id", "left").select("conv_id", F.col("last.turn").alias("at"), "answer")
-    chosen = rows.join(last.select("conv_id"), "conv_id", "left_semi").withColumn("side", F.lit("chosen"))
-    rejected = (
-        rows.join(swap, "conv_id")
-        .where((F.col("turn") < F.col("at")) | ((F.col("turn") == F.col("at")) & (F.col("role") == ASSISTANT)) | F.col("turn").isNull())
-        .withColumn("text", F.when(F.col("turn") == F.col("at"), F.coalesce("answer", F.lit(""))).otherwise(F.col("text")))
-        .select("conv_id", "turn", "role", "text")
-        .withColumn("side", F.lit("rejected"))
+    answer = F.max(F.when(F.col("role") == ASSISTANT, F.struct("turn", "text")))
+    marked = rows.withColumn("last", answer.over(Window.partitionBy("conv_id"))).where(F.col("last").isNotNull())
+    other = rows.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(answer["text"].alias("answer"))
+    at, is_last = F.col("last.turn"), F.col("turn") == F.col("last.turn")
+    kept = (F.col("turn") < at) | (is_last & (F.col("role") == ASSISTANT)) | F.col("turn").isNull()
+    chosen = F.col("side") == "chosen"
+    text = F.when(~chosen & is_last, F.coalesce("answer", F.lit(""))).otherwise(F.col("text"))
+    # The rows stay where the window put them until the pairs are gathered.
+    return (
+        marked.join(other, "conv_id", "left")
+        .withColumn("side", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))
+        .where(chosen | kept)
+        .select(F.col("conv_id").alias("pair_id"), "turn", "role", text.alias("text"), "side")
     )
-    return chosen.unionByName(rejected).withColumnRenamed("conv_id", "pair_id")

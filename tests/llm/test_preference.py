@@ -53,3 +53,22 @@ def test_regenerated_swaps_the_last_answer(spark):
     assert set(got) == {1, 2}
     assert got[1].rejected == "<|assistant|>\nb1\n" and got[1].n_chosen_turns == 2
     assert got[2].rejected == "<|assistant|>\n\n" and got[2].chosen == "<|assistant|>\nb1\n"
+
+
+def test_two_shuffles_of_the_turns(spark, sf_dir):
+    """One by conversation, which the pairs keep, and one of the next conversation's answers."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        turns = preference.regenerated(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+        plan = preference.preference_pairs(turns)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+    assert plan.count("SortMergeJoin") == 1
+
+
+def test_null_and_empty_turns_are_equal_but_keep_their_order(spark):
+    rows = [(1, "chosen", 0, None, "a"), (1, "chosen", 0, "", "b"), (1, "chosen", 1, "assistant", None), (1, "chosen", 2, "user", "x")]
+    rows += [(1, "rejected", 0, "", "a"), (1, "rejected", 0, "", "b"), (1, "rejected", 1, "assistant", "")]
+    got = pairs(spark, rows)[1]
+    assert got.n_prompt_turns == 3 and got.chosen == "<|user|>\nx\n" and got.rejected == ""
