@@ -219,3 +219,60 @@ def test_counts_by_group_equal_counts_of_each(spark):
         assert evaluate.roc_auc(both, ["m"]).where(same).head().auc == evaluate.roc_auc(alone).head().auc
         assert tuple(evaluate.best_threshold(both, ["m"]).where(same).head())[1:] == tuple(evaluate.best_threshold(alone).head())
         assert evaluate.roc_curve(both, ["m"]).where(same).count() == evaluate.roc_curve(alone).count()
+
+
+def test_settings_of_other_least_gains_share_their_trees(grown, monkeypatch):
+    """Equal to fits of their own, and as long as no split gains too little grown once."""
+    table, bins, rows = grown
+    grown_trees, plain = [], trees.grow_trees
+    monkeypatch.setattr(trees, "grow_trees", lambda jobs, *rest: (grown_trees.append(len(jobs)), plain(jobs, *rest)))
+    for ones in (92.0, 1.0):
+        plans = [trees.boosted(max_depth=4, num_round=4, gamma=g, scale_pos_weight=ones, subsample=0.8) for g in (5.0, 0.0, 1.0)]
+        assert trees.differ_in_gain([*plans, PLANS[1]]) == [[0, 1, 2], [3]]
+        grown_trees.clear()
+        shared = trees.grow_alike(plans, bins, trees.measure_here(rows, bins))
+        assert grown_trees[0] == 1 and sum(grown_trees) < 12
+        for p, model in zip(plans, shared):
+            alone = trees.grow([p], bins, trees.measure_here(rows, bins))[0]
+            assert [(t.left, t.feature, t.sums) for t in model.trees] == [(t.left, t.feature, t.sums) for t in alone.trees]
+
+
+def test_columns_added_up_together_have_their_own_sums():
+    rng = np.random.default_rng(3)
+    sizes = [6, 65, 3, 65, 12, 65]
+    x = np.column_stack([rng.integers(0, n, 20000) for n in sizes]).astype(np.int16)
+    node, stats = rng.integers(-1, 3, len(x)), (rng.integers(-9, 9, len(x)).astype(float), rng.integers(1, 5, len(x)).astype(float))
+    columns = np.broadcast_to(np.array([5, 0, 1, 2, 4]), (3, 5))
+    joint = trees.joint_cells(x, columns[0], sizes)
+    assert len(joint) < len(sizes) and sorted(j for g in joint for j in g.places) == list(range(5))
+    together = trees.histogram(x, node, stats, columns, 66, joint)
+    assert np.array_equal(together, trees.histogram(x, node, stats, columns, 66))
+    ones = (stats[1] * (stats[0] > 0), stats[1])
+    got = trees.histogram(x, node, ones, columns, 66)
+    for j, c in enumerate(columns[0]):
+        for n in range(3):
+            for s in (0, 1):
+                assert np.array_equal(together[n, j, :, s], np.bincount(x[node == n, c], stats[s][node == n], 66))
+                assert np.array_equal(got[n, j, :, s], np.bincount(x[node == n, c], ones[s][node == n], 66))
+
+
+def test_passes_read_margins_beside_the_rows(grown, monkeypatch):
+    """A pass walks the trees since the margins were written, not all of them."""
+    table, bins, rows = grown
+    p = trees.boosted(max_depth=2, num_round=6, num_parallel_tree=3, subsample=0.7)
+    monkeypatch.setattr(trees, "LAG", 4)
+    written, plain = [], trees._with_margins
+    monkeypatch.setattr(trees, "_with_margins", lambda t, jobs, b, done: (written.append([len(j.before) - done.get(id(j.p), (0, 0))[1] for j in jobs]), plain(t, jobs, b, done))[1])
+    far = trees.grow([p], bins, trees.measure_on_spark(table, bins))[0]
+    assert written == [[6], [6]]
+    near = trees.grow([p], bins, trees.measure_here(rows, bins))[0]
+    assert np.abs(trees.raw_scores(far, rows.x[0]) - trees.raw_scores(near, rows.x[0])).max() < 1e-9
+
+
+def test_scores_at_readings_equal_scores_of_each(grown):
+    _, bins, rows = grown
+    readings = [(d, n) for d in (2, 4, 7) for n in (1, 3, 5, 9)]
+    for p, at in ((trees.forest(6, numTrees=5, maxDepth=7, subsamplingRate=0.7), readings), (trees.boosted(max_depth=3, num_round=5), [(None, n) for n in (1, 3, 5, 9)])):
+        model = trees.grow([p], bins, trees.measure_here(rows, bins))[0]
+        for found, (depth, count) in zip(trees.scores_at(model, rows.x[0], at), at):
+            assert np.array_equal(found, trees.raw_scores(model, rows.x[0], depth, count))
