@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from loanlens.operators import logit, trees
 from loanlens.operators.grams import gram_matrix
 from loanlens.operators.prep import assemble
-from loanlens.operators.quantiles import counted_values, cut_points
+from loanlens.operators.quantiles import column_cuts
 from loanlens.session import settle, small_frame
 
 
@@ -114,7 +114,7 @@ def monotone_bins(
     labelled = df.where(F.col(label).isNotNull()).select(
         F.col(label), *[F.col(name).cast("double").alias(name) for name in cols]
     )
-    cuts = cut_points(counted_values(labelled, cols), [max_bins], lower=True)[max_bins]
+    cuts = column_cuts(labelled, cols, [max_bins], lower=True)[max_bins]
     cuts = {name: cuts.get(name, []) for name in cols}
     counted = (
         _numbered(labelled, cuts)
@@ -335,7 +335,7 @@ def vote_features(
     for its ``each`` best features (``keep`` unless given). One number per feature and
     selector reaches the driver, and the sums of products of the features.
     """
-    labelled = settle(df.where(F.col(label).isNotNull()).select(label, *cols))
+    labelled = settle(df.where(F.col(label).isNotNull()).select(label, *cols), evenly=True)
     evidence = evidence or fit_evidence(labelled, cols, label)
     weighted = evidence.apply(labelled, cols)
     vectors = assemble(weighted, [f"{name}_woe" for name in cols]).select(F.col(label).alias("y"), "features")
@@ -356,7 +356,7 @@ def vote_features(
     named = [wide.get(n, n) for n in cols]
     frame = weighted.withColumn("_row", F.xxhash64(*cols))
     bins = trees.fit_bins(frame, [*numeric, *wide.values()], few)
-    table = settle(trees.binned(frame, bins, "_row", label))
+    table = settle(trees.binned(frame, bins, "_row", label), evenly=True)
     some = float(np.ceil(len(cols) ** 0.5) / len(cols))
     kinds = {"forest": {"replace": True}, "random_splits": {"random_cuts": True}}
     for name, how in kinds.items():
