@@ -276,3 +276,56 @@ def test_scores_at_readings_equal_scores_of_each(grown):
         model = trees.grow([p], bins, trees.measure_here(rows, bins))[0]
         for found, (depth, count) in zip(trees.scores_at(model, rows.x[0], at), at):
             assert np.array_equal(found, trees.raw_scores(model, rows.x[0], depth, count))
+
+
+def test_cuts_without_counting_all_values(spark, monkeypatch):
+    """The cuts of a shuffle of all values, from three passes that shuffle few of them."""
+    monkeypatch.setattr(quantiles, "POINTS", 16)
+    rng = np.random.default_rng(3)
+    n = 4000
+    values = {"u": rng.random(n), "few": rng.integers(0, 7, n) - 3.0, "hot": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n)), "one": np.full(n, 2.0), "none": np.full(n, np.nan), "far": rng.standard_cauchy(n) ** 3}
+    rows = [tuple(None if rng.random() < 0.05 else float(v) for v in row) for row in zip(*values.values())] + [(float("inf"), -0.0, None, None, None, float("-inf"))] * 2
+    df = spark.createDataFrame(rows, ", ".join(f"{name} double" for name in values)).repartition(5)
+    counts = quantiles.counted_values(df, list(values))
+    for lower in (False, True):
+        assert quantiles.column_cuts(df, list(values), [4, 20, 60], lower) == quantiles.cut_points(counts, [4, 20, 60], lower)
+    assert quantiles.column_cuts(df.limit(0), ["u"], [20]) == {20: {}}
+
+
+def test_areas_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    s = np.round(rng.normal(size=n), 2)
+    s[:40], s[40:50], s[50:60] = np.nan, np.inf, -0.0
+    y, fold = (rng.random(n) < 0.3 + 0.1 * (s > 0)).astype(float), rng.integers(0, 3, n)
+    fold[y == 0] = np.minimum(fold[y == 0], 1)  # the last fold has ones only
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(y, fold, s)], "y double, fold int, s double").repartition(4)
+
+    def scores(batch):
+        values = batch["s"].combine_chunks().to_numpy()
+        return batch["y"].combine_chunks().to_numpy(), batch["fold"].combine_chunks().to_numpy(), np.column_stack([values, -values])
+
+    asked = df.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("model")).withColumn("v", F.when(F.col("model") == 0, F.col("s")).otherwise(-F.col("s")))
+    theirs = evaluate.roc_auc(windows.running_class_counts(asked, "v", "y", by=["model", "fold"]), ["model", "fold"]).collect()
+    wanted = {(r["model"], r["fold"]): r["auc"] for r in theirs}
+    for most in (200, None):
+        assert {(a.model, a.group): a.auc for a in evaluate.areas(df, scores, most)} == wanted
+
+
+def test_passes_read_even_files_and_count_columns_once(spark, monkeypatch):
+    """Many trees of many nodes: their columns are drawn a few times per tree and level, and no
+    task of a pass reads most of the rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(0, 30)), float(rng.integers(0, 30)), float(rng.integers(0, 30)), int(rng.random() < 0.4)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y int").coalesce(1)
+    bins = trees.fit_bins(df, ["a", "b", "c"])
+    table = settle(trees.binned(df, bins, "k", "y"), evenly=True)
+    sizes = [r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * min(sizes)
+    made, columns = [], trees.columns_of
+    monkeypatch.setattr(trees, "columns_of", lambda *of: made.append(1) or columns(*of))
+    p = trees.Params(kind="gini", trees=20, depth=4, columns_by_node=0.5, child=0.0, replace=True)
+    passes = trees.fit(table, bins[0], p, most=0)
+    assert len(made) <= 3 * 20 * 4
+    here = trees.fit(table, bins[0], p)
+    assert [t.left for t in passes.trees] == [t.left for t in here.trees]
