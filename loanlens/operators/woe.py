@@ -221,8 +221,13 @@ def apply_woe(
     listed: dict[str, dict[str | None, float]] = {n: {} for n in cols if sizes.get(n, 0) <= LISTED}
     for r in woe.where(F.col("feature").isin(list(listed))).collect():
         listed[r["feature"]][r["bin"]] = r["woe"]
-    numbered = {n: inner for n, inner in _cuts(bins).items() if n in listed} if bins is not None else {}
-    weighted = df.withColumns({f"_text_{n}": bin_text(df, n) for n in cols if n not in numbered})
+    cuts = {n: inner for n, inner in _cuts(bins).items() if n in cols} if bins is not None else {}
+    numbered = {n: inner for n, inner in cuts.items() if n in listed}
+    # Columns of many bins are joined by the number of their bin.
+    placed = {n: f"_bin_of_{n}" for n in cuts if n not in listed}
+    weighted = df.withColumns({p: F.col(n) for n, p in placed.items()})
+    weighted = _numbered(weighted, {p: cuts[n] for n, p in placed.items()}) if placed else weighted
+    weighted = weighted.withColumns({f"_text_{n}": bin_text(weighted, placed.get(n, n)) for n in cols if n not in numbered})
     found = {}
     if numbered:
         worth = [
