@@ -91,3 +91,18 @@ def test_a_search_in_passes_grows_its_plans_together(few_rows, monkeypatch):
     for mine, of in ((found, plans), (found_boosted, boosted)):
         here = search.over_folds(table, bins, of, ["fold"], 3)
         assert mine.settings == here.settings and np.allclose(mine.means, here.means, atol=1e-3 if of is boosted else 1e-9)
+
+
+def test_margins_of_one_search_column_are_not_read_by_the_next(few_rows, monkeypatch):
+    table, bins, _ = few_rows
+    frame = settle(table.withColumn("other", 2 - F.col("fold")))
+    monkeypatch.setattr(trees, "LAG", 2)
+    measures, plain = [], trees.measure_on_spark
+    monkeypatch.setattr(trees, "measure_on_spark", lambda *of: (measures.append(1), plain(*of))[1])
+    plans = search.boosted_plans({"max_depth": [2], "n_estimators": [5], "gamma": [0, 1], "alpha": [0, 1]})
+    assert [len(of) for of in search._together(plans)] == [2, 2]
+    passes = search.over_folds(frame, bins, plans, ["fold", "other"], 3, sent=0)
+    # One for forests, one for each family and column of folds.
+    assert len(measures) == 1 + 2 * 2
+    here = search.over_folds(frame, bins, plans, ["fold", "other"], 3)
+    assert passes.settings == here.settings and np.allclose(passes.means, here.means, atol=1e-3)
